@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from confab.llm import decontaminate, packing
+from confab.llm import decontaminate, host_reputation, language, packing, secrets, warc
 
 QUERIES = {
+    "op1_host_reputation": host_reputation.op1_host_reputation,
+    "op2_language": language.op2_language,
+    "op3_secrets": secrets.op3_secrets,
     "op5_packing": packing.op5_packing,
+    "op8_warc": warc.op8_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLES = {"op10_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_host_reputation": host_reputation.ORACLE, "op10_decontamination": decontaminate.ORACLE}

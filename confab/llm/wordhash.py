@@ -21,14 +21,14 @@ def byte_table(is_word) -> np.ndarray:
     for b in range(256):
         low = b + 32 if 0x41 <= b <= 0x5A else b
         if is_word(low):
-            out[b] = low
+            out[b] = low or 0xFF  # NUL keeps out of the way of the separator; 0xFF is no byte of UTF-8
     return out
 
 
 #: Letters a-z, digits and every byte of a non-ASCII character.
 ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 #: Everything but blank and the control characters 9 to 13.
-NONBLANK = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D and b != 0)
+NONBLANK = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
 @functools.lru_cache(maxsize=2)
