@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from confab.llm import decontaminate, host_reputation, language, packing, secrets, warc
+from confab.llm import decontaminate, host_reputation, language, mixing_lm, order_minhash, packing, secrets, warc, weighted_fingerprint
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
     "op2_language": language.op2_language,
     "op3_secrets": secrets.op3_secrets,
+    "op4_weighted_fingerprint": weighted_fingerprint.op4_weighted_fingerprint,
     "op5_packing": packing.op5_packing,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_warc": warc.op8_warc,
+    "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
