@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from confab.llm import decontaminate, host_reputation, language, mixing_lm, order_minhash, packing, secrets, warc, weighted_fingerprint
+import corpus_pipeline
+from confab.llm import decontaminate, host_reputation, language, license_scan, mixing_lm, order_minhash, packing, secrets, warc, weighted_fingerprint
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
@@ -10,10 +11,16 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_weighted_fingerprint": weighted_fingerprint.op4_weighted_fingerprint,
     "op5_packing": packing.op5_packing,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_warc": warc.op8_warc,
     "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_host_reputation": host_reputation.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+ORACLES = {
+    "op1_host_reputation": host_reputation.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
+}
