@@ -14,6 +14,7 @@ gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ CAPACITY = 2048
 GROUP = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CLOSING_ID = 1
-#: Words whose ids a worker keeps.
-CACHE = 200_000
+#: Parts whose ids a worker keeps, over all its tasks; some 250 MB.
+CACHE = 1_000_000
 
 
 class Ids:
@@ -52,7 +53,8 @@ class Ids:
         self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        # The vocabulary is lower-cased; doing it first makes parts fewer. Beyond ASCII the order of steps could matter.
+        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         new = list(set().union(*parts).difference(self.known)) if parts else []
         if len(self.known) + len(new) > CACHE:
             self.known = {"": b""}
@@ -64,6 +66,12 @@ class Ids:
         return [b"".join(map(get, p)) for p in parts]
 
 
+@functools.cache
+def encoder(path: str) -> Ids:
+    """One for each worker process, so that later tasks find what earlier ones encoded."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capacity: int, with_ids: bool) -> DataFrame:
     """A row per piece: the document's id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     close = np.array([CLOSING_ID], "<u4").tobytes()
@@ -71,7 +79,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capa
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             for part in common.slices(batch, text_col):
                 row, start, length, crc, total, ids = [], [], [], [], [], []
@@ -139,7 +147,7 @@ def pack_documents(
     cut = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(groups)))
     names = [*cut.columns[:-1], "sequence_id", "offset"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", id_col, "start"], ascending=[False, True, True], kind="stable")
         seq, offset = assign(pdf["length"].to_numpy(), capacity, linear, quadratic)
         return pdf.assign(sequence_id=(int(key[0]) << 24) + seq, offset=offset)[names]
