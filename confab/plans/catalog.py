@@ -1,6 +1,646 @@
-"""Every registered query of the conversation engine, and its SQL."""
+"""Every registered query of the conversation engine, and the SQL it must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from confab import config as K
+from confab.functions import text as X
+from confab.operators import chains, classify, guides, listing, monitor, mutations, rules, scoring
+from confab.plans import pipeline
+from confab.sources.derived import NOW, ctes, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+N = f"timestamp '{NOW}'"
+TRIM = r"regexp_replace(coalesce(text, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+#: Word boundaries that know letters beyond ASCII, in a dialect without them.
+B, E = r"(?:^|[^\pL\pN_])", r"(?:[^\pL\pN_]|$)"
+WORD = lambda words: f"(?i){B}(?:{words}){E}"
+SQL_GUIDE = WORD(r"guide|tutorial|how[- ]?to|step\s+\d+|prompt|setup|install|instruction|faq")
+SQL_QUESTION = r"(?i)\?|" + f"{B}(?:how|where|who|can){E}"
+SQL_SOURCE = WORD("link|source|site|endpoint|provider|proxy|account|accounts|prompt|repo|github|shop|seller")
+ACKS = ", ".join(f"'{w}'" for w in K.ACKNOWLEDGEMENTS)
+D = lambda v: f"cast({v} as double)"
+
+TERMS = (
+    f"""terms as (select *, case when regexp_matches(t, '{SQL_GUIDE}') then {D(0.24)} else {D(0)} end gm, case when regexp_matches(t, '{SQL_QUESTION}') then {D(0.22)} else {D(0)} end qm,
+ case when regexp_matches(t, '{SQL_SOURCE}') then {D(0.24)} else {D(0)} end sm, case when regexp_matches(t, '(?i)https?://[\\w\\-._~:/?#@!$&''()*+,;=%]+') then {D(0.18)} else {D(0)} end lk,
+ case when regexp_matches(t, '```|`[^`\\n]+`|(?:^|\\n)\\s{{2,}}\\S') then {D(0.22)} else {D(0)} end cd, case when regexp_matches(t, '(?m)^\\s*(\\d+[.)]\\s+|[-*•]\\s+).+') then {D(0.16)} else {D(0)} end ls,
+ case when reply_to_message_id is not null then {D(0.16)} else {D(0)} end rp, case when reply_count > 0 then {D(0.14)} else {D(0)} end ad, case when topic_id is not null then {D(0.08)} else {D(0)} end tc,
+ case when length(t) >= 500 then {D(0.16)} when length(t) >= 250 then {D(0.12)} when length(t) >= 120 then {D(0.08)} when length(t) >= 32 then {D(0.04)} else {D(0)} end ln,
+ case when is_bot then {D(-0.18)} else {D(0.04)} end hu from (select *, {TRIM} t from messages)),
+scored as (select *, greatest({D(0)}, least({D(1)}, gm+qm+sm+lk+cd+ls+rp+ad+tc+ln+hu+pen)) signal_score from (select *, case when lower(t) in ({ACKS}) then {D(-0.6)}
+ when length(t) > 0 and length(t) < 8 and gm+qm+sm+lk = 0 then {D(-0.24)} when not regexp_matches(t, '\\S') then {D(-0.4)} else {D(0)} end pen from terms))"""
+)
+
+
+# ---- scoring and gates
+
+
+@query(ctes("messages") + ",\n" + TERMS + "\nselect id, signal_score from scored")
+def signal_score(spark, d):
+    return scoring.signal_score(view(spark, d, "messages")).select("id", "signal_score")
+
+
+@query(ctes("messages") + ",\n" + TERMS + "\nselect id, gm as guide, qm as question, sm as source, lk as link, cd as code, ls as list, ln as length, hu as author, pen as penalty from scored")
+def signal_breakdown(spark, d):
+    m = scoring.signal_score(view(spark, d, "messages"), breakdown=True)
+    b = lambda k: F.col("signal_breakdown")[k]
+    names = {"guide": "guideMarkers", "question": "questionMarkers", "source": "sourceMarkers", "link": "links", "code": "code", "list": "listStructure", "length": "length", "author": "humanAuthored"}
+    penalty = F.coalesce(b("ackPenalty"), b("shortPenalty"), b("emptyPenalty"), F.lit(0.0))
+    return m.select("id", *(b(v).alias(k) for k, v in names.items()), penalty.alias("penalty"))
+
+
+@query(ctes("messages") + ",\n" + TERMS + "\nselect id, group_id, signal_score from scored where signal_score >= cast(0.3 as double)")
+def signal_gate(spark, d):
+    return scoring.passing(scoring.signal_score(view(spark, d, "messages"))).select("id", "group_id", "signal_score")
+
+
+PREFILTER = """pre as (select m.*, case when not coalesce(g.enabled, false) then 'group disabled' when m.is_bot then 'bot' when length(coalesce(m.text, '')) < 12 then 'too short'
+ when contains(lower(m.text), 'куплю') then 'blacklisted: куплю' when contains(lower(m.text), 'продам') then 'blacklisted: продам' when contains(lower(m.text), 'реклама') then 'blacklisted: реклама' end skip_reason
+ from messages m left join groups g on m.group_id = g.id)"""
+
+
+@query(ctes("messages", "groups") + ",\n" + PREFILTER + "\nselect id, skip_reason from pre")
+def prefilter(spark, d):
+    return rules.prefilter(view(spark, d, "messages"), view(spark, d, "groups")).select("id", "skip_reason")
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + ")"
+
+
+def _rule_sql(kind: str, value: str) -> str:
+    n = "length(coalesce(text, ''))"
+    if kind == "REGEX_MATCH":
+        return r"regexp_matches(coalesce(text, ''), '\?')"  # its other alternatives are Cyrillic words, which these texts have not
+    return {"KEYWORD_MATCH": lambda: _any(X.split_list(value, ",;")), "LENGTH_LT": lambda: f"{n} < {value}", "LENGTH_GT": lambda: f"{n} > {value}", "SENDER_IS_BOT": lambda: f"is_bot = {value}"}[kind]()
+
+
+_parsed = [(r, rules.conditions_of(r.conditions)) for r in sorted(rules.seed_rules(), key=lambda r: r.order)]
+RULES_SQL = (
+    "matched as (select messages.*, ["
+    + ", ".join("(" + " and ".join(_rule_sql(k, v) for k, v in c) + ")" for _, c in _parsed)
+    + "] as hits, ["
+    + ", ".join("true" if r.action == "EXCLUDE" else "false" for r, _ in _parsed)
+    + "] as excl, ["
+    + ", ".join(f"'{r.name}'" for r, _ in _parsed)
+    + "] as names from messages),\n"
+    "stopped as (select *, (select min(i) from unnest(range(1, len(hits) + 1)) u(i) where hits[i] and excl[i]) as stop from matched)"
+)
+
+
+@query(ctes("messages") + ",\n" + RULES_SQL + """
+select id, stop is null as rule_passes, cast(coalesce(stop, len(hits)) as integer) as checks, (select names[max(i)] from unnest(range(1, len(hits) + 1)) u(i) where hits[i] and i <= coalesce(stop, len(hits))) as deciding from stopped""")
+def rule_eval(spark, d):
+    m = rules.evaluate(view(spark, d, "messages"))
+    deciding = F.get(F.transform(F.filter("rule_checks", lambda c: c["matched"]), lambda c: c["name"]), F.size(F.filter("rule_checks", lambda c: c["matched"])) - 1)
+    return m.select("id", "rule_passes", F.size("rule_checks").alias("checks"), deciding.alias("deciding"))
+
+
+@query(ctes("messages") + ",\n" + RULES_SQL + "\nselect id, names[i] as name, hits[i] as matched from (select *, unnest(range(1, coalesce(stop, len(hits)) + 1)) i from stopped)")
+def rule_checks(spark, d):
+    m = rules.evaluate(view(spark, d, "messages"))
+    return m.select("id", F.explode("rule_checks").alias("c")).select("id", "c.name", "c.matched")
+
+
+@query(ctes("messages") + ",\n" + RULES_SQL + "\nselect group_id, count(*) as messages, count_if(stop is null) as passed from stopped group by group_id")
+def rule_pass_counts(spark, d):
+    return rules.evaluate(view(spark, d, "messages")).groupBy("group_id").agg(F.count("*").alias("messages"), F.count_if("rule_passes").alias("passed"))
+
+
+# ---- reports
+
+
+@query(ctes("usage_log") + f"\nselect cast(coalesce(sum(total_tokens), 0) as bigint) as total_tokens, round(coalesce(sum(estimated_cost_usd), 0), 6) as cost from usage_log where created_at >= {N} - interval 5 day and created_at <= {N}")
+def tokens_summary(spark, d):
+    return monitor.tokens_between(view(spark, d, "usage_log"), now() - F.expr("interval 5 days"), now())
+
+
+@query(ctes("usage_log") + """
+select cast(created_at as date) as day, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(total_tokens) as bigint) as total_tokens
+from usage_log where created_at >= timestamp '2024-01-05' and created_at <= timestamp '2024-01-20' + interval 1 day group by 1""")
+def tokens_daily(spark, d):
+    return monitor.tokens_daily(view(spark, d, "usage_log"), "2024-01-05", "2024-01-20")
+
+
+@query(ctes("usage_log", "providers") + """
+select provider_id, coalesce(max(name), 'Unknown') as provider_name, cast(sum(total_tokens) as bigint) as total_tokens, round(sum(estimated_cost_usd), 6) as cost,
+ round(least(100.0::double, sum(total_tokens)::double * 100 / greatest((select sum(total_tokens)::double from usage_log where provider_id is not null), 1)), 6) as share
+from usage_log u left join providers p on u.provider_id = p.id where provider_id is not null group by provider_id""")
+def tokens_by_provider(spark, d):
+    return monitor.tokens_by_provider(view(spark, d, "usage_log"), view(spark, d, "providers"))
+
+
+@query(ctes("usage_log", "providers") + """
+select u.id, concat_ws(',', u.id, task_type, coalesce(provider_id::varchar, 'null'), coalesce(name, ''), coalesce(model, ''), coalesce(guide_id::varchar, ''), input_tokens, output_tokens, total_tokens) as line
+from usage_log u left join providers p on u.provider_id = p.id""")
+def usage_csv_lines(spark, d):
+    return monitor.usage_csv(view(spark, d, "usage_log"), view(spark, d, "providers"))
+
+
+@query(ctes("task_queue") + "\nselect count_if(status = 'QUEUED') as queued, count_if(status = 'RUNNING') as running, count_if(status = 'STUCK') as stuck from task_queue")
+def queue_status(spark, d):
+    return monitor.queue_status(view(spark, d, "task_queue"))
+
+
+@query(ctes("task_queue") + f"""
+select id, 'failed' as why from task_queue where status = 'FAILED' and retry_count >= max_retries union all select id, 'stuck' from task_queue where status = 'STUCK'
+union all select id, 'long' from task_queue where status = 'RUNNING' and started_at < {N} - interval 30 minute""")
+def stuck_tasks(spark, d):
+    return monitor.stuck_tasks(view(spark, d, "task_queue"), now()).select("id", "why")
+
+
+@query(ctes("task_queue") + "\nselect status, priority, count(*) as tasks, min(created_at) as oldest from task_queue where status <> 'QUEUED' group by all")
+def tasks_after_clearing(spark, d):
+    return mutations.clear_tasks(view(spark, d, "task_queue")).groupBy("status", "priority").agg(F.count("*").alias("tasks"), F.min("created_at").alias("oldest"))
+
+
+@query(ctes("task_queue") + "\nselect id, priority, created_at from task_queue where status = 'QUEUED' order by priority desc, created_at, id limit 50")
+def task_order(spark, d):
+    t = listing.by_columns(view(spark, d, "task_queue"), status="QUEUED")
+    return t.orderBy(F.desc("priority"), "created_at", "id").limit(50).select("id", "priority", "created_at")
+
+
+@query(ctes("groups", "messages", "guides", "task_queue") + """
+select g.id as group_id, title, (select count(*) from messages m where m.group_id = g.id and message_date > timestamp '1970-01-01') as messages, (select count(*) from guides x where x.group_id = g.id) as guides,
+ (select count(*) from guides x where x.group_id = g.id and status = 'PUBLISHED') as published, (select count(*) from task_queue t where t.input_ref_id = g.id and status = 'FAILED' and input_ref_type = 'GROUP') as failed_tasks,
+ cast(0 as bigint) as chains from groups g where enabled""")
+def group_stats(spark, d):
+    return monitor.group_stats(*(view(spark, d, n) for n in ("groups", "messages", "guides", "task_queue")))
+
+
+@query(ctes("groups", "messages") + f"""
+select g.id as group_id, title, count(m.id) // 30 as per_day from groups g left join messages m on m.group_id = g.id and message_date > {N} - interval 30 day where enabled group by all""")
+def messages_per_day(spark, d):
+    return monitor.messages_per_day(view(spark, d, "groups"), view(spark, d, "messages"), now())
+
+
+@query(ctes("groups", "messages") + f"""
+select g.id as group_id, title, count(m.id) // 30 as per_day from groups g left join messages m on m.group_id = g.id and message_date > {N} - interval 30 day where enabled group by all order by per_day desc, group_id limit 10""")
+def top_groups(spark, d):
+    return monitor.messages_per_day(view(spark, d, "groups"), view(spark, d, "messages"), now(), 10)
+
+
+@query(ctes("groups", "guides") + "\nselect g.id as group_id, g.title, count(x.id) as guides, round(coalesce(avg(confidence), 0), 9) as avg_confidence from groups g left join guides x on x.group_id = g.id group by all")
+def guides_by_group(spark, d):
+    return monitor.guides_by_group(view(spark, d, "groups"), view(spark, d, "guides"))
+
+
+@query(ctes("messages", "groups") + """
+select count_if(processing_status = 'UNPROCESSED') as unprocessed, count_if(processing_status = 'QUEUED') as queued, count_if(processing_status = 'PROCESSING') as processing,
+ count_if(processing_status = 'CLASSIFIED' and w) as classified, count_if(processing_status = 'SKIPPED' and w) as skipped, count_if(processing_status = 'GUIDE_FOUND' and w) as guide_found
+from (select *, message_date between timestamp '2024-01-01 00:30:00' and timestamp '2024-01-01 02:00:00' as w from messages where group_id in (select id from groups where enabled))""")
+def status_counts(spark, d):
+    return monitor.status_counts(view(spark, d, "messages"), view(spark, d, "groups"), "2024-01-01 00:30:00", "2024-01-01 02:00:00")
+
+
+FLOW = ", ".join(f"count_if(stage = '{s}'{'' if t is None else f' and status = ' + chr(39) + t + chr(39)}) as {k}" for k, (s, t) in monitor.STAGE_COUNTS.items())
+
+
+@query(ctes("traces") + f"\nselect {FLOW}, cast(coalesce(sum(input_tokens), 0) as bigint) as sum_input_tokens, cast(coalesce(sum(output_tokens), 0) as bigint) as sum_output_tokens, cast(coalesce(sum(duration_ms), 0) as bigint) as sum_duration_ms from traces")
+def flow_metrics(spark, d):
+    return monitor.flow_metrics(view(spark, d, "traces"))
+
+
+STEPS = ["telegram_read", "rules_passed", "classified", "guides_generated"]
+
+
+@query(ctes("traces") + f""", m as (select {FLOW} from traces), s as (select unnest(range(4))::integer as step, unnest(['{"', '".join(STEPS)}']) as name, unnest([{", ".join(STEPS)}]) as value from m)
+select step, name, value, case when step = 0 then 100.0::double when lag(value) over (order by step) > 0 then round(value::double * 100 / lag(value) over (order by step), 1) end as conversion from s""")
+def funnel(spark, d):
+    return monitor.funnel(monitor.flow_metrics(view(spark, d, "traces")), STEPS)
+
+
+@query(ctes("traces") + "\nselect id, stage, status, started_at from traces where message_id = 42000 order by started_at, id")
+def traces_of_message(spark, d):
+    return listing.by_columns(view(spark, d, "traces"), message_id=42000).orderBy("started_at", "id").select("id", "stage", "status", "started_at")
+
+
+@query(ctes("groups") + "\nselect account_id, count(*) as groups, count_if(enabled) as enabled, count_if(forum) as forums from groups group by account_id")
+def account_groups(spark, d):
+    return monitor.account_groups(view(spark, d, "groups"))
+
+
+@query(ctes("messages") + "\nselect group_id, max(telegram_message_id) as last_read_message_id, max(message_date) as last_read_at from messages group by group_id")
+def high_watermarks(spark, d):
+    return monitor.high_watermarks(view(spark, d, "messages"))
+
+
+@query(ctes("providers") + "\nselect count(*) as providers, count_if(status not in ('ACTIVE', 'HEALTHY')) as unhealthy from providers")
+def provider_health(spark, d):
+    return monitor.provider_health(view(spark, d, "providers"))
+
+
+# ---- lists
+
+
+@query(ctes("messages") + "\nselect id, group_id, message_date from messages where group_id = 2 order by message_date desc, id limit 20 offset 20")
+def messages_page(spark, d):
+    m = listing.by_columns(view(spark, d, "messages"), group_id=2, processing_status="")
+    return listing.page(m, [F.desc("message_date"), F.col("id")], 1, 20).select("id", "group_id", "message_date")
+
+
+@query(ctes("messages") + "\nselect group_id, topic_id, count(*) as messages, max(message_date) as latest from messages where topic_id is not null group by all")
+def messages_by_topic(spark, d):
+    return view(spark, d, "messages").where("topic_id is not null").groupBy("group_id", "topic_id").agg(F.count("*").alias("messages"), F.max("message_date").alias("latest"))
+
+
+@query(ctes("messages", "groups") + "\nselect id, message_date from messages where processing_status in ('UNPROCESSED', 'QUEUED') and group_id in (select id from groups where enabled) order by message_date, id limit 20")
+def queue_page(spark, d):
+    return listing.queue(view(spark, d, "messages"), view(spark, d, "groups")).select("id", "message_date")
+
+
+@query(ctes("messages", "groups") + """
+select m.id, group_id, coalesce(title, 'Unknown group') as group_title, case when length(text) > 120 then concat(substring(text, 1, 120), '...') else text end as preview, message_date
+from messages m left join groups g on m.group_id = g.id where processing_status in ('QUEUED', 'UNPROCESSED')""")
+def queue_items(spark, d):
+    return listing.queue_items(view(spark, d, "messages"), view(spark, d, "groups"))
+
+
+@query(ctes("messages", "groups") + """
+select m.id, processing_status from messages m semi join (select id from groups where enabled) g on m.group_id = g.id
+where processing_status in ('CLASSIFIED', 'SKIPPED', 'GUIDE_FOUND') and message_date > timestamp '2024-01-01 01:00:00'""")
+def results_list(spark, d):
+    m = listing.in_enabled_groups(view(spark, d, "messages"), view(spark, d, "groups"))
+    return m.where(F.col("processing_status").isin("CLASSIFIED", "SKIPPED", "GUIDE_FOUND") & (F.col("message_date") > F.lit("2024-01-01 01:00:00").cast("timestamp_ntz"))).select("id", "processing_status")
+
+
+@query(ctes("groups") + "\nselect id, title, username from groups where lower(title) like '%on_1%' or cast(telegram_chat_id as varchar) like '%on_1%' or lower(username) like '%on_1%'")
+def group_search(spark, d):
+    return listing.search_groups(view(spark, d, "groups"), "on_1").select("id", "title", "username")
+
+
+@query(ctes("groups", "messages", "guides") + """
+select g.id as group_id, g.title, (select count(*) from messages m where m.group_id = g.id and message_date > timestamp '2024-01-01 12:00:00' - interval 24 hour) as messages_24h,
+ (select count(*) from guides x where x.group_id = g.id) as guides, case when telegram_chat_id > 0 then 'DIRECT_CHAT' else 'GROUP' end as source_type from groups g""")
+def group_cards(spark, d):
+    return listing.group_cards(view(spark, d, "groups"), view(spark, d, "messages"), view(spark, d, "guides"), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+
+
+@query(ctes("guides") + "\nselect id, status, confidence from guides where status = 'PUBLISHED' and confidence >= 0.5::double and estimated_cost_usd <= 0.1::double")
+def guides_filter(spark, d):
+    return listing.filter_guides(view(spark, d, "guides"), status="PUBLISHED", min_confidence=0.5, max_cost=0.1).select("id", "status", "confidence")
+
+
+@query(ctes("guides", "groups") + "\nselect x.id, x.group_id from guides x left join groups g on x.group_id = g.id where contains(lower(concat_ws(' ', x.title, g.title)), 'an')")
+def guides_search(spark, d):
+    return listing.search_guides(view(spark, d, "guides"), view(spark, d, "groups"), "an").select("id", "group_id")
+
+
+@query(ctes("guides", "guide_source_messages", "messages") + """
+select b.guide_id, b.message_id, used_in_prompt, coalesce(sender_name, 'Unknown') as sender, message_date, cast(row_number() over (partition by b.guide_id order by message_date asc nulls last, b.message_id) as integer) as position
+from guides x join guide_source_messages b on x.id = b.guide_id left join messages m on m.id = b.message_id""")
+def guide_detail_sources(spark, d):
+    return listing.guide_sources(view(spark, d, "guides"), view(spark, d, "guide_source_messages"), view(spark, d, "messages"))
+
+
+@query(ctes("guide_source_messages") + "\nselect guide_id, count(*) as sources, count_if(used_in_prompt) as used from guide_source_messages group by guide_id")
+def source_summary(spark, d):
+    return listing.source_summary(view(spark, d, "guide_source_messages"))
+
+
+@query(ctes("guides") + "\nselect a.id as guide_id, b.id as related_id from guides a join guides b on a.group_id is not distinct from b.group_id and a.id <> b.id")
+def related_guides(spark, d):
+    return listing.related_guides(view(spark, d, "guides"))
+
+
+@query(ctes("guides") + "\nselect a.id as guide_id, a.title, b.id as duplicate_id from guides a join guides b on b.duplicate_of_id = a.id")
+def possible_duplicates(spark, d):
+    return listing.possible_duplicates(view(spark, d, "guides"))
+
+
+@query(ctes("messages") + """
+select id, group_id, topic_id from (select *, row_number() over (partition by group_id, topic_id order by r) k from (select *, row_number() over (partition by group_id order by message_date desc, id desc) r from messages where topic_id is not null) where r <= 500) where k = 1""")
+def recent_topics(spark, d):
+    return listing.first_per_topic(view(spark, d, "messages")).select("id", "group_id", "topic_id")
+
+
+@query(ctes("messages") + """
+, a as (select group_id, topic_id, min(topic_name) as topic_name from messages where topic_id is not null and id % 2 = 0 group by all),
+b as (select group_id, topic_id, concat('seen ', max(id)::varchar) as topic_name from messages where topic_id is not null group by all)
+select group_id, topic_id, topic_name from a union all select group_id, topic_id, topic_name from b anti join a using (group_id, topic_id)""")
+def topics_merged(spark, d):
+    m = view(spark, d, "messages").where("topic_id is not null")
+    keys = ["group_id", "topic_id"]
+    cached = m.where("id % 2 = 0").groupBy(*keys).agg(F.min("topic_name").alias("topic_name"))
+    seen = m.groupBy(*keys).agg(F.concat(F.lit("seen "), F.max("id").cast("string")).alias("topic_name"))
+    return listing.merge_topics(cached, seen, keys)
+
+
+@query(ctes("messages") + "\nselect group_id, list(telegram_message_id order by telegram_message_id desc)[1:5]::varchar as newest from messages group by group_id")
+def latest_per_chat(spark, d):
+    m = listing.latest_per_chat(view(spark, d, "messages"), 5)
+    return m.select("group_id", F.concat(F.lit("["), F.array_join(F.transform("message_ids", lambda x: x.cast("string")), ", "), F.lit("]")).alias("newest"))
+
+
+@query(ctes("messages") + "\nselect id, coalesce(cast(message_date as date) <> lag(cast(message_date as date)) over (partition by group_id order by message_date, id), true) as new_day from messages")
+def day_separators(spark, d):
+    return listing.day_separators(view(spark, d, "messages")).select("id", "new_day")
+
+
+@query("""select id, case when row_number() over (partition by lower(username) order by id) > 1 then concat(username, '_', id) else username end as username
+from (select s_suppkey as id, case when s_suppkey % 2 = 0 then concat('User', s_suppkey % 7) else concat('uSER', s_suppkey % 7) end as username from supplier)""")
+def username_dedupe(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    prefix = F.when(F.col("s_suppkey") % 2 == 0, F.lit("User")).otherwise(F.lit("uSER"))
+    return listing.unique_usernames(s.select(F.col("s_suppkey").alias("id"), F.concat(prefix, (F.col("s_suppkey") % 7).cast("string")).alias("username")))
+
+
+@query(ctes("providers") + "\nselect id, name from providers where status in ('ACTIVE', 'HEALTHY', 'WARNING') order by protocol = 'MOCK', id limit 1")
+def provider_pick(spark, d):
+    return listing.pick_provider(view(spark, d, "providers")).select("id", "name")
+
+
+# ---- chains
+
+PARENTS = "edges as (select c.id as child, p.id as parent from messages c join messages p on c.group_id = p.group_id and c.reply_to_message_id = p.telegram_message_id)"
+CLOSURES = """up as (select child as root_id, parent as id, 1 as depth from edges union all select root_id, parent, depth + 1 from up join edges on up.id = child where depth < 1000),
+down as (select parent as root_id, child as id, 1 as depth from edges union all select root_id, child, depth + 1 from down join edges on down.id = parent where depth < 1000)"""
+NEAR = """near as (select r.id as root_id, o.id as id from messages r join messages o on r.group_id = o.group_id and o.message_date > r.message_date - interval 5 minute and o.message_date <= r.message_date + interval 5 minute and r.id <> o.id
+ where coalesce(r.topic_id = o.topic_id, false) or coalesce(r.reply_to_message_id = o.telegram_message_id, false) or coalesce(o.reply_to_message_id = r.telegram_message_id, false)
+ or coalesce(r.sender_telegram_user_id = o.sender_telegram_user_id, false) or (r.topic_id is null and o.reply_to_message_id is null))"""
+CHAINS = f"""{PARENTS}, {CLOSURES}, {NEAR},
+members as (select root_id, id, min((kind, depth)) as rank from (select id as root_id, id, 0 as kind, 0 as depth from messages union all select root_id, id, 1, depth from up union all select root_id, id, 2, depth from down
+ union all select root_id, id, 3, 0 from near) group by root_id, id),
+chain as (select * from (select root_id, m.id, cast(row_number() over (partition by root_id order by message_date, rank, m.id) as integer) as position from members m join messages using (id)) where position <= 20)"""
+TEXTS = """texts as (select root_id, string_agg(text, ' ' order by position) as t, string_agg(case when regexp_matches(text, '\\S') then text end, ' ' || chr(10) || ' ' order by position) as nt,
+ sum(reply_count) as replies, bool_or(topic_id is not null) as topic, bool_or(not is_bot) as human from chain join messages using (id) group by root_id)"""
+CH = ctes("messages", recursive=True) + ",\n" + CHAINS
+
+
+@query(ctes("messages") + f", {PARENTS} select m.id, e.parent as parent_id from messages m left join edges e on e.child = m.id where reply_to_message_id is not null")
+def reply_parent(spark, d):
+    return chains.reply_parents(view(spark, d, "messages"))
+
+
+@query(CH + " select root_id, id, min(depth) as depth from up group by all")
+def ancestors(spark, d):
+    return chains.ancestors(view(spark, d, "messages"))
+
+
+@query(CH + " select root_id, id, min(depth) as depth from down group by all")
+def descendants(spark, d):
+    return chains.descendants(view(spark, d, "messages"))
+
+
+@query(ctes("messages") + f", {NEAR} select root_id, id from near")
+def nearby_context(spark, d):
+    return chains.nearby(view(spark, d, "messages"))
+
+
+@query(CH + " select root_id, position, id from chain")
+def chain_members(spark, d):
+    return chains.chains(view(spark, d, "messages"))
+
+
+@query(CH + """ select c.root_id, c.position, c.id, case when r.id = o.id then 'ROOT' when r.reply_to_message_id = o.telegram_message_id then 'PARENT_REPLY' when o.reply_to_message_id = r.telegram_message_id then 'DIRECT_REPLY'
+ when o.reply_to_message_id is not null or r.reply_to_message_id is not null then 'THREAD_REPLY' when r.topic_id = o.topic_id then 'SAME_TOPIC_NEARBY' when r.sender_telegram_user_id = o.sender_telegram_user_id then 'SAME_AUTHOR_NEARBY'
+ else 'TIMELINE_NEARBY' end as relation from chain c join messages r on c.root_id = r.id join messages o on c.id = o.id""")
+def chain_relations(spark, d):
+    m = view(spark, d, "messages")
+    return chains.chain_relations(m, chains.chains(m))
+
+
+@query(CH + """ select root_id, id, depth, case when exists (select 1 from edges where child = root_id) then 'reply_branch' else 'thread_root' end as kind from (select child as root_id, parent as id, -1 as depth from edges
+ union all select id, id, 0 from messages union all select root_id, id, min(depth) from down group by all)""")
+def chain_view(spark, d):
+    return chains.chain_view(view(spark, d, "messages"))
+
+
+@query(CH + f", {TEXTS} select root_id, coalesce(t, '') as text, length(coalesce(t, '')) // 3 as tokens from texts")
+def chain_text(spark, d):
+    text = chains.joined_text(F.col("chain"))
+    return _collected(spark, d).select("root_id", text.alias("text"), F.expr("length(array_join(filter(transform(chain, m -> m.text), t -> t is not null), ' ')) div 3").alias("tokens"))
+
+
+def _collected(spark, d):
+    m = view(spark, d, "messages")
+    return chains.collected(m, chains.chains(m))
+
+
+# ---- classifiers
+
+KW = X.split_list(K.KEYWORDS)
+KEYWORD_SQL = "kw as (select root_id, n, case when n = 0 then 0.0::double else least(1.0::double, 0.55::double + (n - 1) * 0.12::double) end as score from (select root_id, " + " + ".join(f"contains(lower(t), '{w}')::integer" for w in KW) + " as n from texts))"
+
+
+@query(CH + f", {TEXTS}, {KEYWORD_SQL} select root_id, round(score, 9) as score, n > 0 as matched from kw")
+def keyword_classifier(spark, d):
+    r = _collected(spark, d).withColumn("r", classify.keyword(F.col("chain"), K.KEYWORDS))
+    return r.select("root_id", F.round("r.score", 9).alias("score"), "r.matched")
+
+
+HOW = r"\bhow to\b|\bstep \d+"
+
+
+@query(CH + f", {TEXTS} select root_id, case when regexp_matches(t, '(?i){B}how to{E}|{B}step \\d+') then 1.0::double else 0.0::double end as score from texts")
+def regex_classifier(spark, d):
+    return _collected(spark, d).select("root_id", classify.regex(spark, F.col("chain"), HOW)["score"].alias("score"))
+
+
+def _marker(words):
+    return "(" + " or ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+LINEAR_SQL = (
+    "f as (select root_id, least(1.0::double, length(low) / 500.0::double) as text_length_norm, least(1.0::double, replies / 5.0::double) as reply_count_norm, topic::integer::double as has_topic, human::integer::double as is_not_bot, "
+    + ", ".join(f"{_marker(w)}::integer::double as {k}" for k, w in K.LINEAR_MARKERS.items())
+    + " from (select *, lower(coalesce(nt, '')) as low from texts))"
+)
+FEATURES = ["text_length_norm", "reply_count_norm", "has_topic", "is_not_bot", *K.LINEAR_MARKERS]
+RAW = f"{D(K.LINEAR_MODEL['bias'])} + " + " + ".join(f"{D(w)} * {k}" for k, w in K.LINEAR_MODEL["features"].items())
+
+
+@query(CH + f", {TEXTS}, {LINEAR_SQL} select root_id, {', '.join(FEATURES)} from f")
+def linear_features(spark, d):
+    f = classify.linear_features(F.col("chain"))
+    return _collected(spark, d).select("root_id", *(f[k].alias(k) for k in FEATURES))
+
+
+@query(CH + f", {TEXTS}, {LINEAR_SQL} select root_id, round(1 / (1 + exp(-({RAW}))), 9) as score, 1 / (1 + exp(-({RAW}))) >= {D(0.75)} as matched from f")
+def linear_model(spark, d):
+    r = _collected(spark, d).withColumn("r", classify.linear_model(F.col("chain"), K.LINEAR_MODEL))
+    return r.select("root_id", F.round("r.score", 9).alias("score"), "r.matched")
+
+
+def _mock_sql() -> str:
+    words = lambda p: f"(?i){B}(?:{p}){E}"
+    p = {
+        "url": r"(?i)https?://\S+", "code": r"(?i)```|`[^`\n]+`|" + f"{B}(?:curl|npm|pnpm|yarn|docker|git|mvn|gradle|python|java){E}", "list": r"(?m)^\s*(\d+[.)]\s+|[-*•]\s+).+",
+        "guide": words(r"guide|tutorial|how\s+to|how-to|checklist|step\s+\d+"),
+        "release": words("release|launched|launch|update|pricing|credits?|limits?|quota|access|api|endpoint|model|benchmark|tokens?|context"), "question": r"(?i)\?|" + f"{B}(?:how|where|why|anyone|help){E}",
+        "action": words("do|use|setup|configure|connect|run|install|register|check|get|take|switch|compare|test|deploy|enable"),
+        "chatter": words(r"lol|lmao|bro|dude|thanks|thank\s+you|okay|ok|sure|got\s+it|nice|cool|hype|trash|sucks"),
+        "benchmark": words(r"benchmark|latency|pricing|tokens?|context|window|sdk|endpoint|quota|credits?|rate\s*limit|release\s*notes?"),
+        "promo": words("ref|referral|affiliate|subscribe|bonus|promo|coupon|discount") + r"|t\.me/|youtube\.com|youtu\.be", "casual": rf"(?i)^\s*(?:ok|okay|yeah|yep|nah|bro|dude|thanks|thank\s+you|sure|got\s+it){E}",
+    }
+    cols = ", ".join(f"regexp_matches({'x' if k == 'list' else 'low'}, '{v}') as p_{k}" for k, v in p.items())
+    plain = "not p_code and not p_guide and not p_list"
+    ev = "(p_action or p_release or p_benchmark)"
+    strong = f"p_guide::int + p_code::int + p_list::int + (p_url and {ev})::int + (p_release and (p_benchmark or n >= 420))::int + (n >= 520 and (p_release or p_guide or p_benchmark))::int"
+    steps = [("topic", 0.12), ("p_guide", 0.26), ("p_release", 0.14), ("p_url", 0.10), ("p_code", 0.22), ("p_list", 0.18), ("p_action", 0.12), ("p_benchmark", 0.10), ("n >= 420", 0.12), ("n >= 240 and n < 420", 0.05), ("strong >= 3", 0.12),
+             (f"p_question and not p_action and {plain}", -0.22), ("marks >= 2 and strong < 2", -0.12), ("p_chatter and not p_url and not p_code and not p_guide", -0.28), (f"p_promo and {plain}", -0.28), (f"p_casual and {plain}", -0.12), (f"n < 160 and {plain} and not p_url", -0.30)]
+    total = " + ".join(f"case when {c} then {D(v)} else {D(0)} end" for c, v in steps)
+    return f"""mx as (select id, text, {TRIM} as x, lower({TRIM}) as low from messages), mp as (select *, length(low) as n, length(x) - length(replace(x, '?', '')) as marks, {" or ".join(f"contains(low, '{w}')" for w in K.MOCK_TOPICS)} as topic, {cols} from mx),
+ms as (select *, {strong} as strong from mp), mt as (select *, greatest({D(0)}, least({D(1)}, {total})) as raw from ms),
+mock as (select id, round(raw, 3) as score, raw >= {D(0.8)} and strong >= 2 and (not ({plain}) or (p_url and {ev}) or (p_release and p_benchmark and n >= 420)) and not (p_chatter and {plain}) and not (p_promo and {plain}) as matched, strong from mt)"""
+
+
+@query(ctes("messages") + ", " + _mock_sql() + " select id, score, matched from mock")
+def mock_llm_score(spark, d):
+    m = view(spark, d, "messages").select("id", F.concat(F.lit("Message chain to classify:"), X.text_or_empty(F.col("text"))).alias("prompt"))
+    return classify.mock_llm(m, "prompt").select("id", F.round("mock.score", 3).alias("score"), "mock.matched")
+
+
+@query(CH + f""", {TEXTS}, {KEYWORD_SQL}, {LINEAR_SQL},
+r as (select root_id, 0 as pos, round(score, 9) as score, n > 0 as matched from kw union all select root_id, 1, s, s > 0 from (select root_id, case when regexp_matches(t, '(?i){B}how to{E}|{B}step \\d+') then 1.0::double else 0.0::double end as s from texts)
+ union all select root_id, 2, round(s, 9), s >= {D(0.75)} from (select root_id, 1 / (1 + exp(-({RAW}))) as s from f)),
+p as (select *, matched and score >= 0.75 as pass from r), e as (select *, min(case when pass and score >= 0.9 then pos end) over (partition by root_id) as stop from p), seen as (select * from e where pos <= coalesce(stop, 9))
+select root_id, cast(count(*) as integer) as evaluated, arg_max(pos, (score, -pos)) as best, max(score) as best_score, arg_max(pos, (score, -pos)) filter (pass) as selected from seen group by root_id""")
+def classifier_cascade(spark, d):
+    v = classify.classify(_collected(spark, d), pipeline.CLASSIFIERS)
+    return v.select("root_id", F.col("verdict.evaluated").alias("evaluated"), (-F.col("verdict.best.neg")).alias("best"), F.round("verdict.best.score", 9).alias("best_score"), (-F.col("verdict.selected.neg")).alias("selected"))
+
+
+# ---- guides
+
+
+@query(CH + """ , t as (select root_id, arg_min(tt, position) as title from (select root_id, position, """ + TRIM + """ as tt from chain join messages using (id)) where regexp_matches(tt, '\\S') group by root_id)
+select c.root_id, coalesce(case when length(title) > 90 then concat(substring(title, 1, 90), '...') else title end, 'Local draft') as title, 0.55::double as confidence from (select distinct root_id from chain) c left join t using (root_id)""")
+def fallback_guide(spark, d):
+    g = guides.fallback_guide(classify.classify(_collected(spark, d), pipeline.CLASSIFIERS[:1]))
+    return g.select("root_id", "guide.title", "guide.confidence")
+
+
+@query(CH + """, s as (select root_id, cast(sum(length(coalesce(text, ''))) as bigint) // 3 as input_tokens from chain join messages using (id) group by root_id)
+select root_id, input_tokens, cast(200 as bigint) as output_tokens, round((input_tokens + 200) * 0.00002::double, 6) as cost from s""")
+def token_estimates(spark, d):
+    e = _collected(spark, d).withColumn("e", guides.estimate(F.col("chain"), 0, F.lit(""), F.lit("")))
+    return e.select("root_id", "e.input_tokens", "e.output_tokens", F.round("e.cost", 6).alias("cost"))
+
+
+@query()
+def guide_tags(spark, d):
+    g = view(spark, d, "guides")
+    return g.select("id", F.array_join(guides.fallback_tags(F.col("title"), guides.compatible("title")), ",").alias("tags"))
+
+
+# ---- changes
+
+INCOMING = "incoming as (select id + 5000000 as id, telegram_message_id + case when id % 3 = 0 then 5000000 else 0 end as telegram_message_id, group_id, 'Ann' as sender_name, sender_telegram_user_id, text from messages where id % 2 = 0)"
+
+
+def _incoming(m):
+    moved = F.col("telegram_message_id") + F.when(F.col("id") % 3 == 0, 5000000).otherwise(0)
+    return m.where("id % 2 = 0").withColumns({"telegram_message_id": moved, "id": F.col("id") + 5000000, "sender_name": F.lit("Ann")})
+
+
+@query(ctes("messages") + f", {INCOMING} select id, group_id, telegram_message_id from incoming i anti join messages m using (group_id, telegram_message_id)")
+def dedupe_ingest(spark, d):
+    m = view(spark, d, "messages")
+    return mutations.new_messages(_incoming(m), m).select("id", "group_id", "telegram_message_id")
+
+
+@query(ctes("messages") + f""", old as (select * replace (case when id % 4 = 0 then 'User 7' else sender_name end as sender_name, case when id % 6 = 0 then '' else text end as text) from messages), {INCOMING}
+select o.id, case when o.sender_name like 'User %' and i.sender_name is not null then i.sender_name else o.sender_name end as sender_name,
+ case when i.text is not null and regexp_matches(i.text, '\\S') and (not regexp_matches(o.text, '\\S') or (contains(i.text, 'https://') and not contains(o.text, 'https://'))) then i.text else o.text end as text
+from old o left join incoming i using (group_id, telegram_message_id)""")
+def repair_merge(spark, d):
+    m = view(spark, d, "messages")
+    old = m.withColumns({"sender_name": F.when(F.col("id") % 4 == 0, F.lit("User 7")).otherwise(F.col("sender_name")), "text": F.when(F.col("id") % 6 == 0, F.lit("")).otherwise(F.col("text"))})
+    return mutations.repair(old, _incoming(m)).select("id", "sender_name", "text")
+
+
+@query(ctes("messages", "groups") + """
+select id, case when processing_status in ('SKIPPED', 'CLASSIFIED', 'CLEARED') and group_id in (select id from groups where enabled) then 'UNPROCESSED' else processing_status end as processing_status from messages""")
+def requeue(spark, d):
+    return mutations.requeue(view(spark, d, "messages"), view(spark, d, "groups")).select("id", "processing_status")
+
+
+@query(ctes("messages", "groups") + "\nselect id, case when processing_status = 'QUEUED' and group_id in (select id from groups where enabled) then 'SKIPPED' else processing_status end as processing_status from messages")
+def clear_queue(spark, d):
+    return mutations.clear_queue(view(spark, d, "messages"), view(spark, d, "groups")).select("id", "processing_status")
+
+
+@query(ctes("messages", "traces") + """, m as (select *, case when id % 5 = 0 then id end as guide_id from messages), x as (select id from m where guide_id is not null and processing_status <> 'PROCESSING')
+select 'message' as kind, id, case when id in (select id from x) then 'CLEARED' else processing_status end as state from m union all select 'trace', id, stage from traces where message_id not in (select id from x)""")
+def clear_results(spark, d):
+    m = view(spark, d, "messages").withColumn("guide_id", F.when(F.col("id") % 5 == 0, F.col("id")))
+    after, left = mutations.clear_results(m, view(spark, d, "traces"))
+    return after.select(F.lit("message").alias("kind"), "id", F.col("processing_status").alias("state")).unionByName(left.select(F.lit("trace").alias("kind"), "id", F.col("stage").alias("state")))
+
+
+@query(ctes("messages", "guides", "guide_source_messages") + """, m as (select *, id % 50 as guide_id from messages), gone as (select id from guides where id % 3 = 0)
+select 'guide' as kind, id, status as state from guides where id not in (select id from gone) union all select 'bridge', message_id, guide_id::varchar from guide_source_messages where guide_id not in (select id from gone)
+union all select 'message', id, concat(case when guide_id in (select id from gone) and processing_status = 'GUIDE_FOUND' then 'SKIPPED' else processing_status end, '|', case when guide_id in (select id from gone) then 'none' else guide_id::varchar end) from m""")
+def detach_guides(spark, d):
+    m = view(spark, d, "messages").withColumn("guide_id", F.col("id") % 50)
+    x = view(spark, d, "guides")
+    g, b, m = mutations.delete_guides(x, view(spark, d, "guide_source_messages"), m, x.where("id % 3 = 0").select("id"))
+    state = F.concat("processing_status", F.lit("|"), F.coalesce(F.col("guide_id").cast("string"), F.lit("none")))
+    parts = [g.select(F.lit("guide").alias("kind"), "id", F.col("status").alias("state")), b.select(F.lit("bridge").alias("kind"), F.col("message_id").alias("id"), F.col("guide_id").cast("string").alias("state")), m.select(F.lit("message").alias("kind"), "id", state.alias("state"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(ctes("groups") + """, seen as (select telegram_chat_id, case when id % 5 = 0 then concat(title, '!') else title end as title, username, forum from groups where id % 7 <> 0 union all select -99999, 'NEW', null, true)
+select coalesce(s.telegram_chat_id, g.telegram_chat_id) as telegram_chat_id, coalesce(s.title, g.title) as title, coalesce(enabled, false) as enabled,
+ case when g.id is null then 'ADDED' when s.telegram_chat_id is null then 'MISSING' when s.title is distinct from g.title then 'UPDATED' else 'SAME' end as change from groups g full join seen s using (telegram_chat_id)""")
+def group_sync(spark, d):
+    g = view(spark, d, "groups")
+    seen = g.where("id % 7 <> 0").select("telegram_chat_id", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"), "username", "forum")
+    new = spark.sql("select cast(-99999 as bigint) as telegram_chat_id, 'NEW' as title, cast(null as string) as username, true as forum")
+    return mutations.sync_groups(g, seen.unionByName(new)).select("telegram_chat_id", "title", "enabled", "change")
+
+
+@query(ctes("groups") + "\nselect id, title, enabled or id in (4, 8, 12) as enabled, case when id in (4, 8, 12) then 3 else account_id end as account_id from groups")
+def bulk_assign(spark, d):
+    return mutations.set_where(view(spark, d, "groups"), F.col("id").isin(4, 8, 12), enabled=True, account_id=3).select("id", "title", "enabled", F.col("account_id").cast("long").alias("account_id"))
+
+
+@query("select n_nationkey::bigint as id, case n_nationkey when 3 then 0 when 1 then 1 when 2 then 2 else n_nationkey end as rule_order from nation")
+def reorder_rules(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").alias("rule_order"))
+    return mutations.reorder(rows, [3, 1, 2])
+
+
+# ---- the whole pipeline
+
+
+@query()
+def pipeline_independent(spark, d):
+    """Statuses of all open messages, each judged on the snapshot (checked against a plain evaluator in the tests)."""
+    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).statuses
+
+
+@query()
+def pipeline_sequential(spark, d):
+    """Statuses of all open messages as if the queue were drained one by one (checked in the tests)."""
+    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups"), sequential=True).statuses
+
+
+@query()
+def pipeline_traces(spark, d):
+    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).traces
