@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confab import config as K
 from confab.functions import text as X
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which Spark has no expression for."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
