@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confab.llm import common
 
@@ -30,7 +31,7 @@ SAMPLES = 32
 BETWEEN = r"[\x00-/:-`{-\x7f]+"
 
 
-def sample(word: Column, weight: Column, j: int) -> Column:
+def sample(word: Column, log_weight: Column, j: int) -> Column:
     """Draw ``j`` of a word (its 64-bit hash) as an ordered integer."""
     x = F.xxhash64(word, F.lit(j))
     y = F.xxhash64(x, F.lit(-j - 1))
@@ -38,7 +39,7 @@ def sample(word: Column, weight: Column, j: int) -> Column:
     r = -F.ln(unit(x, 0) * unit(x, 21))
     c = -F.ln(unit(x, 42) * unit(y, 0))
     b = unit(y, 21)
-    t = F.floor(F.ln(weight) / r + b)
+    t = F.floor(log_weight / r + b)
     value = F.ln(c) - r * (t + 1.0 - b)
     order = F.greatest(F.lit(0.0), F.least(F.lit(127.999), value + 100.0)) * float(1 << 24)
     name = F.xxhash64(word, t).bitwiseAND(F.lit((1 << 31) - 1))
@@ -47,7 +48,8 @@ def sample(word: Column, weight: Column, j: int) -> Column:
 
 def draw(weighted: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """keys and fingerprint (array of samples). weighted: keys, word (hash), weight."""
-    drawn = weighted.groupBy(*keys).agg(*(F.min(sample(F.col("word"), F.col("weight"), j)).alias(f"_s{j}") for j in range(samples)))
+    logs = weighted.select(*keys, "word", F.ln("weight").alias("_log"))
+    drawn = logs.groupBy(*keys).agg(*(F.min(sample(F.col("word"), F.col("_log"), j)).alias(f"_s{j}") for j in range(samples)))
     return drawn.select(*keys, F.array(*(f"_s{j}" for j in range(samples))).alias("fingerprint"))
 
 
@@ -90,11 +92,14 @@ def with_next(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     firsts = sorted(((r["_range"], r["i"], r["z"]) for r in placed.groupBy("_range").agg(F.min(id_col).alias("i"), F.max(F.col(id_col).isNull()).alias("z")).collect()), key=lambda r: r[0])
     if not firsts:
         return placed.select(*placed.columns, F.lit(False).alias("_late"), F.lit(0).alias("_row"), F.lit(None).cast("string").alias("_next"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    heads = spark.createDataFrame([(None if z else i, firsts[k - 1][0]) for k, (_, i, z) in enumerate(firsts)], f"_head {kind}, _to int")
+    # The target is declared not null: a filter on one of two uses would keep them from sharing their exchange of text.
+    schema = T.StructType([T.StructField("_head", rows.schema[id_col].dataType), T.StructField("_to", T.IntegerType(), False)])
+    heads = spark.createDataFrame([(None if z else i, firsts[k - 1][0]) for k, (_, i, z) in enumerate(firsts)], schema)
     copies = placed.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("_head"))).withColumn("_range", F.col("_to")).drop("_head", "_to").withColumn("_late", F.lit(True))
     w = W.partitionBy("_range").orderBy("_late", F.asc_nulls_first(id_col), "text")
-    return placed.withColumn("_late", F.lit(False)).unionByName(copies).withColumn("_row", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
+    # As many partitions as ranges: what a task counts in then fits its memory.
+    spread = placed.withColumn("_late", F.lit(False)).unionByName(copies).repartition(n, "_range")
+    return spread.withColumn("_row", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
