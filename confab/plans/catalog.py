@@ -126,7 +126,7 @@ def rule_checks(spark, d):
     return m.select("id", F.explode("rule_checks").alias("c")).select("id", "c.name", "c.matched")
 
 
-@query(ctes("messages") + ",\n" + RULES_SQL + "\nselect group_id, count(*) as messages, count_if(stop is null) as passed from stopped group by group_id")
+@query(ctes("messages") + ",\n" + RULES_SQL + "\nselect group_id, count(*) as messages, count(*) filter (where stop is null) as passed from stopped group by group_id")
 def rule_pass_counts(spark, d):
     return rules.evaluate(view(spark, d, "messages")).groupBy("group_id").agg(F.count("*").alias("messages"), F.count_if("rule_passes").alias("passed"))
 
@@ -161,7 +161,7 @@ def usage_csv_lines(spark, d):
     return monitor.usage_csv(view(spark, d, "usage_log"), view(spark, d, "providers"))
 
 
-@query(ctes("task_queue") + "\nselect count_if(status = 'QUEUED') as queued, count_if(status = 'RUNNING') as running, count_if(status = 'STUCK') as stuck from task_queue")
+@query(ctes("task_queue") + "\nselect count(*) filter (where status = 'QUEUED') as queued, count(*) filter (where status = 'RUNNING') as running, count(*) filter (where status = 'STUCK') as stuck from task_queue")
 def queue_status(spark, d):
     return monitor.queue_status(view(spark, d, "task_queue"))
 
@@ -210,14 +210,14 @@ def guides_by_group(spark, d):
 
 
 @query(ctes("messages", "groups") + """
-select count_if(processing_status = 'UNPROCESSED') as unprocessed, count_if(processing_status = 'QUEUED') as queued, count_if(processing_status = 'PROCESSING') as processing,
- count_if(processing_status = 'CLASSIFIED' and w) as classified, count_if(processing_status = 'SKIPPED' and w) as skipped, count_if(processing_status = 'GUIDE_FOUND' and w) as guide_found
+select count(*) filter (where processing_status = 'UNPROCESSED') as unprocessed, count(*) filter (where processing_status = 'QUEUED') as queued, count(*) filter (where processing_status = 'PROCESSING') as processing,
+ count(*) filter (where processing_status = 'CLASSIFIED' and w) as classified, count(*) filter (where processing_status = 'SKIPPED' and w) as skipped, count(*) filter (where processing_status = 'GUIDE_FOUND' and w) as guide_found
 from (select *, message_date between timestamp '2024-01-01 00:30:00' and timestamp '2024-01-01 02:00:00' as w from messages where group_id in (select id from groups where enabled))""")
 def status_counts(spark, d):
     return monitor.status_counts(view(spark, d, "messages"), view(spark, d, "groups"), "2024-01-01 00:30:00", "2024-01-01 02:00:00")
 
 
-FLOW = ", ".join(f"count_if(stage = '{s}'{'' if t is None else f' and status = ' + chr(39) + t + chr(39)}) as {k}" for k, (s, t) in monitor.STAGE_COUNTS.items())
+FLOW = ", ".join(f"count(*) filter (where stage = '{s}'{'' if t is None else f' and status = ' + chr(39) + t + chr(39)}) as {k}" for k, (s, t) in monitor.STAGE_COUNTS.items())
 
 
 @query(ctes("traces") + f"\nselect {FLOW}, cast(coalesce(sum(input_tokens), 0) as bigint) as sum_input_tokens, cast(coalesce(sum(output_tokens), 0) as bigint) as sum_output_tokens, cast(coalesce(sum(duration_ms), 0) as bigint) as sum_duration_ms from traces")
@@ -239,7 +239,7 @@ def traces_of_message(spark, d):
     return listing.by_columns(view(spark, d, "traces"), message_id=42000).orderBy("started_at", "id").select("id", "stage", "status", "started_at")
 
 
-@query(ctes("groups") + "\nselect account_id, count(*) as groups, count_if(enabled) as enabled, count_if(forum) as forums from groups group by account_id")
+@query(ctes("groups") + "\nselect account_id, count(*) as groups, count(*) filter (where enabled) as enabled, count(*) filter (where forum) as forums from groups group by account_id")
 def account_groups(spark, d):
     return monitor.account_groups(view(spark, d, "groups"))
 
@@ -249,7 +249,7 @@ def high_watermarks(spark, d):
     return monitor.high_watermarks(view(spark, d, "messages"))
 
 
-@query(ctes("providers") + "\nselect count(*) as providers, count_if(status not in ('ACTIVE', 'HEALTHY')) as unhealthy from providers")
+@query(ctes("providers") + "\nselect count(*) as providers, count(*) filter (where status not in ('ACTIVE', 'HEALTHY')) as unhealthy from providers")
 def provider_health(spark, d):
     return monitor.provider_health(view(spark, d, "providers"))
 
@@ -317,7 +317,7 @@ def guide_detail_sources(spark, d):
     return listing.guide_sources(view(spark, d, "guides"), view(spark, d, "guide_source_messages"), view(spark, d, "messages"))
 
 
-@query(ctes("guide_source_messages") + "\nselect guide_id, count(*) as sources, count_if(used_in_prompt) as used from guide_source_messages group by guide_id")
+@query(ctes("guide_source_messages") + "\nselect guide_id, count(*) as sources, count(*) filter (where used_in_prompt) as used from guide_source_messages group by guide_id")
 def source_summary(spark, d):
     return listing.source_summary(view(spark, d, "guide_source_messages"))
 
