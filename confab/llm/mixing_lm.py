@@ -1,16 +1,18 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors, beside a unigram baseline.
+"""Language-model scores by logistic mixing of bit predictors, beside a unigram baseline.
 
-The model codes a text's bytes, then an end mark, bit by bit. A predictor of order k has, for each hashed pair of the last k
+The model codes a text's bytes, then an end mark, bit by bit. A predictor of order k has, for each pair of the last k
 bytes and the bits of the current byte so far, how often a 0 and a 1 followed in the training texts. The predictors' logits
-are added with weights that a gate chooses (how often the two longest contexts were seen), and the weights are learned
-online. While a text is scored, the mixture is refined adaptively: several weight sets of differing boldness compete, and
+are added with weights that a gate chooses (how often the two longest contexts were seen). While a text is scored, the mixture is refined adaptively: several weight sets of differing boldness compete, and
 after every ``SEGMENT`` symbols each set's share moves with what it predicted. The shares only use what came before, so the
 score is the logarithm of a proper probability of the whole text.
 
-Counts cover every training text: distinct (context, byte) pairs are counted in each task and summed by Spark, then folded
-into tables of fixed size (``TABLE_BITS``), which is what bounds the broadcast. Mixing weights are fitted on a sample of
-about ``weight_chars`` characters. With contexts of four bytes a symbol's probability depends on five bytes, so each
-distinct five bytes of a slice are mixed once and looked up by position.
+Counts cover every training text and grow with the corpus. With contexts of four bytes a symbol's probability depends on
+five bytes, a gram. Texts are dealt into pieces of some ``PIECE`` bytes; the distinct grams of each piece are counted and
+summed by Spark into one distributed table, a row a gram of the corpus, with the exact counts of orders 3 and 4 on its path
+of bits (contexts that share three bytes are worked on together, at most 65536 rows). Orders 1 and 2 have at most 2 ** 24
+grams, far fewer in UTF-8, whatever the corpus; they are broadcast. Mixing weights are fitted by passes over all grams of
+that table (Newton steps by gate, sums in Spark). A piece's grams meet their probabilities in an equi-join, and come to the
+piece's texts by its number.
 
 Baseline counts of words are not bounded, so they are never broadcast: a task sends each word's postings (text, frequency)
 once a slice, these meet the counts in an equi-join that splits hot words, and come back as sums by text.
@@ -28,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confab.llm import common, wordhash as wh
 from confab.llm.language import fold
@@ -35,12 +38,15 @@ from confab.llm.language import fold
 U = np.uint64
 ORDERS = (1, 2, 3, 4)
 TABLE_BITS = {1: 16, 2: 20, 3: 21, 4: 21}
-WEIGHT_CHARS = 2_000_000
 SEGMENT, SHARE = 64, 0.02
 #: Factors on the learned weights: cautious, as learned, bold.
 BOLDNESS = (0.75, 1.0, 1.15)
 GATES = 8 * 4
 SLICE = 4 << 20
+#: Bytes, and rows, of the texts whose distinct grams meet the corpus's counts together.
+PIECE, PIECE_ROWS = 16 << 20, 1 << 20
+#: Passes over the corpus's grams that fit the weights, and the pull towards where they begin.
+PASSES, START, RIDGE = 5, 0.3, 1.0
 #: Distinct pairs that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -85,7 +91,7 @@ def slot(grams: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Counts of 0 and 1 in each slot of each order."""
+    """Counts of 0 and 1 in each slot of each order: a model of a small text on one machine. Queries use the exact counts below."""
 
     def __init__(self):
         self.n = {k: np.zeros((1 << TABLE_BITS[k], 2), np.float32) for k in ORDERS}
@@ -123,26 +129,30 @@ class Model:
         """log10 of each text's probability."""
         grams, first = layout(data, offsets)
         distinct, back = np.unique(grams, return_inverse=True)
-        p = self.log_probability(distinct)
-        n = np.diff(first)
-        count = -(-n // SEGMENT)
-        base = np.concatenate(([0], np.cumsum(count)))
-        within = np.arange(base[-1]) - np.repeat(base[:-1], count)
-        starts = np.repeat(first[:-1], count) + within * SEGMENT
-        segments = np.stack([np.add.reduceat(p[:, i][back], starts) for i in range(p.shape[1])], axis=1)
-        order = np.argsort(-count, kind="stable")  # texts by segments, so that those still going are a prefix
-        q = p.shape[1]
-        share = np.full((len(n), q), -np.log(q))
-        total = np.zeros(len(n))
-        for j in range(int(count.max(initial=0))):
-            live = order[: np.searchsorted(-count[order], -j, side="left")]
-            x = share[live] + segments[base[live] + j]
-            top = x.max(axis=1, keepdims=True)
-            e = np.exp(x - top)
-            s = e.sum(axis=1, keepdims=True)
-            total[live] += (top + np.log(s))[:, 0]
-            share[live] = np.log((1 - SHARE) * e / s + SHARE / q)
-        return total / np.log(10)
+        return adapted(self.log_probability(distinct), back, first)
+
+
+def adapted(p: np.ndarray, back: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability. p: natural logs by distinct gram and weight set; back: each position's gram; first: where texts begin."""
+    n = np.diff(first)
+    count = -(-n // SEGMENT)
+    base = np.concatenate(([0], np.cumsum(count)))
+    within = np.arange(base[-1]) - np.repeat(base[:-1], count)
+    starts = np.repeat(first[:-1], count) + within * SEGMENT
+    segments = np.stack([np.add.reduceat(p[:, i][back], starts) for i in range(p.shape[1])], axis=1)
+    order = np.argsort(-count, kind="stable")  # texts by segments, so that those still going are a prefix
+    q = p.shape[1]
+    share = np.full((len(n), q), -np.log(q))
+    total = np.zeros(len(n))
+    for j in range(int(count.max(initial=0))):
+        live = order[: np.searchsorted(-count[order], -j, side="left")]
+        x = share[live] + segments[base[live] + j]
+        top = x.max(axis=1, keepdims=True)
+        e = np.exp(x - top)
+        s = e.sum(axis=1, keepdims=True)
+        total[live] += (top + np.log(s))[:, 0]
+        share[live] = np.log((1 - SHARE) * e / s + SHARE / q)
+    return total / np.log(10)
 
 
 def learn_weights(tables: Tables, grams: np.ndarray, counts: np.ndarray, epochs: int = 4, rate: float = 0.02) -> np.ndarray:
@@ -166,6 +176,108 @@ def learn_weights(tables: Tables, grams: np.ndarray, counts: np.ndarray, epochs:
     return np.clip(w, -0.5, 2.0)
 
 
+# ---- exact counts
+
+
+def depths(keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """At row b, how often each key's context was followed by the first b bits of its symbol. keys: sorted, the symbol lowest."""
+    out = np.zeros((9, len(keys)))
+    for b in range(9 if len(keys) else 0):
+        prefix = keys >> U(8 - b)
+        new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
+        out[b] = np.add.reduceat(c, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def deep(grams: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams in order, their counts, and their depths in orders 3 and 4: (gram, order, bits). All grams of a three-byte context must be there."""
+    at = np.argsort(grams)
+    grams, c = grams[at], c[at]
+    short = grams & U(0xFFFFFFFF)
+    at = np.argsort(short, kind="stable")
+    out = np.empty((len(grams), 2, 9), np.float32)
+    out[at, 0] = depths(short[at], c[at]).T
+    out[:, 1] = depths(grams, c).T
+    return grams, c, out
+
+
+class Low:
+    """Exact counts of orders 1 and 2, as running sums over sorted keys."""
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray):
+        """keys: two bytes of context and a symbol."""
+        self.keys, self.sums = {}, {}
+        for order in (1, 2):
+            k, at = np.unique(keys & U((1 << (8 * order + 8)) - 1), return_inverse=True)
+            self.keys[order] = k
+            self.sums[order] = np.concatenate(([0.0], np.cumsum(np.bincount(at, weights=c, minlength=len(k)))))
+
+    def depths(self, grams: np.ndarray, order: int) -> np.ndarray:
+        k, back = np.unique(grams & U((1 << (8 * order + 8)) - 1), return_inverse=True)
+        out = np.empty((9, len(k)))
+        for b in range(9):
+            begin = k >> U(8 - b) << U(8 - b)
+            ends = (np.searchsorted(self.keys[order], x) for x in (begin, begin + (U(1) << U(8 - b))))
+            begin, end = (self.sums[order][x] for x in ends)
+            out[b] = end - begin
+        return out[:, back]
+
+
+def inputs(low: Low, grams: np.ndarray, high: np.ndarray, less: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of the symbols, the logits of that bit by order, and the gate. less: occurrences of the gram itself that do not count."""
+    t = [low.depths(grams, 1), low.depths(grams, 2), high[:, 0].T.astype(np.float64), high[:, 1].T.astype(np.float64)]
+    t = [np.maximum(x - less, 0) for x in t]
+    for bit in range(8):
+        x = np.stack([np.log((d[bit + 1] + 0.3) / (d[bit] - d[bit + 1] + 0.3)) for d in t], axis=1)
+        yield x, level(t[3][bit], 7) * 4 + level(t[2][bit], 3)
+
+
+def log_probability(low: Low, weights: np.ndarray, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Natural log probability of the symbol of each gram, by weight set."""
+    out = np.zeros((len(grams), len(BOLDNESS)))
+    for x, gate in inputs(low, grams, high, 0):
+        total = (weights[gate] * x).sum(axis=1)
+        for i, bold in enumerate(BOLDNESS):
+            out[:, i] -= np.logaddexp(0, -bold * total)
+    return out
+
+
+def loss_sums(low: Low, weights: np.ndarray, grams: np.ndarray, c: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """By gate: the loss in nats, its slope (4) and curvature (16), over all occurrences; each one's own is out of the counts it sees."""
+    n = len(ORDERS)
+    out = np.zeros((GATES, 1 + n + n * n))
+    for x, gate in inputs(low, grams, high, 1):
+        total = (weights[gate] * x).sum(axis=1)
+        miss = 1 / (1 + np.exp(np.clip(total, -500, 500)))
+        add = lambda v, gate=gate: np.bincount(gate, weights=v, minlength=GATES)
+        out[:, 0] += add(c * np.logaddexp(0, -total))
+        for i in range(n):
+            out[:, 1 + i] += add(c * miss * x[:, i])
+            for j in range(i, n):
+                both = add(c * miss * (1 - miss) * x[:, i] * x[:, j])
+                out[:, 1 + n + i * n + j] += both
+                if i != j:
+                    out[:, 1 + n + j * n + i] += both
+    return out
+
+
+def newton(sums, passes: int = PASSES) -> np.ndarray:
+    """Gated weights. sums: weights to ``loss_sums`` over all grams; each call is a pass. A gate whose loss rose goes half the way."""
+    n = len(ORDERS)
+    w = best = np.full((GATES, n), START)
+    least, step = np.full(GATES, np.inf), np.zeros((GATES, n))
+    for _ in range(passes):
+        got = sums(w)
+        better = got[:, 0] <= least
+        best = np.where(better[:, None], w, best)
+        least = np.minimum(least, got[:, 0])
+        slope = got[:, 1 : 1 + n] - RIDGE * (w - START)
+        fresh = np.linalg.solve(got[:, 1 + n :].reshape(-1, n, n) + RIDGE * np.eye(n), slope[:, :, None])[:, :, 0]
+        step = np.where(better[:, None], fresh, step / 2)
+        w = np.clip(best + step, -0.5, 2.0)
+    return np.round(best, 6)
+
+
 # ---- counting over the corpus
 
 
@@ -194,40 +306,127 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return wh.word_hashes(*wh.bounds(data, offsets, wh.NONBLANK)[:3])
 
 
-def fit(training: DataFrame, *, weight_chars: int = WEIGHT_CHARS) -> Model:
-    """training: a column ``text``."""
-    grams = lambda data, offsets: layout(data, offsets)[0]
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, train) with the number of the piece that each is in, written down so that the number stays."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([T.StructField("piece", T.LongType()), *rows.schema.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, size, n = TaskContext.get().partitionId() << 20, 0, 0
+        for batch in batches:
+            for part in common.slices(batch, "text", SLICE):
+                if size >= PIECE or n >= PIECE_ROWS:
+                    number, size, n = number + 1, 0, 0
+                size, n = size + (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0), n + part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], schema=arrow)
+
+    return common.cut(rows.mapInArrow(run, schema), "pieces")
+
+
+def grams_of_pieces(pieces: DataFrame) -> DataFrame:
+    """piece, k and c: the grams of each piece, and how often its training texts have them. A piece may give a gram in two rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, have_k, have_c = None, np.zeros(0, U), np.zeros(0)
+
+        def give():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(have_k), piece or 0)), pa.array(have_k.view(np.int64)), pa.array(have_c.astype(np.int64))], names=["piece", "k", "c"])
+
+        for batch in batches:
+            numbers = batch.column("piece").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for part in common.slices(batch.slice(a, b - a), "text", SLICE):
+                    own = part.column("piece")[0].as_py()
+                    if len(have_k) and (own != piece or len(have_k) > HELD):
+                        yield give()
+                        have_k, have_c = np.zeros(0, U), np.zeros(0)
+                    piece = own
+                    for train in (True, False):
+                        texts = part.column("text").filter(pc.equal(part.column("train"), train))
+                        k, c = np.unique(layout(*common.buffers(texts))[0], return_counts=True)
+                        have_k, at = np.unique(np.concatenate((have_k, k)), return_inverse=True)
+                        have_c = np.bincount(at, weights=np.concatenate((have_c, c * train)), minlength=len(have_k))
+        if len(have_k):
+            yield give()
+
+    return common.cut(pieces.select("piece", "text", "train").mapInArrow(run, "piece long, k long, c long"), "piece-grams")
+
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted_grams(needed: DataFrame) -> DataFrame:
+    """k, c and deep (``deep`` as bytes) of every gram of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            k, c, high = deep(k, c.astype(np.float64))
+            width = high.itemsize * 18
+            ends = np.arange(len(k) + 1, dtype=np.int32) * width
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(high.tobytes())])], names=["k", "c", "deep"])
+
+        k, c = np.zeros(0, U), np.zeros(0, np.int64)
         for batch in batches:
-            g = batch.column("k").to_numpy().view(U)
-            c = batch.column("c").to_numpy()
-            keys, zeros, ones = [], [], []
-            for order in ORDERS:
-                for bit in range(8):
-                    node, value = nodes(g, bit)
-                    keys.append((slot(g, order, node) << 3) | order)
-                    zeros.append(np.where(value == 0, c, 0))
-                    ones.append(np.where(value == 1, c, 0))
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n0, n1 = (np.bincount(at, weights=np.concatenate(x), minlength=len(k)) for x in (zeros, ones))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n0), pa.array(n1)], names=["k", "n0", "n1"])
-
-    tables = Tables()
-    folded = counted(training, grams).mapInArrow(slots, "k long, n0 double, n1 double").groupBy("k").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
-    folded = common.cut(folded, "slots")
-    for order in ORDERS:  # one table at a time reaches the driver: at most a row for each of its slots
-        got = folded.where(F.col("k").bitwiseAND(F.lit(7)) == order).select(F.shiftright("k", 3).cast("int").alias("at"), "n0", "n1").toArrow()
-        at = got.column("at").to_numpy()
-        for i, c in enumerate(("n0", "n1")):
-            tables.n[order][at, i] = got.column(c).to_numpy()
-        del got, at
-    chars = training.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    share = min(1.0, weight_chars / max(chars, 1))
-    sample = training.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    part = counted(sample, grams).toPandas().sort_values("k")
-    g, c = part["k"].to_numpy().astype(np.int64).view(U), part["c"].to_numpy().astype(np.float64)
-    return Model(tables, learn_weights(tables, g, c))
+            if not batch.num_rows:
+                continue
+            k = np.concatenate((k, batch.column("k").to_numpy().view(U)))
+            c = np.concatenate((c, batch.column("c").to_numpy()))
+            context = (k >> U(8)) & U(0xFFFFFF)
+            done = int(np.searchsorted(context, context[-1]))  # the last context may go on
+            if done:
+                yield give(k[:done], c[:done])
+                k, c = k[done:], c[done:]
+        if len(k):
+            yield give(k, c)
+
+    summed = needed.groupBy("k").agg(F.sum("c").alias("c")).withColumn("context", F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFFFF)))
+    return common.cut(summed.repartition("context").sortWithinPartitions("context").select("k", "c").mapInArrow(run, "k long, c long, deep binary"), "grams")
+
+
+def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and depths of a batch of ``counted_grams``."""
+    return batch.column("k").to_numpy().view(U), np.frombuffer(b"".join(batch.column("deep").to_pylist()), np.float32).reshape(-1, 2, 9)
+
+
+def fit(grams: DataFrame) -> tuple[Low, np.ndarray]:
+    """Counts of the low orders and gated weights, from all of ``counted_grams``."""
+    context = grams.sparkSession.sparkContext
+    seen = grams.where("c > 0")
+    short = seen.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).agg(F.sum("c").alias("c")).toArrow()
+    low = Low(short.column("k").to_numpy().view(U), short.column("c").to_numpy().astype(np.float64))
+    shared = context.broadcast(low)
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, 1 + len(ORDERS) + len(ORDERS) ** 2))
+            for batch in batches:
+                if batch.num_rows:
+                    k, high = columns(batch)
+                    total += loss_sums(shared.value, weights, k, batch.column("c").to_numpy().astype(np.float64), high)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+        out = np.zeros(GATES * (1 + len(ORDERS) + len(ORDERS) ** 2))
+        for r in seen.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        return out.reshape(GATES, -1)
+
+    return low, newton(sums)
+
+
+def gram_scores(grams: DataFrame, low: Low, weights: np.ndarray) -> DataFrame:
+    """k, and p0, p1, ...: the natural log probability of its symbol by weight set."""
+    shared = grams.sparkSession.sparkContext.broadcast((low, weights))
+    names = [f"p{i}" for i in range(len(BOLDNESS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = log_probability(*shared.value, *columns(batch))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names=["k", *names])
+
+    return grams.select("k", "deep").mapInArrow(run, "k long, " + ", ".join(f"{n} double" for n in names))
 
 
 # ---- scores
@@ -257,15 +456,17 @@ def postings(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[pa.Recor
     return [pa.array(key[head].view(np.int64)), pa.array(np.full(len(head), base)), post], np.diff(first)
 
 
-def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", weight_chars: int = WEIGHT_CHARS) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every document. training: which documents are learned from."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("_train"))
-    learned = rows.where("_train").select("text")
-    model = spark.sparkContext.broadcast(fit(learned, weight_chars=weight_chars))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    pieces = in_pieces(rows)
+    needed = grams_of_pieces(pieces)
+    grams = counted_grams(needed)
+    scores = needed.select("piece", "k").join(gram_scores(grams, *fit(grams)), "k")
+    learned = pieces.where("train").select("text")
     counts = common.cut(counted(learned, word_keys), "word-counts")
     texts = learned.count()
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -275,25 +476,29 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     schema = f"{POSTINGS}, id {kind}"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        """Postings and scores of a piece, from its texts and the log probabilities of its grams."""
+        k, p = known.column("k").combine_chunks(), np.stack([known.column(f"p{i}").to_numpy() for i in range(len(BOLDNESS))], axis=1)
+        number = texts.column("piece")[0].as_py() << 24
+        out = []
+        for batch in texts.select(["id", "text"]).to_batches(max_chunksize=1 << 14):
             for part in common.slices(batch, "text", SLICE):
-                number += 1 << 16
                 data, offsets = common.buffers(part.column("text"))
                 post, words = postings(data, offsets, number)
                 n = len(post[0])
                 nulls = lambda t, n=n: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([*post, nulls(pa.int64()), nulls(pa.float64()), nulls(arrow.field("id").type)], schema=arrow)
+                out.append(pa.RecordBatch.from_arrays([*post, nulls(pa.int64()), nulls(pa.float64()), nulls(arrow.field("id").type)], schema=arrow))
                 m = part.num_rows
                 own = number + np.arange(m)
-                score = model.value.score(data, offsets)
+                seen, first = layout(data, offsets)
+                back = pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy()
+                score = adapted(p, back, first)
                 cols = [pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(m, pa.binary()), pa.array(words + 1), pa.array(score), part.column("id").cast(arrow.field("id").type)]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                out.append(pa.RecordBatch.from_arrays(cols, schema=arrow))
+                number += m
+        return pa.Table.from_batches(out, schema=arrow)
 
-    met = rows.select("id", "text").mapInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
+    met = pieces.select("piece", "id", "text").groupBy("piece").cogroup(scores.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
     out = f"doc long, b double, known long, n_tokens long, score double, id {kind}"
     out_arrow = to_arrow_schema(_parse_datatype_string(out))
 

@@ -511,3 +511,32 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 def test_registry():
     assert sorted(registry.QUERIES, key=str) == sorted([*registry.ORACLES, *(set(registry.QUERIES) - set(registry.ORACLES))], key=str)
     assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES if q != "pipeline"} == {str(i) for i in range(1, 11)}
+
+
+def plain_depths(texts, order):
+    """How often each context was followed by each prefix of the next symbol's bits."""
+    out = collections.Counter()
+    for t in texts:
+        b = bytes(4) + t.encode() + b"\0"
+        for i in range(4, len(b)):
+            for bits in range(9):
+                out[b[i - order : i], bits, b[i] >> (8 - bits)] += 1
+    return out
+
+
+def test_lm_counts_are_exact_and_grow(spark):
+    rng = random.Random(17)
+    texts = ["".join(chr(rng.randint(33, 0x2FF)) for _ in range(rng.randint(0, 4000))) for _ in range(40)] + ["", "ab"]
+    rows = spark.createDataFrame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "id long, text string, train boolean").repartition(3)
+    grams = mixing_lm.counted_grams(mixing_lm.grams_of_pieces(mixing_lm.in_pieces(rows)))
+    low, _ = mixing_lm.fit(grams)
+    got = grams.toArrow()
+    k, high = mixing_lm.columns(got.combine_chunks().to_batches()[0])
+    want = {o: plain_depths([t for i, t in enumerate(texts) if i % 5 != 1], o) for o in mixing_lm.ORDERS}
+    every = {b[i : i + 5] for t in texts for b in [bytes(4) + t.encode() + b"\0"] for i in range(len(b) - 4)}
+    assert sorted(k.tolist()) == sorted(int.from_bytes(g, "big") for g in every)
+    deep = {1: low.depths(k, 1).T, 2: low.depths(k, 2).T, 3: high[:, 0], 4: high[:, 1]}
+    for i, g in enumerate(k.tolist()):
+        b = g.to_bytes(5, "big")
+        for o in mixing_lm.ORDERS:
+            assert deep[o][i].tolist() == [want[o][b[4 - o : 4], bits, b[4] >> (8 - bits)] for bits in range(9)]
