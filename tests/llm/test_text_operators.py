@@ -540,3 +540,14 @@ def test_lm_counts_are_exact_and_grow(spark):
         b = g.to_bytes(5, "big")
         for o in mixing_lm.ORDERS:
             assert deep[o][i].tolist() == [want[o][b[4 - o : 4], bits, b[4] >> (8 - bits)] for bits in range(9)]
+
+
+def test_lm_weights_come_from_all_training_grams(spark):
+    rng = random.Random(18)
+    rows = spark.createDataFrame([(i, prose(rng, 20000), True) for i in range(2)], "id long, text string, train boolean")
+    grams = mixing_lm.counted_grams(mixing_lm.grams_of_pieces(mixing_lm.in_pieces(rows)))
+    low, weights = mixing_lm.fit(grams)  # few long texts: a sample by whole texts is most likely empty, and weights stay where they begin
+    batch = grams.toArrow().combine_chunks().to_batches()[0]
+    k, high = mixing_lm.columns(batch)
+    loss = lambda w: mixing_lm.loss_sums(low, w, k, batch.column("c").to_numpy().astype(float), high)[:, 0].sum()
+    assert loss(weights) < 0.97 * loss(np.full_like(weights, mixing_lm.START))
