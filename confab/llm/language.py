@@ -1,19 +1,20 @@
 """Language identification by interpolated Kneser-Ney models of characters.
 
 Training. 4-grams of lower-cased letters (anything between two letters is one boundary) are counted by language over a
-bounded sample of the labelled documents: whole texts, chosen by a hash of the text so that a language contributes about
-``sample_chars`` characters. That bound is what makes the model's size, and so the broadcast, bounded. Lower orders use
+bounded sample of the labelled documents: distinct texts in the order of their hash, until a language has ``sample_chars``
+characters, so each language has one text at least and copies count once. Every label is learned; that bound a language is
+what makes the model's size, and so the broadcast, follow the number of labels only. Lower orders use
 continuation counts, each order its own discount. For every n-gram seen in any language the log probability in all
 languages is worked out once; a model is, for each order, an array of sorted 64-bit hashes beside a matrix of such rows,
 and the same for the back-off weights of contexts.
 
 Scoring. Each position of a text is looked up by its hash, longest order first; a language's cross-entropy is its mean bits
-a symbol, and the lowest wins. A tenth of the sample is kept out of the counts for calibration: it gives the logistic from
+a symbol, and the lowest wins. A tenth of the sample, and never all texts of a language, is kept out of the counts for calibration: it gives the logistic from
 evidence to ``score``, and the cross-entropy, by length, beyond which a text is in none of the languages (``rejected``).
 
 Defined cases: a text that is null or has no letter is ``und``, score 0 and rejected; so is every text if nothing is
 labelled; with one language it is predicted for every text with a letter; ties go to the language that sorts first; labels
-that are null train nothing; equal texts get equal results, wherever they are.
+that are null, or whose texts have no letter, train nothing; equal texts get equal results, wherever they are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,9 @@ from confab.llm.wordhash import mix
 
 U = np.uint64
 ORDER = 4
-SAMPLE_CHARS, MAX_LANGUAGES = 4_000_000, 200
+SAMPLE_CHARS = 4_000_000
+#: Ranges of hashes in which a language's characters are summed before its sample is cut.
+RANGES = 1 << 14
 #: Bits beyond the worst calibration text, and standard errors for short texts, at which a text is rejected.
 SLACK_BITS, SLACK_ERRORS = 0.75, 6.0
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType())]
@@ -218,14 +222,20 @@ def calibrate(model: Model, right: np.ndarray, ahead: np.ndarray, entropy: np.nd
 
 def sampled(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int) -> DataFrame:
     """_lang, _text and _held (kept for calibration) of the sample."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null and _text is not null")
-    # A label set is small; of more languages than MAX_LANGUAGES those with most text are learned.
-    totals = rows.groupBy("_lang").agg(F.sum(F.length("_text")).alias("n")).where("n > 0").orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(None).cast("double")
-    for r in totals:
-        share = F.when(F.col("_lang") == r["_lang"], F.lit(min(1.0, sample_chars / r["n"]))).otherwise(share)
-    return rows.withColumn("_draw", draw).where(F.col("_draw") < share).withColumn("_held", F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(10)) == 0).drop("_draw")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null and _text rlike '\\\\p{L}'")
+    # Texts are told apart by 64-bit hash, and only hashes and lengths are grouped.
+    keyed = rows.withColumn("_h", F.xxhash64("_text"))
+    distinct = keyed.groupBy("_lang", "_h").agg(F.max(F.length("_text")).cast("long").alias("_n"))
+    distinct = distinct.withColumn("_range", F.pmod(F.col("_h"), F.lit(RANGES)))
+    sums = distinct.groupBy("_lang", "_range").agg(F.sum("_n").alias("_chars"))
+    before = sums.select("_lang", "_range", (F.sum("_chars").over(W.partitionBy("_lang").orderBy("_range")) - F.col("_chars")).alias("_before")).where(F.col("_before") < sample_chars)
+    in_range = W.partitionBy("_lang", "_range").orderBy("_h")
+    drawn = distinct.join(before, ["_lang", "_range"]).withColumn("_at", F.col("_before") + F.sum("_n").over(in_range) - F.col("_n")).where(F.col("_at") < sample_chars)
+    # The first text of a language is counted; of the others a tenth is held out.
+    held = (F.col("_at") > 0) & (F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(10)) == 0)
+    drawn = drawn.select("_lang", "_h", held.alias("_held"))
+    # What is drawn is bounded by the characters a language, so it is broadcast and no other text moves.
+    return common.cut(keyed.join(F.broadcast(drawn), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.first("_held").alias("_held"), F.first("_text").alias("_text")).drop("_h"), "language-sample")
 
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model:

@@ -551,3 +551,14 @@ def test_lm_weights_come_from_all_training_grams(spark):
     k, high = mixing_lm.columns(batch)
     loss = lambda w: mixing_lm.loss_sums(low, w, k, batch.column("c").to_numpy().astype(float), high)[:, 0].sum()
     assert loss(weights) < 0.97 * loss(np.full_like(weights, mixing_lm.START))
+
+
+def test_language_sample_keeps_every_label(spark):
+    rng = random.Random(19)
+    rows = [(f"l{i:03}", prose(rng, 8)) for i in range(230)] + [("hot", "ab cd " * 4000)] * 50 + [("huge", f"{x} ef gh " * 20000) for x in "abcdefghij"] + [("many", prose(rng, 20)) for _ in range(300)]
+    got = language.sampled(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 20_000).collect()
+    counted = collections.Counter(r["_lang"] for r in got if not r["_held"])
+    assert set(counted) == {lang for lang, _ in rows}
+    assert counted["hot"] == counted["huge"] == 1 and len({(r["_lang"], r["_text"]) for r in got}) == len(got)
+    many = [r for r in got if r["_lang"] == "many"]
+    assert any(r["_held"] for r in many) and sum(len(r["_text"]) for r in many) >= 20_000
