@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions import text as X
+from confab.sources import storage
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -21,6 +22,16 @@ def page_with_total(rows: DataFrame, order: list[Column], number: int, size: int
     return {"content": page(rows, order, number, size), "page": number, "size": size, "total_elements": total, "total_pages": -(-total // size)}
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """All ``rows`` with ``place``, from 1, in the order. Sorted by ranges and numbered in each, so no task has all rows."""
+    number = F.monotonically_increasing_id()  # the partition above 33 bits, the row in it below
+    parts = storage.cut(rows.orderBy(*order).withColumn("_n", number), "placed").withColumn("_part", F.shiftright("_n", 33))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    place = F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(before), "_part").withColumn("place", place).drop("_part", "_n", "_before")
+
+
 def by_columns(rows: DataFrame, **wanted) -> DataFrame:
     """Equality filters; null and blank arguments do not filter."""
     for name, value in wanted.items():

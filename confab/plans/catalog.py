@@ -184,6 +184,13 @@ def task_order(spark, d):
     return t.orderBy(F.desc("priority"), "created_at", "id").limit(50).select("id", "priority", "created_at")
 
 
+@query(ctes("task_queue") + "\nselect id, priority, created_at, row_number() over (order by priority desc, created_at, id) as place from task_queue where status = 'QUEUED'")
+def task_order_all(spark, d):
+    """Every queued task; ``task_order`` is the first 50 of them."""
+    t = listing.by_columns(view(spark, d, "task_queue"), status="QUEUED").select("id", "priority", "created_at")
+    return listing.placed(t, [F.desc("priority"), F.asc("created_at"), F.asc("id")])
+
+
 @query(ctes("groups", "messages", "guides", "task_queue") + """
 select g.id as group_id, title, (select count(*) from messages m where m.group_id = g.id and message_date > timestamp '1970-01-01') as messages, (select count(*) from guides x where x.group_id = g.id) as guides,
  (select count(*) from guides x where x.group_id = g.id and status = 'PUBLISHED') as published, (select count(*) from task_queue t where t.input_ref_id = g.id and status = 'FAILED' and input_ref_type = 'GROUP') as failed_tasks,

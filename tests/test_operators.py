@@ -268,3 +268,9 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     r = got.first()
     assert (r.sender_name, r.text, r.reply_to_message_id) == ("Unknown", "[photo]", None)
     assert ingest.unknown_groups(got, spark.createDataFrame([(7,)], "telegram_chat_id long")).first().title == "Telegram chat -5"
+
+
+def test_every_task_has_its_place(spark):
+    tasks = spark.createDataFrame([(i, i * 7 % 5) for i in range(333)], "id long, priority int").repartition(7)
+    got = {r.place: r.id for r in listing.placed(tasks, [F.desc("priority"), F.asc("id")]).collect()}
+    assert got == {n + 1: i for n, i in enumerate(sorted(range(333), key=lambda i: (-(i * 7 % 5), i)))}
