@@ -1,29 +1,38 @@
-"""Language-model scores by logistic mixing of bit predictors, beside a unigram baseline.
+"""Language-model scores by online logistic mixing of bit predictors, beside a unigram baseline.
 
 The model codes a text's bytes, then an end mark, bit by bit. A predictor of order k has, for each pair of the last k
 bytes and the bits of the current byte so far, how often a 0 and a 1 followed in the training texts. The predictors' logits
-are added with weights that a gate chooses (how often the two longest contexts were seen). While a text is scored, the mixture is refined adaptively: several weight sets of differing boldness compete, and
-after every ``SEGMENT`` symbols each set's share moves with what it predicted. The shares only use what came before, so the
-score is the logarithm of a proper probability of the whole text.
+are added with weights that a gate chooses: the number of the bit, and how often the longest context was seen. After each bit
+the weights that were used move along the slope of what it cost (online logistic regression), and the mixed logit is refined
+by a further adaptive stage: a lift by number of the bit and size of the logit, which moves after each bit too. Each
+prediction only uses what came before, and a bit's two probabilities add up to one, so the score is the logarithm of a proper
+probability of the whole text, and ``total_bits`` is the length of a code for it.
+
+A text is coded in lanes of ``LANE`` bytes. Contexts run on from lane to lane; weights and lifts begin anew in each, with what
+was fitted on the training texts. Lanes do not depend on each other, so all lanes of a slice take their steps together: a step
+is the next byte of every lane, whose eight bits are coded at once. As the gate and the lift know the number of the bit, no bit
+of a byte uses a weight or a lift that another bit of that byte moves: the result is that of one bit after the other.
 
 Counts cover every training text and grow with the corpus. With contexts of four bytes a symbol's probability depends on
 five bytes, a gram. Texts are dealt into pieces of some ``PIECE`` bytes; the distinct grams of each piece are counted and
 summed by Spark into one distributed table, a row a gram of the corpus, with the exact counts of orders 3 and 4 on its path
 of bits (contexts that share three bytes are worked on together, at most 65536 rows). Orders 1 and 2 have at most 2 ** 24
-grams, far fewer in UTF-8, whatever the corpus; they are broadcast. Mixing weights are fitted by passes over all grams of
-that table (Newton steps by gate, sums in Spark). A piece's grams meet their probabilities in an equi-join, and come to the
-piece's texts by its number.
+grams, far fewer in UTF-8, whatever the corpus; they are broadcast. Where lanes begin is fitted by passes over all grams of
+that table (Newton steps by gate, then by lift, sums in Spark). A piece's grams meet their logits, one byte each, in an
+equi-join, and come to the piece's texts by its number.
 
 Baseline counts of words are not bounded, so they are never broadcast: a task sends each word's postings (text, frequency)
 once a slice, these meet the counts in an equi-join that splits hot words, and come back as sums by text.
 
 Defined cases: null text is empty and scores its end mark; with no training texts all counts are 0 and bits are fair; null
-ids are never held out and come back null; repeated rows come back once each; tokens are told apart by 64-bit hashes.
+ids are never held out and come back null; repeated rows come back once each; tokens are told apart by 64-bit hashes; a text
+without bytes has no ``bits_per_byte``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +46,17 @@ from confab.llm.language import fold
 
 U = np.uint64
 ORDERS = (1, 2, 3, 4)
-TABLE_BITS = {1: 16, 2: 20, 3: 21, 4: 21}
-SEGMENT, SHARE = 64, 0.02
-#: Factors on the learned weights: cautious, as learned, bold.
-BOLDNESS = (0.75, 1.0, 1.15)
-GATES = 8 * 4
+#: Gates: number of the bit, and level of the longest context's count.
+BITS, LEVELS = 8, 8
+GATES = BITS * LEVELS
+#: Sizes of the mixed logit that have a lift of their own, and how many there are to a unit.
+LIFTS, PER_UNIT = 21, 2
+#: Largest logit; logits travel in units of 1 / SCALE.
+TOP, SCALE = 10.4, 12.0
+#: Bytes of a lane, and lanes that take their steps together.
+LANE, LANES = 4096, 4096
+#: Steps of the weights and of the lifts after a bit: at first, and at the least.
+RATE, LEAST_RATE, LIFT_RATE = 0.02, 0.005, 0.02
 SLICE = 4 << 20
 #: Bytes, and rows, of the texts whose distinct grams meet the corpus's counts together.
 PIECE, PIECE_ROWS = 16 << 20, 1 << 20
@@ -76,104 +91,77 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gram[scored], np.concatenate(([0], np.cumsum(sizes + 1)))
 
 
-def nodes(grams: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of the symbol before ``bit`` (with a leading 1), and that bit; the highest bit is number 0."""
-    symbol = grams & U(0xFF)
-    return (symbol | U(0x100)) >> U(8 - bit), ((symbol >> U(7 - bit)) & U(1)).astype(np.int64)
+def level(total: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(most, np.ceil(np.log2(total + 1))).astype(np.int64)
 
 
-def slot(grams: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
-    """Place in the table of an order."""
-    context = (grams >> U(8)) & U((1 << (8 * order)) - 1)
-    if order == 1:
-        return ((context << U(8)) | node).astype(np.int64)
-    return (wh.mix((context << U(9)) | node) >> U(64 - TABLE_BITS[order])).astype(np.int64)
+# ---- online mixing
 
 
-class Tables:
-    """Counts of 0 and 1 in each slot of each order: a model of a small text on one machine. Queries use the exact counts below."""
+@dataclass
+class Start:
+    """Where each lane begins: weights by gate and order, and lifts by bit and size of logit."""
 
-    def __init__(self):
-        self.n = {k: np.zeros((1 << TABLE_BITS[k], 2), np.float32) for k in ORDERS}
+    weights: np.ndarray
+    lifts: np.ndarray
 
 
-def level(total: np.ndarray, most: int) -> np.ndarray:
-    return np.minimum(most, np.ceil(np.log2(total + 1))).astype(np.int64)
+def lanes(codes: np.ndarray, rows: np.ndarray, begin: np.ndarray, length: np.ndarray, start: Start) -> np.ndarray:
+    """Natural log probability of each lane. begin: its first place in ``rows``, which has each position's row of ``codes``; length: must descend.
 
-
-class Model:
-    """Logits and confidence by slot, and the gated weights of each set."""
-
-    def __init__(self, tables: Tables, weights: np.ndarray):
-        self.logit = {k: np.log((n[:, 1] + 0.3) / (n[:, 0] + 0.3)).astype(np.float32) for k, n in tables.n.items()}
-        self.level = {k: level(tables.n[k].sum(axis=1), 7 if k == 4 else 3).astype(np.uint8) for k in ORDERS[-2:]}
-        self.weights = [weights.astype(np.float32) * b for b in BOLDNESS]
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log probability of the symbol of each gram, by weight set."""
-        out = np.zeros((len(grams), len(self.weights)))
-        for bit in range(8):
-            node, value = nodes(grams, bit)
-            at = {k: slot(grams, k, node) for k in ORDERS}
-            gate = self.level[4][at[4]].astype(np.int64) * 4 + self.level[3][at[3]]
-            sign = (2 * value - 1).astype(np.float32)
-            logits = [self.logit[k][at[k]] for k in ORDERS]
-            for i, w in enumerate(self.weights):
-                total = np.zeros(len(grams), np.float32)
-                for j, x in enumerate(logits):
-                    total += w[gate, j] * x
-                out[:, i] -= np.logaddexp(0, -sign * total)
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of each text's probability."""
-        grams, first = layout(data, offsets)
-        distinct, back = np.unique(grams, return_inverse=True)
-        return adapted(self.log_probability(distinct), back, first)
+    All logits are those of the bit that did occur; lifts are odd in them, so no prediction knows which one that is.
+    """
+    n = len(begin)
+    weights = np.tile(start.weights.astype(np.float32).ravel(), n)
+    sets = weights.view(np.complex128)  # the four weights of a gate move as one item
+    lifts = np.tile(start.lifts.astype(np.float32).ravel(), n)
+    gate_base = np.arange(n)[:, None] * GATES
+    lift_base = (np.arange(n)[:, None] * (BITS * LIFTS) + np.arange(BITS) * LIFTS).ravel()
+    out = np.zeros(n)
+    live = np.searchsorted(-length, -np.arange(int(length[0]) if n else 0), side="left")
+    for i, m in enumerate(live.tolist()):
+        code = codes.take(rows.take(begin[:m] + i), axis=0)
+        x = code[:, : BITS * len(ORDERS)].astype(np.float32).reshape(-1, len(ORDERS))
+        x *= np.float32(1 / SCALE)
+        at = (gate_base[:m] + code[:, BITS * len(ORDERS) :]).ravel()
+        w = sets.take(at).view(np.float32).reshape(-1, len(ORDERS))
+        parts = w * x
+        mixed = parts[:, 0] + parts[:, 1]
+        mixed += parts[:, 2]
+        mixed += parts[:, 3]
+        np.clip(mixed, -TOP, TOP, out=mixed)
+        miss = 1 / (1 + np.exp(mixed))
+        x *= (miss * np.float32(max(LEAST_RATE, RATE / (1 + i) ** 0.5)))[:, None]
+        w += x
+        sets[at] = w.view(np.complex128).ravel()
+        slot = lift_base[: m * BITS] + (np.abs(mixed) * np.float32(PER_UNIT)).astype(np.int64)
+        lift, sign = lifts.take(slot), np.sign(mixed)
+        mixed += sign * lift
+        np.clip(mixed, -TOP, TOP, out=mixed)
+        miss = 1 / (1 + np.exp(mixed))
+        hit = (1 - miss).reshape(-1, BITS)
+        miss *= np.float32(LIFT_RATE)
+        miss *= sign
+        lifts[slot] = lift + miss
+        hit = hit[:, :4] * hit[:, 4:]
+        hit = hit[:, :2] * hit[:, 2:]
+        out[:m] += np.log((hit[:, 0] * hit[:, 1]).astype(np.float64))
+    return out
 
 
-def adapted(p: np.ndarray, back: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability. p: natural logs by distinct gram and weight set; back: each position's gram; first: where texts begin."""
+def online(codes: np.ndarray, rows: np.ndarray, first: np.ndarray, start: Start) -> np.ndarray:
+    """log10 of each text's probability. rows: each position's row of ``codes``; first: where texts begin in it."""
     n = np.diff(first)
-    count = -(-n // SEGMENT)
-    base = np.concatenate(([0], np.cumsum(count)))
-    within = np.arange(base[-1]) - np.repeat(base[:-1], count)
-    starts = np.repeat(first[:-1], count) + within * SEGMENT
-    segments = np.stack([np.add.reduceat(p[:, i][back], starts) for i in range(p.shape[1])], axis=1)
-    order = np.argsort(-count, kind="stable")  # texts by segments, so that those still going are a prefix
-    q = p.shape[1]
-    share = np.full((len(n), q), -np.log(q))
-    total = np.zeros(len(n))
-    for j in range(int(count.max(initial=0))):
-        live = order[: np.searchsorted(-count[order], -j, side="left")]
-        x = share[live] + segments[base[live] + j]
-        top = x.max(axis=1, keepdims=True)
-        e = np.exp(x - top)
-        s = e.sum(axis=1, keepdims=True)
-        total[live] += (top + np.log(s))[:, 0]
-        share[live] = np.log((1 - SHARE) * e / s + SHARE / q)
-    return total / np.log(10)
-
-
-def learn_weights(tables: Tables, grams: np.ndarray, counts: np.ndarray, epochs: int = 4, rate: float = 0.02) -> np.ndarray:
-    """Gated weights by online gradient steps on log loss; a sample's own occurrence is taken out of the counts it sees."""
-    w = np.full((GATES, len(ORDERS)), 0.3)
-    rng = np.random.default_rng(7)
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(grams)), max(1, len(grams) // 2048)):
-            g, c = grams[part], np.minimum(counts[part], 50.0)
-            for bit in range(8):
-                node, value = nodes(g, bit)
-                at = {k: slot(g, k, node) for k in ORDERS}
-                seen = {k: np.maximum(tables.n[k][at[k]] - np.stack([1 - value, value], axis=1), 0) for k in ORDERS}
-                gate = level(seen[4].sum(axis=1), 7) * 4 + level(seen[3].sum(axis=1), 3)
-                x = np.stack([np.log((seen[k][:, 1] + 0.3) / (seen[k][:, 0] + 0.3)) for k in ORDERS], axis=1)
-                error = (value - 1 / (1 + np.exp(-np.clip((w[gate] * x).sum(axis=1), -30, 30)))) * c
-                step, weight = np.zeros_like(w), np.zeros(GATES)
-                np.add.at(step, gate, error[:, None] * x)
-                np.add.at(weight, gate, c)
-                w += rate / (1 + epoch) * step / np.maximum(weight, 1)[:, None] * np.minimum(weight, 50)[:, None] ** 0.5
-    return np.clip(w, -0.5, 2.0)
+    count = -(-n // LANE)
+    owner = np.repeat(np.arange(len(n)), count)
+    begin = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * LANE
+    length = np.minimum(LANE, first[owner + 1] - begin)
+    order = np.argsort(-length, kind="stable")  # lanes that still go on are a prefix
+    got = np.zeros(len(owner))
+    for a in range(0, len(owner), LANES):
+        at = order[a : a + LANES]
+        got[at] = lanes(codes, rows, begin[at], length[at], start)
+    return np.bincount(owner, weights=got, minlength=len(n)) / np.log(10)
 
 
 # ---- exact counts
@@ -223,22 +211,21 @@ class Low:
         return out[:, back]
 
 
-def inputs(low: Low, grams: np.ndarray, high: np.ndarray, less: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each bit of the symbols, the logits of that bit by order, and the gate. less: occurrences of the gram itself that do not count."""
+def inputs(low: Low, grams: np.ndarray, high: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bit of the symbols its number, its logits by order, and the gate. less: occurrences of the gram itself that do not count."""
     t = [low.depths(grams, 1), low.depths(grams, 2), high[:, 0].T.astype(np.float64), high[:, 1].T.astype(np.float64)]
     t = [np.maximum(x - less, 0) for x in t]
-    for bit in range(8):
+    for bit in range(BITS):
         x = np.stack([np.log((d[bit + 1] + 0.3) / (d[bit] - d[bit + 1] + 0.3)) for d in t], axis=1)
-        yield x, level(t[3][bit], 7) * 4 + level(t[2][bit], 3)
+        yield bit, x, bit * LEVELS + level(t[3][bit], LEVELS - 1)
 
 
-def log_probability(low: Low, weights: np.ndarray, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Natural log probability of the symbol of each gram, by weight set."""
-    out = np.zeros((len(grams), len(BOLDNESS)))
-    for x, gate in inputs(low, grams, high, 0):
-        total = (weights[gate] * x).sum(axis=1)
-        for i, bold in enumerate(BOLDNESS):
-            out[:, i] -= np.logaddexp(0, -bold * total)
+def coded(low: Low, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Logits and gates of each gram's bits, a byte each."""
+    out = np.empty((len(grams), BITS * (len(ORDERS) + 1)), np.int8)
+    for bit, x, gate in inputs(low, grams, high, 0):
+        out[:, bit * len(ORDERS) : (bit + 1) * len(ORDERS)] = np.clip(np.rint(x * SCALE), -127, 127)
+        out[:, BITS * len(ORDERS) + bit] = gate
     return out
 
 
@@ -246,7 +233,7 @@ def loss_sums(low: Low, weights: np.ndarray, grams: np.ndarray, c: np.ndarray, h
     """By gate: the loss in nats, its slope (4) and curvature (16), over all occurrences; each one's own is out of the counts it sees."""
     n = len(ORDERS)
     out = np.zeros((GATES, 1 + n + n * n))
-    for x, gate in inputs(low, grams, high, 1):
+    for _, x, gate in inputs(low, grams, high, 1):
         total = (weights[gate] * x).sum(axis=1)
         miss = 1 / (1 + np.exp(np.clip(total, -500, 500)))
         add = lambda v, gate=gate: np.bincount(gate, weights=v, minlength=GATES)
@@ -261,6 +248,18 @@ def loss_sums(low: Low, weights: np.ndarray, grams: np.ndarray, c: np.ndarray, h
     return out
 
 
+def lift_sums(low: Low, weights: np.ndarray, grams: np.ndarray, c: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """By lift: slope and curvature of the loss at no lift, over all occurrences; each one's own is out of the counts it sees."""
+    out = np.zeros((BITS * LIFTS, 2))
+    for bit, x, gate in inputs(low, grams, high, 1):
+        total = np.clip((weights[gate] * x).sum(axis=1), -TOP, TOP)
+        slot = bit * LIFTS + (np.abs(total) * PER_UNIT).astype(np.int64)
+        miss = 1 / (1 + np.exp(total))
+        out[:, 0] += np.bincount(slot, weights=c * miss * np.sign(total), minlength=len(out))
+        out[:, 1] += np.bincount(slot, weights=c * miss * (1 - miss), minlength=len(out))
+    return out
+
+
 def newton(sums, passes: int = PASSES) -> np.ndarray:
     """Gated weights. sums: weights to ``loss_sums`` over all grams; each call is a pass. A gate whose loss rose goes half the way."""
     n = len(ORDERS)
@@ -390,48 +389,53 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("k").to_numpy().view(U), np.frombuffer(b"".join(batch.column("deep").to_pylist()), np.float32).reshape(-1, 2, 9)
 
 
-def fit(grams: DataFrame) -> tuple[Low, np.ndarray]:
-    """Counts of the low orders and gated weights, from all of ``counted_grams``."""
+def fit(grams: DataFrame) -> tuple[Low, Start]:
+    """Counts of the low orders, and where lanes begin, from all of ``counted_grams``."""
     context = grams.sparkSession.sparkContext
     seen = grams.where("c > 0")
     short = seen.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).agg(F.sum("c").alias("c")).toArrow()
     low = Low(short.column("k").to_numpy().view(U), short.column("c").to_numpy().astype(np.float64))
     shared = context.broadcast(low)
 
-    def sums(weights: np.ndarray) -> np.ndarray:
+    def sums(weights: np.ndarray, of, shape: tuple[int, int]) -> np.ndarray:
+        """A pass over all grams: what ``of`` gives, added up."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((GATES, 1 + len(ORDERS) + len(ORDERS) ** 2))
+            total = np.zeros(shape)
             for batch in batches:
                 if batch.num_rows:
                     k, high = columns(batch)
-                    total += loss_sums(shared.value, weights, k, batch.column("c").to_numpy().astype(np.float64), high)
+                    total += of(shared.value, weights, k, batch.column("c").to_numpy().astype(np.float64), high)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
 
-        out = np.zeros(GATES * (1 + len(ORDERS) + len(ORDERS) ** 2))
+        out = np.zeros(shape)
         for r in seen.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r["i"]] = r["v"]
-        return out.reshape(GATES, -1)
+            out.ravel()[r["i"]] = r["v"]
+        return out
 
-    return low, newton(sums)
+    n = len(ORDERS)
+    weights = newton(lambda w: sums(w, loss_sums, (GATES, 1 + n + n * n)))
+    slope, curve = sums(weights, lift_sums, (BITS * LIFTS, 2)).T
+    return low, Start(weights, np.round(np.clip(slope / (curve + RIDGE), -1, 1), 6))
 
 
-def gram_scores(grams: DataFrame, low: Low, weights: np.ndarray) -> DataFrame:
-    """k, and p0, p1, ...: the natural log probability of its symbol by weight set."""
-    shared = grams.sparkSession.sparkContext.broadcast((low, weights))
-    names = [f"p{i}" for i in range(len(BOLDNESS))]
+def gram_codes(grams: DataFrame, low: Low) -> DataFrame:
+    """k and code: ``coded`` as bytes."""
+    shared = grams.sparkSession.sparkContext.broadcast(low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = log_probability(*shared.value, *columns(batch))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names=["k", *names])
+                code = coded(shared.value, *columns(batch))
+                ends = np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(code.tobytes())])], names=["k", "code"])
 
-    return grams.select("k", "deep").mapInArrow(run, "k long, " + ", ".join(f"{n} double" for n in names))
+    return grams.select("k", "deep").mapInArrow(run, "k long, code binary")
 
 
 # ---- scores
 
-POSTINGS = "h long, doc long, post binary, n_tokens long, score double"
+POSTINGS = "h long, doc long, post binary, n_tokens long, n_bytes long, score double"
 
 
 def postings(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -457,7 +461,7 @@ def postings(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[pa.Recor
 
 
 def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score of every document. training: which documents are learned from."""
+    """id, n_tokens, n_known, train_tokens, base_score, score, total_bits and bits_per_byte of every document. training: which documents are learned from."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -465,7 +469,8 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     pieces = in_pieces(rows)
     needed = grams_of_pieces(pieces)
     grams = counted_grams(needed)
-    scores = needed.select("piece", "k").join(gram_scores(grams, *fit(grams)), "k")
+    low, start = fit(grams)
+    codes = needed.select("piece", "k").distinct().join(gram_codes(grams, low), "k")
     learned = pieces.where("train").select("text")
     counts = common.cut(counted(learned, word_keys), "word-counts")
     texts = learned.count()
@@ -478,7 +483,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         """Postings and scores of a piece, from its texts and the log probabilities of its grams."""
-        k, p = known.column("k").combine_chunks(), np.stack([known.column(f"p{i}").to_numpy() for i in range(len(BOLDNESS))], axis=1)
+        k, code = known.column("k").combine_chunks(), np.frombuffer(b"".join(known.column("code").to_pylist()), np.int8).reshape(-1, BITS * (len(ORDERS) + 1))
         number = texts.column("piece")[0].as_py() << 24
         out = []
         for batch in texts.select(["id", "text"]).to_batches(max_chunksize=1 << 14):
@@ -487,19 +492,19 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
                 post, words = postings(data, offsets, number)
                 n = len(post[0])
                 nulls = lambda t, n=n: pa.nulls(n, t)
-                out.append(pa.RecordBatch.from_arrays([*post, nulls(pa.int64()), nulls(pa.float64()), nulls(arrow.field("id").type)], schema=arrow))
+                out.append(pa.RecordBatch.from_arrays([*post, nulls(pa.int64()), nulls(pa.int64()), nulls(pa.float64()), nulls(arrow.field("id").type)], schema=arrow))
                 m = part.num_rows
                 own = number + np.arange(m)
                 seen, first = layout(data, offsets)
-                back = pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy()
-                score = adapted(p, back, first)
-                cols = [pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(m, pa.binary()), pa.array(words + 1), pa.array(score), part.column("id").cast(arrow.field("id").type)]
+                score = online(code, pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy(), first, start)
+                cols = [pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(m, pa.binary()), pa.array(words + 1), pa.array(np.diff(offsets)), pa.array(score), part.column("id").cast(arrow.field("id").type)]
                 out.append(pa.RecordBatch.from_arrays(cols, schema=arrow))
                 number += m
         return pa.Table.from_batches(out, schema=arrow)
 
-    met = pieces.select("piece", "id", "text").groupBy("piece").cogroup(scores.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
-    out = f"doc long, b double, known long, n_tokens long, score double, id {kind}"
+    met = pieces.select("piece", "id", "text").groupBy("piece").cogroup(codes.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
+    out = f"doc long, b double, known long, n_tokens long, n_bytes long, score double, id {kind}"
+    about_text = ("n_tokens", "n_bytes", "score", "id")
     out_arrow = to_arrow_schema(_parse_datatype_string(out))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,7 +513,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             about = batch.filter(pc.is_null(batch.column("post")))
             if about.num_rows:
                 m = about.num_rows
-                yield pa.RecordBatch.from_arrays([about.column("doc"), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), *[about.column(c) for c in ("n_tokens", "score", "id")]], schema=out_arrow)
+                yield pa.RecordBatch.from_arrays([about.column("doc"), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), *[about.column(c) for c in about_text]], schema=out_arrow)
             words = batch.filter(pc.is_valid(batch.column("post")))
             if not words.num_rows:
                 continue
@@ -521,16 +526,17 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             b = np.bincount(at, weights=packed[:, 1] * np.repeat(np.log10(c + 0.5), size), minlength=len(k))
             known = np.bincount(at, weights=packed[:, 1] * np.repeat(c > 0, size), minlength=len(k)).astype(np.int64)
             n = len(k)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(known), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, out_arrow.field("id").type)], schema=out_arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(known), *[pa.nulls(n, out_arrow.field(c).type) for c in about_text]], schema=out_arrow)
 
-    sums = met.select("doc", "post", "n_tokens", "score", "id", "c").mapInArrow(add, out).groupBy("doc").agg(
-        F.coalesce(F.sum("b"), F.lit(0.0)).alias("b"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"), F.max("id").alias("id")
+    sums = met.select("doc", "post", *about_text, "c").mapInArrow(add, out).groupBy("doc").agg(
+        F.coalesce(F.sum("b"), F.lit(0.0)).alias("b"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), *[F.max(c).alias(c) for c in about_text]
     )
     end = float(np.log10(texts + 0.5))
     norm = float(np.log10(total + 0.5 * (kinds + 1)))
     return sums.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + int(texts > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("b") + end - F.col("n_tokens") * norm).alias("base_score"), "score",
+        (F.col("b") + end - F.col("n_tokens") * norm).alias("base_score"), "score", (-F.col("score") * np.log2(10)).alias("total_bits"),
+        F.when(F.col("n_bytes") > 0, -F.col("score") * np.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -539,4 +545,4 @@ def op9_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     scored = score_documents(docs, ~held)
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "total_bits", "bits_per_byte")
