@@ -278,24 +278,25 @@ def test_banded_alignment():
 
 
 def link(a, b):
-    a, b = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in (a, b))
     n = subsequence(a, b)
     return bool(a and b) and n / (len(a) + len(b) - n) >= 0.8
 
 
-def test_classes_against_all_pairs(spark):
-    rng = random.Random(11)
-    base, passage = [prose(rng, 90, vocabulary=900).split() for _ in range(14)], prose(rng, 60, vocabulary=900)
-    texts = [" ".join(b) for b in base] + [passage + " " + prose(rng, 40, vocabulary=900) for _ in range(15)]
-    for b in base[:8]:
-        for edits in (0, 1, 2, 2, 3, 4, 5):
-            w = list(b)
-            for _ in range(edits):
-                w[rng.randrange(len(w))] = rng.choice(["new", "other", "word"])
-            texts.append(" ".join(w) if edits else " ".join(w).upper() + "!")
-    shuffled = base[9][45:] + base[9][:45]
-    texts += [" ".join(shuffled), None, None, "", "", "a b c", "a b c"]
-    rng.shuffle(texts)
+def edited(rng, text, edits):
+    """The words of a text after so many of them were replaced, dropped or put in."""
+    w = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(w)), rng.random()
+        if kind < 0.6:
+            w[at] = f"new{rng.randrange(10**6)}"
+        elif kind < 0.8:
+            del w[at]
+        else:
+            w.insert(at, f"put{rng.randrange(10**6)}")
+    return w
+
+
+def plain_classes(texts):
     w = [words(t) for t in texts]
     parent = list(range(len(texts)))
 
@@ -310,31 +311,65 @@ def test_classes_against_all_pairs(spark):
             if same or (texts[i] is not None and texts[j] is not None and w[i] and w[j] and (w[i] == w[j] or link(w[i], w[j]))):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(len(texts))}
+
+
+def test_classes_against_all_pairs(spark):
+    rng = random.Random(11)
+    base, passage = [prose(rng, 90, vocabulary=900).split() for _ in range(14)], prose(rng, 60, vocabulary=900)
+    texts = [" ".join(b) for b in base] + [passage + " " + prose(rng, 40, vocabulary=900) for _ in range(15)]
+    for b in base[:8]:
+        texts += [" ".join(edited(rng, b, edits)) for edits in (0, 1, 2, 2, 3, 4, 5, 7)]
+        texts.append(" ".join(b).upper() + "!")
+    shuffled = base[9][45:] + base[9][:45]
+    texts += [" ".join(shuffled), None, None, "", "", "a b c", "a b c"]
+    rng.shuffle(texts)
+    want = plain_classes(texts)
     docs = documents(spark, texts)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
-    assert got == {i: root(i) for i in range(len(texts))}
+    assert got == want
     kept = sorted(r.doc_id for r in order_minhash.deduplicate(docs).collect())
-    assert kept == sorted({root(i) for i in range(len(texts))})
+    assert kept == sorted(set(want.values()))
+
+
+def test_recall_by_edits(spark):
+    """Pairs by themselves: no third text leads from one to the other. One edit in 40 words is always found."""
+    rng = random.Random(21)
+    texts, edits = [], []
+    for n, e in [(40, 1), (40, 2), (80, 2), (80, 5), (200, 5), (200, 12), (200, 18)] * 30:
+        w = prose(rng, n, vocabulary=900).split()
+        texts += [" ".join(w), " ".join(edited(rng, w, e))]
+        edits.append((n, e))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, texts)).collect()}
+    found, linked = collections.Counter(), collections.Counter()
+    for i, kind in enumerate(edits):
+        if link(words(texts[2 * i]), words(texts[2 * i + 1])):
+            linked[kind] += 1
+            found[kind] += got[2 * i] == got[2 * i + 1]
+        else:
+            assert got[2 * i] != got[2 * i + 1]
+    assert all(found[k] == linked[k] for k in [(40, 1), (80, 2), (200, 5)]) and sum(found.values()) >= 0.95 * sum(linked.values())
 
 
 def test_prefixes_lose_no_link(spark):
     rng = random.Random(12)
-    base = prose(rng, 60, vocabulary=500).split()
     seqs = {}
-    for k in range(25):
-        t = list(base)
-        for _ in range(rng.randint(0, 5)):
-            t[rng.randrange(len(t))] = f"n{rng.randrange(9)}"
-        seqs[k] = [hash(tuple(t[i : i + 5])) & 0x7FFFFFFFFFFFFFFF for i in range(len(t) - 4)]
+    for base in (prose(rng, 60, vocabulary=500).split(), prose(rng, 11, vocabulary=500).split()):
+        for _ in range(25):
+            seqs[len(seqs)] = [hash(w) & 0x7FFFFFFFFFFFFFFF for w in edited(rng, base, rng.randint(0, 9 if len(base) > 20 else 2))]
     df = spark.createDataFrame(list(seqs.items()), "k long, seq array<long>")
-    share = collections.defaultdict(set)
+    share = collections.defaultdict(dict)
     for r in order_minhash.prefix_buckets(df, 0.8).collect():
-        share[r.k].add(r.bucket)
+        share[r.k][r.bucket] = r.p
+    linked = 0
     for a in seqs:
         for b in seqs:
-            if a < b:
-                n = subsequence(seqs[a], seqs[b])
-                assert n / (len(seqs[a]) + len(seqs[b]) - n) < 0.8 or share[a] & share[b]
+            if a < b and link(seqs[a], seqs[b]):
+                linked += 1
+                n, m = len(seqs[a]), len(seqs[b])
+                need = max(1, math.ceil((n + m) * (2.4 / 1.8 - 1) - 1 - 1e-9))
+                assert any(share[a][x] <= n - need and share[b][x] <= m - need for x in set(share[a]) & set(share[b]))
+    assert linked > 50
 
 
 def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
@@ -344,6 +379,9 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
     assert same == {9}
     kept = order_minhash.deduplicate(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id in (9, 10)").count() == 1
+    assert {r["_key"] for r in kept.collect()} == {3}  # the caller's columns stay as they are
+    shared = awkward.select(F.lit(5).cast("long").alias("doc_id"), "text")  # one id for all
+    assert order_minhash.deduplicate(shared).where("text is not null").count() == shared.where("text is not null").select(F.lower("text")).distinct().count()
 
 
 # ---- 8: WARC
@@ -402,26 +440,94 @@ def test_scores_against_plain_counts(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
     assert all(r.score < 0 for r in got.values())
-    own = [-got[i].score / math.log10(2) / (len(texts[i]) + 1) for i in range(60) if i % 5 == 1 and texts[i]]
+    for i, t in enumerate(texts):
+        size = len((t or "").encode())
+        assert got[i].total_bits == pytest.approx(-got[i].score / math.log10(2)) and (got[i].bits_per_byte is None if not size else got[i].bits_per_byte == pytest.approx(got[i].total_bits / size))
+    own = [got[i].bits_per_byte for i in range(60) if i % 5 == 1 and texts[i]]
     assert np.mean(own) < 3.5  # fair bits would be 8
 
 
+def small_model(train, more):
+    """Counts of ``train``, where lanes begin, and the codes of the grams of both, by gram."""
+    keys, counts = np.unique(mixing_lm.layout(*common.buffers(pa.array(train)))[0], return_counts=True)
+    every = np.union1d(keys, more)
+    c = np.zeros(len(every))
+    c[np.searchsorted(every, keys)] = counts
+    grams, c, high = mixing_lm.deep(every, c)
+    low = mixing_lm.Low(keys & np.uint64(0xFFFFFF), counts.astype(float))
+    weights = mixing_lm.newton(lambda w: mixing_lm.loss_sums(low, w, grams, c, high))
+    slope, curve = mixing_lm.lift_sums(low, weights, grams, c, high).T
+    codes = mixing_lm.coded(low, grams, high)
+    order = np.argsort(grams)
+    return mixing_lm.Start(weights, np.clip(slope / (curve + 1), -1, 1)), grams[order], codes[order]
+
+
+def plain_lane(codes, rows, start):
+    """The same mixing, one bit after the other."""
+    w, lifts, total = start.weights.astype(float).copy(), start.lifts.astype(float).copy(), 0.0
+    for i, r in enumerate(rows):
+        for bit in range(8):
+            x, gate = codes[r, 4 * bit : 4 * bit + 4] / 12.0, int(codes[r, 32 + bit])
+            s = min(10.4, max(-10.4, float(w[gate] @ x)))
+            w[gate] += max(mixing_lm.LEAST_RATE, mixing_lm.RATE / (1 + i) ** 0.5) * x / (1 + math.exp(s))
+            slot, sign = bit * mixing_lm.LIFTS + int(abs(s) * 2), (s > 0) - (s < 0)
+            s = min(10.4, max(-10.4, s + sign * lifts[slot]))
+            lifts[slot] += mixing_lm.LIFT_RATE * sign / (1 + math.exp(s))
+            total -= math.log1p(math.exp(-s))
+    return total / math.log(10)
+
+
+def test_online_mixing_is_one_bit_after_the_other():
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (300, 3, 150)] + ["", "é\x00"]
+    seen, first = mixing_lm.layout(*common.buffers(pa.array(texts)))
+    start, grams, codes = small_model([prose(random.Random(14), 400)], seen)
+    rows = np.searchsorted(grams, seen)
+    got = mixing_lm.online(codes, rows, first, start)
+    assert got == pytest.approx([plain_lane(codes, rows[a:b].tolist(), start) for a, b in zip(first[:-1], first[1:])], rel=1e-4)
+    alone = [mixing_lm.online(codes, rows[a:b], np.array([0, b - a]), start)[0] for a, b in zip(first[:-1], first[1:])]
+    assert got == pytest.approx(alone, rel=1e-12)
+
+
+def test_long_texts_go_by_lanes(monkeypatch):
+    rng = random.Random(22)
+    monkeypatch.setattr(mixing_lm, "LANE", 100)
+    monkeypatch.setattr(mixing_lm, "LANES", 3)
+    texts = [prose(rng, n) for n in (90, 5, 60)]
+    seen, first = mixing_lm.layout(*common.buffers(pa.array(texts)))
+    start, grams, codes = small_model([prose(rng, 400)], seen)
+    rows = np.searchsorted(grams, seen)
+    want = [sum(plain_lane(codes, rows[at : min(at + 100, b)].tolist(), start) for at in range(a, b, 100)) for a, b in zip(first[:-1], first[1:])]
+    assert mixing_lm.online(codes, rows, first, start) == pytest.approx(want, rel=1e-4)
+
+
 def test_symbol_probabilities_sum_to_one():
     rng = random.Random(14)
-    data, offsets = common.buffers(pa.array([prose(rng, 300)]))
-    grams, counts = np.unique(mixing_lm.layout(data, offsets)[0], return_counts=True)
-    tables = mixing_lm.Tables()
-    for order in mixing_lm.ORDERS:
-        for bit in range(8):
-            node, value = mixing_lm.nodes(grams, bit)
-            np.add.at(tables.n[order], (mixing_lm.slot(grams, order, node), value), counts)
-    model = mixing_lm.Model(tables, mixing_lm.learn_weights(tables, grams, counts.astype(float)))
-    context = int(grams[7]) & ~0xFF
-    p = np.exp(model.log_probability(np.array([context | b for b in range(256)], np.uint64)))
-    assert p.sum(axis=0) == pytest.approx(1, abs=1e-4)
-    alone = model.score(data, offsets)[0]
-    more, at = common.buffers(pa.array(["other", prose(random.Random(14), 300), ""]))
-    assert model.score(more, at)[1] == pytest.approx(alone, rel=1e-12)
+    history = mixing_lm.layout(*common.buffers(pa.array([prose(rng, 40)])))[0][:-1]
+    following = ((history[-1] << np.uint64(8)) & np.uint64(0xFFFFFFFF00)) | np.arange(256, dtype=np.uint64)
+    start, grams, codes = small_model([prose(rng, 300)], np.concatenate([history, following]))
+    before, after = np.searchsorted(grams, history), np.searchsorted(grams, following)
+    rows = np.concatenate([np.append(before, r) for r in after])
+    first = np.arange(257) * (len(before) + 1)
+    whole = mixing_lm.online(codes, rows, first, start)
+    so_far = mixing_lm.online(codes, before, np.array([0, len(before)]), start)[0]
+    assert (10.0 ** (whole - so_far)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_adapting_within_a_text_pays():
+    rng = random.Random(23)
+    odd = "zq" * 30
+    texts = [(prose(rng, 4) + " " + odd + " ") * 12]
+    seen, first = mixing_lm.layout(*common.buffers(pa.array(texts)))
+    start, grams, codes = small_model([prose(rng, 400)], seen)
+    rows = np.searchsorted(grams, seen)
+    learned = mixing_lm.online(codes, rows, first, start)[0]
+    still = pytest.MonkeyPatch()
+    for name in ("RATE", "LEAST_RATE", "LIFT_RATE"):
+        still.setattr(mixing_lm, name, 0.0)
+    fixed = mixing_lm.online(codes, rows, first, start)[0]
+    still.undo()
+    assert learned > fixed
 
 
 def test_lm_of_awkward_rows(spark, awkward, empty):
@@ -546,11 +652,11 @@ def test_lm_weights_come_from_all_training_grams(spark):
     rng = random.Random(18)
     rows = spark.createDataFrame([(i, prose(rng, 20000), True) for i in range(2)], "id long, text string, train boolean")
     grams = mixing_lm.counted_grams(mixing_lm.grams_of_pieces(mixing_lm.in_pieces(rows)))
-    low, weights = mixing_lm.fit(grams)  # few long texts: a sample by whole texts is most likely empty, and weights stay where they begin
+    low, start = mixing_lm.fit(grams)  # few long texts: a sample by whole texts is most likely empty, and weights stay where they begin
     batch = grams.toArrow().combine_chunks().to_batches()[0]
     k, high = mixing_lm.columns(batch)
     loss = lambda w: mixing_lm.loss_sums(low, w, k, batch.column("c").to_numpy().astype(float), high)[:, 0].sum()
-    assert loss(weights) < 0.97 * loss(np.full_like(weights, mixing_lm.START))
+    assert loss(start.weights) < 0.97 * loss(np.full_like(start.weights, mixing_lm.START)) and np.abs(start.lifts).max() > 0
 
 
 def test_language_sample_keeps_every_label(spark):
