@@ -18,8 +18,8 @@ five bytes, a gram. Texts are dealt into pieces of some ``PIECE`` bytes; the dis
 summed by Spark into one distributed table, a row a gram of the corpus, with the exact counts of orders 3 and 4 on its path
 of bits (contexts that share three bytes are worked on together, at most 65536 rows). Orders 1 and 2 have at most 2 ** 24
 grams, far fewer in UTF-8, whatever the corpus; they are broadcast. Where lanes begin is fitted by passes over all grams of
-that table (Newton steps by gate, then by lift, sums in Spark). A piece's grams meet their logits, one byte each, in an
-equi-join, and come to the piece's texts by its number.
+that table (Newton steps by gate, then by lift, sums in Spark). A piece's grams meet their logits of the long orders, one
+byte each, in an equi-join, and come to the piece's texts by its number.
 
 Baseline counts of words are not bounded, so they are never broadcast: a task sends each word's postings (text, frequency)
 once a slice, these meet the counts in an equi-join that splits hot words, and come back as sums by text.
@@ -57,7 +57,7 @@ TOP, SCALE = 10.4, 12.0
 LANE, LANES = 4096, 4096
 #: Steps of the weights and of the lifts after a bit: at first, and at the least.
 RATE, LEAST_RATE, LIFT_RATE = 0.02, 0.005, 0.02
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bytes, and rows, of the texts whose distinct grams meet the corpus's counts together.
 PIECE, PIECE_ROWS = 16 << 20, 1 << 20
 #: Passes over the corpus's grams that fit the weights, and the pull towards where they begin.
@@ -131,7 +131,8 @@ def lanes(codes: np.ndarray, rows: np.ndarray, begin: np.ndarray, length: np.nda
         mixed += parts[:, 3]
         np.clip(mixed, -TOP, TOP, out=mixed)
         miss = 1 / (1 + np.exp(mixed))
-        x *= (miss * np.float32(max(LEAST_RATE, RATE / (1 + i) ** 0.5)))[:, None]
+        miss *= np.float32(max(LEAST_RATE, RATE / (1 + i) ** 0.5))
+        x *= np.repeat(miss, len(ORDERS)).reshape(x.shape)
         w += x
         sets[at] = w.view(np.complex128).ravel()
         slot = lift_base[: m * BITS] + (np.abs(mixed) * np.float32(PER_UNIT)).astype(np.int64)
@@ -211,21 +212,47 @@ class Low:
         return out[:, back]
 
 
+def logits(depth: np.ndarray, bit: int) -> np.ndarray:
+    return np.log((depth[bit + 1] + 0.3) / (depth[bit] - depth[bit + 1] + 0.3))
+
+
+def gates(depth: np.ndarray, bit: int) -> np.ndarray:
+    """depth: that of the longest context."""
+    return bit * LEVELS + level(depth[bit], LEVELS - 1)
+
+
 def inputs(low: Low, grams: np.ndarray, high: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each bit of the symbols its number, its logits by order, and the gate. less: occurrences of the gram itself that do not count."""
     t = [low.depths(grams, 1), low.depths(grams, 2), high[:, 0].T.astype(np.float64), high[:, 1].T.astype(np.float64)]
     t = [np.maximum(x - less, 0) for x in t]
     for bit in range(BITS):
-        x = np.stack([np.log((d[bit + 1] + 0.3) / (d[bit] - d[bit + 1] + 0.3)) for d in t], axis=1)
-        yield bit, x, bit * LEVELS + level(t[3][bit], LEVELS - 1)
+        yield bit, np.stack([logits(d, bit) for d in t], axis=1), gates(t[3], bit)
+
+
+def in_bytes(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(x * SCALE), -127, 127).astype(np.int8)
+
+
+def coded_high(high: np.ndarray) -> np.ndarray:
+    """Of each gram the logits of its bits in orders 3 and 4, and their gates, a byte each."""
+    t = [high[:, i].T.astype(np.float64) for i in (0, 1)]
+    out = np.empty((len(high), 3, BITS), np.int8)
+    for bit in range(BITS):
+        out[:, 0, bit], out[:, 1, bit], out[:, 2, bit] = in_bytes(logits(t[0], bit)), in_bytes(logits(t[1], bit)), gates(t[1], bit)
+    return out.reshape(len(high), 3 * BITS)
 
 
 def coded(low: Low, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Logits and gates of each gram's bits, a byte each."""
+    """Of each gram the logits of its bits by order, and their gates. high: ``coded_high``."""
     out = np.empty((len(grams), BITS * (len(ORDERS) + 1)), np.int8)
-    for bit, x, gate in inputs(low, grams, high, 0):
-        out[:, bit * len(ORDERS) : (bit + 1) * len(ORDERS)] = np.clip(np.rint(x * SCALE), -127, 127)
-        out[:, BITS * len(ORDERS) + bit] = gate
+    for at in range(0, len(grams), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        t = [low.depths(grams[part], 1), low.depths(grams[part], 2)]
+        x = np.empty((len(grams[part]), BITS, len(ORDERS)), np.int8)
+        for bit in range(BITS):
+            x[:, bit, 0], x[:, bit, 1], x[:, bit, 2], x[:, bit, 3] = in_bytes(logits(t[0], bit)), in_bytes(logits(t[1], bit)), high[part, bit], high[part, BITS + bit]
+        out[part, : BITS * len(ORDERS)] = x.reshape(len(x), -1)
+        out[part, BITS * len(ORDERS) :] = high[part, 2 * BITS :]
     return out
 
 
@@ -280,23 +307,45 @@ def newton(sums, passes: int = PASSES) -> np.ndarray:
 # ---- counting over the corpus
 
 
+class Tally:
+    """Sums of counts by key, of a bounded number of keys."""
+
+    def __init__(self):
+        self.k, self.c, self.held = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether it is full, so that ``take`` is due."""
+        self.k.append(keys)
+        self.c.append(counts)
+        self.held += len(keys)
+        if self.held <= HELD:
+            return False
+        k, c = self.take()
+        self.k, self.c, self.held = [k], [c], len(k)
+        return len(k) > HELD // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(self.k or [np.zeros(0, U)]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate(self.c or [np.zeros(0)]), minlength=len(k)).astype(np.int64)
+        self.k, self.c, self.held = [], [], 0
+        return k, c
+
+
 def counted(texts: DataFrame, keys) -> DataFrame:
     """k and its number of occurrences, over all texts. keys: bytes and offsets to an array of 64-bit keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have_k, have_c = np.zeros(0, U), np.zeros(0, np.int64)
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(have_k.view(np.int64)), pa.array(have_c)], names=["k", "c"])
+        tally = Tally()
+
+        def give() -> pa.RecordBatch:
+            k, c = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["k", "c"])
+
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                k, c = np.unique(keys(*common.buffers(part.column("text"))), return_counts=True)
-                joined = np.concatenate((have_k, k))
-                have_k, at = np.unique(joined, return_inverse=True)
-                have_c = np.bincount(at, weights=np.concatenate((have_c, c)), minlength=len(have_k)).astype(np.int64)
-                if len(have_k) > HELD:
+                if tally.add(*np.unique(keys(*common.buffers(part.column("text"))), return_counts=True)):
                     yield give()
-                    have_k, have_c = np.zeros(0, U), np.zeros(0, np.int64)
-        if len(have_k):
-            yield give()
+        yield give()
 
     return texts.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
@@ -330,10 +379,11 @@ def grams_of_pieces(pieces: DataFrame) -> DataFrame:
     """piece, k and c: the grams of each piece, and how often its training texts have them. A piece may give a gram in two rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, have_k, have_c = None, np.zeros(0, U), np.zeros(0)
+        piece, tally = 0, Tally()
 
-        def give():
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(have_k), piece or 0)), pa.array(have_k.view(np.int64)), pa.array(have_c.astype(np.int64))], names=["piece", "k", "c"])
+        def give() -> pa.RecordBatch:
+            k, c = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), piece)), pa.array(k.view(np.int64)), pa.array(c)], names=["piece", "k", "c"])
 
         for batch in batches:
             numbers = batch.column("piece").to_numpy()
@@ -341,17 +391,15 @@ def grams_of_pieces(pieces: DataFrame) -> DataFrame:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for part in common.slices(batch.slice(a, b - a), "text", SLICE):
                     own = part.column("piece")[0].as_py()
-                    if len(have_k) and (own != piece or len(have_k) > HELD):
+                    if own != piece:
                         yield give()
-                        have_k, have_c = np.zeros(0, U), np.zeros(0)
-                    piece = own
+                        piece = own
                     for train in (True, False):
                         texts = part.column("text").filter(pc.equal(part.column("train"), train))
                         k, c = np.unique(layout(*common.buffers(texts))[0], return_counts=True)
-                        have_k, at = np.unique(np.concatenate((have_k, k)), return_inverse=True)
-                        have_c = np.bincount(at, weights=np.concatenate((have_c, c * train)), minlength=len(have_k))
-        if len(have_k):
-            yield give()
+                        if tally.add(k, c * train):
+                            yield give()
+        yield give()
 
     return common.cut(pieces.select("piece", "text", "train").mapInArrow(run, "piece long, k long, c long"), "piece-grams")
 
@@ -419,14 +467,13 @@ def fit(grams: DataFrame) -> tuple[Low, Start]:
     return low, Start(weights, np.round(np.clip(slope / (curve + RIDGE), -1, 1), 6))
 
 
-def gram_codes(grams: DataFrame, low: Low) -> DataFrame:
-    """k and code: ``coded`` as bytes."""
-    shared = grams.sparkSession.sparkContext.broadcast(low)
+def gram_codes(grams: DataFrame) -> DataFrame:
+    """k and code: ``coded_high`` as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = coded(shared.value, *columns(batch))
+                code = coded_high(columns(batch)[1])
                 ends = np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]
                 yield pa.RecordBatch.from_arrays([batch.column("k"), pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(code.tobytes())])], names=["k", "code"])
 
@@ -470,7 +517,8 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     needed = grams_of_pieces(pieces)
     grams = counted_grams(needed)
     low, start = fit(grams)
-    codes = needed.select("piece", "k").distinct().join(gram_codes(grams, low), "k")
+    codes = needed.select("piece", "k").join(gram_codes(grams), "k")
+    shared = docs.sparkSession.sparkContext.broadcast((low, start))
     learned = pieces.where("train").select("text")
     counts = common.cut(counted(learned, word_keys), "word-counts")
     texts = learned.count()
@@ -479,32 +527,35 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"{POSTINGS}, id {kind}"
+    about_text = ("n_tokens", "n_bytes", "score", "id")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        """Postings and scores of a piece, from its texts and the log probabilities of its grams."""
-        k, code = known.column("k").combine_chunks(), np.frombuffer(b"".join(known.column("code").to_pylist()), np.int8).reshape(-1, BITS * (len(ORDERS) + 1))
+        """Postings and scores of a piece, from its texts and the logits of its grams."""
+        k, (low, start) = known.column("k").combine_chunks(), shared.value
+        code = coded(low, k.to_numpy().view(U), np.frombuffer(b"".join(known.column("code").to_pylist()), np.int8).reshape(len(k), -1))
         number = texts.column("piece")[0].as_py() << 24
-        out = []
+        out, rows, sizes, about = [], [], [], []
         for batch in texts.select(["id", "text"]).to_batches(max_chunksize=1 << 14):
             for part in common.slices(batch, "text", SLICE):
                 data, offsets = common.buffers(part.column("text"))
                 post, words = postings(data, offsets, number)
-                n = len(post[0])
-                nulls = lambda t, n=n: pa.nulls(n, t)
-                out.append(pa.RecordBatch.from_arrays([*post, nulls(pa.int64()), nulls(pa.int64()), nulls(pa.float64()), nulls(arrow.field("id").type)], schema=arrow))
-                m = part.num_rows
-                own = number + np.arange(m)
+                out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
                 seen, first = layout(data, offsets)
-                score = online(code, pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy(), first, start)
-                cols = [pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(m, pa.binary()), pa.array(words + 1), pa.array(np.diff(offsets)), pa.array(score), part.column("id").cast(arrow.field("id").type)]
-                out.append(pa.RecordBatch.from_arrays(cols, schema=arrow))
-                number += m
+                rows.append(pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy())
+                sizes.append(np.diff(first))
+                own = number + np.arange(part.num_rows)
+                about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(words + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
+                number += part.num_rows
+        # All lanes of the piece step together.
+        score, done = online(code, np.concatenate(rows), np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])), start), 0
+        for *cols, ids in about:
+            out.append(pa.RecordBatch.from_arrays([*cols, pa.array(score[done : done + len(ids)]), ids], schema=arrow))
+            done += len(ids)
         return pa.Table.from_batches(out, schema=arrow)
 
     met = pieces.select("piece", "id", "text").groupBy("piece").cogroup(codes.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
     out = f"doc long, b double, known long, n_tokens long, n_bytes long, score double, id {kind}"
-    about_text = ("n_tokens", "n_bytes", "score", "id")
     out_arrow = to_arrow_schema(_parse_datatype_string(out))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

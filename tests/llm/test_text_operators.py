@@ -457,7 +457,7 @@ def small_model(train, more):
     low = mixing_lm.Low(keys & np.uint64(0xFFFFFF), counts.astype(float))
     weights = mixing_lm.newton(lambda w: mixing_lm.loss_sums(low, w, grams, c, high))
     slope, curve = mixing_lm.lift_sums(low, weights, grams, c, high).T
-    codes = mixing_lm.coded(low, grams, high)
+    codes = mixing_lm.coded(low, grams, mixing_lm.coded_high(high))
     order = np.argsort(grams)
     return mixing_lm.Start(weights, np.clip(slope / (curve + 1), -1, 1)), grams[order], codes[order]
 
