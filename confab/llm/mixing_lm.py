@@ -8,9 +8,12 @@ by a further adaptive stage: a lift by number of the bit and size of the logit,
 prediction only uses what came before, and a bit's two probabilities add up to one, so the score is the logarithm of a proper
 probability of the whole text, and ``total_bits`` is the length of a code for it.
 
+Bits that the mixture is sure of where a lane begins (a logit of ``SURE`` and more, whichever value the bit then has) are coded
+by that mixture as it is; they cost next to nothing and would move next to nothing. All others are coded online.
+
 A text is coded in lanes of ``LANE`` bytes. Contexts run on from lane to lane; weights and lifts begin anew in each, with what
 was fitted on the training texts. Lanes do not depend on each other, so all lanes of a slice take their steps together: a step
-is the next byte of every lane, whose eight bits are coded at once. As the gate and the lift know the number of the bit, no bit
+is the next byte of every lane, whose bits are coded at once. As the gate and the lift know the number of the bit, no bit
 of a byte uses a weight or a lift that another bit of that byte moves: the result is that of one bit after the other.
 
 Counts cover every training text and grow with the corpus. With contexts of four bytes a symbol's probability depends on
@@ -53,8 +56,10 @@ GATES = BITS * LEVELS
 LIFTS, PER_UNIT = 21, 2
 #: Largest logit; logits travel in units of 1 / SCALE.
 TOP, SCALE = 10.4, 12.0
-#: Bytes of a lane, and lanes that take their steps together.
-LANE, LANES = 4096, 4096
+#: Bytes of a lane, lanes that take their steps together (what they learn fits a core's cache), and steps that are laid out at once.
+LANE, LANES, STEPS = 4096, 1024, 64
+#: Logit of the mixture a lane begins with, from which a bit is coded by it as it is.
+SURE = 5.0
 #: Steps of the weights and of the lifts after a bit: at first, and at the least.
 RATE, LEAST_RATE, LIFT_RATE = 0.02, 0.005, 0.02
 SLICE = 1 << 20
@@ -106,47 +111,82 @@ class Start:
     lifts: np.ndarray
 
 
-def lanes(codes: np.ndarray, rows: np.ndarray, begin: np.ndarray, length: np.ndarray, start: Start) -> np.ndarray:
-    """Natural log probability of each lane. begin: its first place in ``rows``, which has each position's row of ``codes``; length: must descend.
+@dataclass
+class Symbols:
+    """The bits of distinct grams: what the sure ones cost (natural log by gram), and logits, gate and lift of the others.
 
-    All logits are those of the bit that did occur; lifts are odd in them, so no prediction knows which one that is.
+    ``first`` and ``n`` say which rows of ``logits`` (four bytes as one item), ``gate`` and ``lift`` are a gram's.
     """
+
+    sure: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    logits: np.ndarray
+    gate: np.ndarray
+    lift: np.ndarray
+
+
+def symbols(codes: np.ndarray, start: Start) -> Symbols:
+    """codes: ``coded``. All logits are those of the bit that did occur; sureness and lifts only see their size."""
+    weights, lifts = start.weights.astype(np.float32), start.lifts.astype(np.float32).ravel()
+    sure, n, logits_, gate_ = [], [], [], []
+    for at in range(0, max(len(codes), 1), 1 << 16):
+        part = codes[at : at + (1 << 16)]
+        x, gate = part[:, : BITS * len(ORDERS)].reshape(-1, BITS, len(ORDERS)), part[:, BITS * len(ORDERS) :]
+        mixed = np.clip((weights[gate] * (x * np.float32(1 / SCALE))).sum(axis=2), -TOP, TOP)
+        known = np.abs(mixed) >= SURE
+        mixed += np.sign(mixed) * lifts[np.arange(BITS) * LIFTS + (np.abs(mixed) * PER_UNIT).astype(np.int64)]
+        sure.append(np.where(known, -np.logaddexp(0, -np.clip(mixed, -TOP, TOP)), 0).sum(axis=1, dtype=np.float64))
+        n.append(BITS - known.sum(axis=1))
+        logits_.append(x[~known])
+        gate_.append(gate[~known])
+    n, gate = np.concatenate(n), np.concatenate(gate_).astype(np.int32)
+    return Symbols(np.concatenate(sure), np.cumsum(n) - n, n, np.ascontiguousarray(np.concatenate(logits_)).view(np.int32).ravel(), gate, gate // LEVELS * LIFTS)
+
+
+def lanes(known: Symbols, rows: np.ndarray, begin: np.ndarray, length: np.ndarray, start: Start) -> np.ndarray:
+    """Natural log probability of each lane. begin: its first place in ``rows``, which has each position's gram; length: must descend."""
     n = len(begin)
     weights = np.tile(start.weights.astype(np.float32).ravel(), n)
     sets = weights.view(np.complex128)  # the four weights of a gate move as one item
     lifts = np.tile(start.lifts.astype(np.float32).ravel(), n)
-    gate_base = np.arange(n)[:, None] * GATES
-    lift_base = (np.arange(n)[:, None] * (BITS * LIFTS) + np.arange(BITS) * LIFTS).ravel()
     out = np.zeros(n)
     live = np.searchsorted(-length, -np.arange(int(length[0]) if n else 0), side="left")
-    for i, m in enumerate(live.tolist()):
-        code = codes.take(rows.take(begin[:m] + i), axis=0)
-        x = code[:, : BITS * len(ORDERS)].astype(np.float32).reshape(-1, len(ORDERS))
+    for at in range(0, len(live), STEPS):
+        count = live[at : at + STEPS]
+        lane = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        gram = rows.take(begin[lane] + at + np.repeat(np.arange(len(count)), count))
+        size = known.n.take(gram)
+        ends = np.cumsum(size)
+        bit = np.repeat(known.first.take(gram) - ends + size, size) + np.arange(ends[-1])
+        owner = np.repeat(lane, size)
+        x = known.logits.take(bit).view(np.int8).reshape(-1, len(ORDERS)).astype(np.float32)
         x *= np.float32(1 / SCALE)
-        at = (gate_base[:m] + code[:, BITS * len(ORDERS) :]).ravel()
-        w = sets.take(at).view(np.float32).reshape(-1, len(ORDERS))
-        parts = w * x
-        mixed = parts[:, 0] + parts[:, 1]
-        mixed += parts[:, 2]
-        mixed += parts[:, 3]
-        np.clip(mixed, -TOP, TOP, out=mixed)
-        miss = 1 / (1 + np.exp(mixed))
-        miss *= np.float32(max(LEAST_RATE, RATE / (1 + i) ** 0.5))
-        x *= np.repeat(miss, len(ORDERS)).reshape(x.shape)
-        w += x
-        sets[at] = w.view(np.complex128).ravel()
-        slot = lift_base[: m * BITS] + (np.abs(mixed) * np.float32(PER_UNIT)).astype(np.int64)
-        lift, sign = lifts.take(slot), np.sign(mixed)
-        mixed += sign * lift
-        np.clip(mixed, -TOP, TOP, out=mixed)
-        miss = 1 / (1 + np.exp(mixed))
-        hit = (1 - miss).reshape(-1, BITS)
-        miss *= np.float32(LIFT_RATE)
-        miss *= sign
-        lifts[slot] = lift + miss
-        hit = hit[:, :4] * hit[:, 4:]
-        hit = hit[:, :2] * hit[:, 2:]
-        out[:m] += np.log((hit[:, 0] * hit[:, 1]).astype(np.float64))
+        sets_at = owner * GATES + known.gate.take(bit)
+        lifts_at = owner * (BITS * LIFTS) + known.lift.take(bit)
+        missed = np.empty(len(bit), np.float32)
+        a = 0
+        for i, b in enumerate(ends[np.cumsum(count) - 1].tolist(), at):
+            where = sets_at[a:b]
+            w, v = sets.take(where).view(np.float32).reshape(-1, len(ORDERS)), x[a:b]
+            parts = w * v
+            mixed = parts[:, 0] + parts[:, 1]
+            mixed += parts[:, 2]
+            mixed += parts[:, 3]
+            np.clip(mixed, -TOP, TOP, out=mixed)
+            miss = 1 / (1 + np.exp(mixed))
+            miss *= np.float32(max(LEAST_RATE, RATE / (1 + i) ** 0.5))
+            v *= np.repeat(miss, len(ORDERS)).reshape(v.shape)
+            w += v
+            sets[where] = w.view(np.complex128).ravel()
+            slot = lifts_at[a:b] + (np.abs(mixed) * np.float32(PER_UNIT)).astype(np.int64)
+            lift, sign = lifts.take(slot), np.sign(mixed)
+            mixed += sign * lift
+            np.clip(mixed, -TOP, TOP, out=mixed)
+            miss = missed[a:b] = 1 / (1 + np.exp(mixed))
+            lifts[slot] = lift + miss * sign * np.float32(LIFT_RATE)
+            a = b
+        out += np.bincount(owner, weights=np.log1p(-missed), minlength=n) + np.bincount(lane, weights=known.sure.take(gram), minlength=n)
     return out
 
 
@@ -158,10 +198,10 @@ def online(codes: np.ndarray, rows: np.ndarray, first: np.ndarray, start: Start)
     begin = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * LANE
     length = np.minimum(LANE, first[owner + 1] - begin)
     order = np.argsort(-length, kind="stable")  # lanes that still go on are a prefix
-    got = np.zeros(len(owner))
+    got, known = np.zeros(len(owner)), symbols(codes, start)
     for a in range(0, len(owner), LANES):
         at = order[a : a + LANES]
-        got[at] = lanes(codes, rows, begin[at], length[at], start)
+        got[at] = lanes(known, rows, begin[at], length[at], start)
     return np.bincount(owner, weights=got, minlength=len(n)) / np.log(10)
 
 
@@ -485,10 +525,8 @@ def gram_codes(grams: DataFrame) -> DataFrame:
 POSTINGS = "h long, doc long, post binary, n_tokens long, n_bytes long, score double"
 
 
-def postings(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """A row for each distinct word of a slice, and each text's number of words. A posting is (text, frequency), 2 bytes each."""
-    low, starts, ends, first = wh.bounds(data, offsets, wh.NONBLANK)
-    words, owner = wh.word_hashes(low, starts, ends), wh.owners(first)
+def postings(words: np.ndarray, owner: np.ndarray, base: int) -> list[pa.Array]:
+    """A row for each distinct word of some texts. owner: each word's text, below 65536. A posting is (text, frequency), 2 bytes each."""
     order = np.argsort(words, kind="stable")
     w, o = words[order], owner[order]
     new = np.concatenate(([True], (w[1:] != w[:-1]) | (o[1:] != o[:-1]))) if len(w) else np.zeros(0, bool)
@@ -504,7 +542,7 @@ def postings(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[pa.Recor
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     ends_ = np.append(head, len(key)).astype(np.int32) * 4
     post = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends_), pa.py_buffer(packed.tobytes())])
-    return [pa.array(key[head].view(np.int64)), pa.array(np.full(len(head), base)), post], np.diff(first)
+    return [pa.array(key[head].view(np.int64)), pa.array(np.full(len(head), base)), post]
 
 
 def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -536,17 +574,29 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
         code = coded(low, k.to_numpy().view(U), np.frombuffer(b"".join(known.column("code").to_pylist()), np.int8).reshape(len(k), -1))
         number = texts.column("piece")[0].as_py() << 24
         out, rows, sizes, about = [], [], [], []
+        heard, whose, texts_of, base = [], [], 0, number
+
+        def give() -> None:
+            post = postings(np.concatenate(heard or [np.zeros(0, U)]), np.concatenate(whose or [np.zeros(0, np.int64)]), base)
+            out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
+
         for batch in texts.select(["id", "text"]).to_batches(max_chunksize=1 << 14):
             for part in common.slices(batch, "text", SLICE):
                 data, offsets = common.buffers(part.column("text"))
-                post, words = postings(data, offsets, number)
-                out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
+                low_bytes, starts, ends, first_word = wh.bounds(data, offsets, wh.NONBLANK)
+                if texts_of + part.num_rows > 0xFFFF:
+                    give()
+                    heard, whose, texts_of, base = [], [], 0, number
+                heard.append(wh.word_hashes(low_bytes, starts, ends))
+                whose.append(wh.owners(first_word) + texts_of)
+                texts_of += part.num_rows
                 seen, first = layout(data, offsets)
                 rows.append(pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy())
                 sizes.append(np.diff(first))
                 own = number + np.arange(part.num_rows)
-                about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(words + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
+                about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(np.diff(first_word) + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
                 number += part.num_rows
+        give()
         # All lanes of the piece step together.
         score, done = online(code, np.concatenate(rows), np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])), start), 0
         for *cols, ids in about:
