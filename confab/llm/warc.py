@@ -14,18 +14,19 @@ Bounded memory: a file has at most ``file_records`` records of at most ``segment
 
 Defined cases: null html is an empty payload; a null url has no target header; control characters in a url are
 percent-encoded; a null page id is the largest and comes back null; rows that repeat the smallest page id of a payload are
-responses too, and repeated rows come back as often as they were written; incomplete or damaged records come back with
-``complete`` false and a null payload; no pages make no records.
+responses too, and repeated rows come back as often as they were written; incomplete or damaged records (a missing segment, a
+wrong total or digest, broken chunks, a length that is no number or runs past the end of the file, a file cut short) come back
+with ``complete`` false and a null payload; a page id that is not of ``id_type`` comes back null; no pages make no records.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from confab.llm import common
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 32 << 10, 8 << 10, 4000
+#: The most that is sent to every task when pages are written.
+SENT_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -64,14 +67,18 @@ def chunked(payload: bytes, most: int) -> bytes:
     return b"".join(b"%x\r\n%b\r\n" % (len(p), p) for p in pieces(payload, most)) + b"0\r\n\r\n"
 
 
+#: Digits of a chunk's size, and an extension that is ignored.
+CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?")
+
+
 def unchunked(body: bytes) -> bytes | None:
     """The payload in chunked framing; None if the framing is broken."""
     out, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        try:
-            n = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        size = CHUNK_SIZE.fullmatch(body, at, end)
+        if size is None:
             return None
+        n = int(size[1], 16)
         if n == 0:
             return b"".join(out)
         at = end + 2 + n
@@ -113,11 +120,13 @@ def write_warc(
     """Writes gzipped WARC files of ``pages`` to the folder ``path``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("_key", F.sha1("html"))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("id"), F.col("url").isNull().alias("b"), F.col("url").alias("url"))
-    # Pages that share a payload: digests and ids alone are counted, and only digests that occur twice are joined.
-    shared = (
-        rows.where(F.octet_length("html") >= dedupe_bytes).groupBy("_key").agg(F.count("*").alias("_n"), F.min(order).alias("_leader")).where("_n > 1").select("_key", "_leader")
+    # Pages that share a payload: digests and ids alone are counted, and only digests that occur twice are joined. Few of them
+    # are sent to every task, so that no page moves; more are joined by shuffling.
+    shared = common.cut(
+        rows.where(F.octet_length("html") >= dedupe_bytes).groupBy("_key").agg(F.count("*").alias("_n"), F.min(order).alias("_leader")).where("_n > 1").select("_key", "_leader"), "warc-shared"
     )
-    joined = rows.join(shared, "_key", "left").select(
+    small = shared.agg(F.coalesce(F.sum(F.lit(100) + F.coalesce(F.octet_length("_leader.url"), F.lit(0))), F.lit(0))).first()[0] <= SENT_BYTES
+    joined = rows.join(F.broadcast(shared) if small else shared, "_key", "left").select(
         "id", "url", "html", F.when(F.col("_leader").isNotNull() & ~F.col("_leader.id").eqNullSafe(F.col("id")), F.struct("_leader.id", "_leader.url")).alias("leader")
     )
 
@@ -132,25 +141,67 @@ def write_warc(
     out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-PARSED = "record_id string, type string, page_id long, digest string, refers_to string, origin string, segment int, total long, block binary"
+PARSED = "record_id string, type string, page_id string, digest string, refers_to string, origin string, segment int, total long, sound boolean, block binary"
+
+
+def number(value: str | None, most: int) -> int | None:
+    """A count in decimal digits; None for anything else."""
+    return int(value) if value is not None and re.fullmatch("[0-9]{1,18}", value) and int(value) <= most else None
+
+
+class Unpacked(io.RawIOBase):
+    """Gzipped members on end, unpacked; it ends where the data ends or is no gzip."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member = data, 0, None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        while self.at < len(self.data) or (self.member is not None and self.member.unconsumed_tail):
+            self.member = self.member or zlib.decompressobj(31)
+            packed = self.member.unconsumed_tail
+            if not packed:
+                packed = self.data[self.at : self.at + (1 << 16)]
+                self.at += len(packed)
+            try:
+                out = self.member.decompress(packed, len(to))
+            except zlib.error:
+                self.at, self.member = len(self.data), None
+                return 0
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = None
+            if out:
+                to[: len(out)] = out
+                return len(out)
+        return 0
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped, whole or record by record."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    stream = io.BufferedReader(stream, 1 << 20)
+    """The records of a WARC file, plain or gzipped, whole or record by record. ``sound`` is false for a record that is damaged."""
+    stream = io.BufferedReader(Unpacked(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 20)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         head = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             k, _, v = line.partition(b":")
-            head[k.strip().lower().decode()] = v.strip().decode()
-        block = stream.read(int(head.get("content-length", 0)))
-        number = lambda k, h=head: int(h[k]) if k in h else None
+            head[k.strip().lower().decode(errors="replace")] = v.strip().decode(errors="replace")
+        whole = line != b""
+        length = number(head.get("content-length", "0"), 1 << 40)
+        # Blocks are read in parts, so that a length that is made up takes no memory.
+        parts, left = [], length or 0
+        while left and (part := stream.read(min(left, 1 << 20))):
+            parts.append(part)
+            left -= len(part)
+        segment, total = number(head.get("warc-segment-number"), 2**31 - 1), number(head.get("warc-segment-total-length"), 2**62)
+        readable = all(v is not None or k not in head for k, v in (("warc-segment-number", segment), ("warc-segment-total-length", total)))
         yield {
-            "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "page_id": number("warc-page-id"), "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-            "refers_to": head.get("warc-refers-to"), "origin": head.get("warc-segment-origin-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"), "block": block,
+            "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "page_id": head.get("warc-page-id"), "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+            "refers_to": head.get("warc-refers-to"), "origin": head.get("warc-segment-origin-id"), "segment": segment, "total": total,
+            "sound": whole and length is not None and not left and readable, "block": b"".join(parts),
         }
 
 
@@ -178,51 +229,56 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(found: DataFrame) -> DataFrame:
-    """Records in one piece: record_id, type, page_id, digest, refers_to, block, and whether all segments were there.
+    """Records in one piece: record_id, type, page_id, digest, refers_to, blocks (parts in order), and whether all of it was there.
 
     Segments are grouped by origin, so a group is one record. A record that was written twice has each of its segments
     twice; it comes out twice.
     """
-    whole = found.where("segment is null").select("record_id", "type", "page_id", "digest", "refers_to", "block", F.lit(True).alias("complete"))
+    whole = found.where("segment is null").select("record_id", "type", "page_id", "digest", "refers_to", F.array("block").alias("blocks"), F.col("sound").alias("complete"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     groups = (
         found.where("segment is not null").withColumn("record_id", F.coalesce("origin", "record_id")).groupBy("record_id")
-        .agg(first("type"), first("page_id"), first("digest"), F.max("total").alias("_total"), F.count_if(F.col("segment") == 1).alias("_copies"),
+        .agg(first("type"), first("page_id"), first("digest"), F.max("total").alias("_total"), F.count_if(F.col("segment") == 1).alias("_copies"), F.min("sound").alias("_sound"),
              F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("_parts"))
     )
-    block = F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    n = F.size("_parts")
+    n, size = F.size("_parts"), F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
     ordered = (F.element_at("_parts", 1)["segment"] == 1) & (F.element_at("_parts", -1)["segment"] == n)
     joined = groups.select(
-        "record_id", F.coalesce("type", F.lit("response")).alias("type"), "page_id", "digest", F.lit(None).cast("string").alias("refers_to"), block.alias("block"),
-        F.coalesce(ordered & (F.octet_length(block) == F.col("_total")), F.lit(False)).alias("complete"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_copies").cast("int")))).alias("_copy"),
+        "record_id", F.coalesce("type", F.lit("response")).alias("type"), "page_id", "digest", F.lit(None).cast("string").alias("refers_to"), F.transform("_parts", lambda p: p["block"]).alias("blocks"),
+        F.coalesce(ordered & (size == F.col("_total")) & F.col("_sound"), F.lit(False)).alias("complete"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_copies").cast("int")))).alias("_copy"),
     ).drop("_copy")
     return whole.unionByName(joined)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, id_type: str = "long") -> DataFrame:
     """record_id, type, page_id, digest, refers_to, complete, payload, payload_bytes and payload_digest of every record."""
-    out = "record_id string, type string, page_id long, digest string, refers_to string, complete boolean, payload binary, payload_bytes long, payload_digest string"
+    out = "record_id string, type string, page_id string, digest string, refers_to string, complete boolean, payload binary, payload_bytes long, payload_digest string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "block", 4 * common.SLICE_BYTES):
-                rows = []
-                for r in part.to_pylist():
-                    head, _, body = r.pop("block").partition(b"\r\n\r\n")
-                    payload = None
-                    if r["type"] == "response" and r["complete"]:
-                        payload = unchunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:\s*chunked", head) else body
-                        r["complete"] = payload is not None and r["digest"] in (None, base32_sha1(payload))
-                    ok = payload is not None and r["complete"]
-                    rows.append(r | {"payload": payload if ok else None, "payload_bytes": len(payload) if ok else None, "payload_digest": base32_sha1(payload) if ok else r["digest"]})
+            rows, size = [], 0
+            for i in range(batch.num_rows):  # a record may be long, so one is worked on at a time
+                (r,) = batch.slice(i, 1).to_pylist()
+                head, _, body = b"".join(r.pop("blocks")).partition(b"\r\n\r\n")
+                payload = None
+                if r["type"] == "response" and r["complete"]:
+                    payload = unchunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:\s*chunked", head) else body
+                    r["complete"] = payload is not None and r["digest"] in (None, base32_sha1(payload))
+                ok = payload is not None and r["complete"]
+                row = r | {"payload": payload if ok else None, "payload_bytes": len(payload) if ok else None, "payload_digest": base32_sha1(payload) if ok else r["digest"]}
+                rows.append(row)
+                size += len(body)
+                if size > common.SLICE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+            if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(out))
-    return reassemble(read_records(spark, path)).mapInArrow(run, out)
+    return reassemble(read_records(spark, path)).mapInArrow(run, out).withColumn("page_id", F.col("page_id").try_cast(id_type))
 
 
 def resolve(found: DataFrame) -> DataFrame:
