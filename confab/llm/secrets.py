@@ -4,13 +4,15 @@ Patterns give the base spans. For the battery, unbroken runs of encoded-looking
 encoding (hex, base32, base64, base64url) is inferred from the characters a run has. A candidate must look random: its
 symbols uniform (chi-squared), the runs above and below the middle of the alphabet as many as chance gives (Wald-Wolfowitz),
 neighbours uncorrelated (lag-1 serial correlation); any of the three rejecting uniform randomness at ``BATTERY_P`` drops it.
-What is left is held against ordinary text: under text whose symbols are skewed by ``SKEW`` (its divergence from uniform a
-symbol) the chi-squared statistic is noncentral with a mean that grows with length, so its lower tail is a p-value that
-knows the length. Benjamini-Hochberg at ``FDR`` over all candidates of a length class, from counts of p-values by bin, sets
-the class's limit; candidates below it are ``random`` spans unless a base span touches them.
+What is left is held against ordinary text, by two tests that know the length. Under text whose symbols are skewed by ``SKEW``
+(its divergence from uniform a symbol) the chi-squared statistic is noncentral with a mean that grows with length, so its lower
+tail is a p-value. In words and numbers that are strung together a character is seldom of another kind (digit, capital, small
+letter) than the one before, so the upper tail of the number of changes of kind, at ``CHANGE`` a place, is another. Fisher's
+product of both is a candidate's p. Benjamini-Hochberg at ``FDR`` over the distinct candidates of an encoding and length class,
+from counts of p-values by bin, sets the limit; candidates below it are ``random`` spans unless a base span touches them.
 
-All of it is DataFrame expressions; a corpus-wide count of at most 4 x 401 bins is the only thing collected. No shuffle of
-text: a hot source or huge groups of copies are just rows.
+All of it is DataFrame expressions; a corpus-wide count of at most 24 x 401 bins is the only thing collected. No shuffle of
+text (of candidates only hashes move): a hot source or huge groups of copies are just rows.
 
 Defined cases: null text is empty; an empty table gives no rows; offsets are code points, ends exclusive; equal texts get
 equal spans; other columns pass through.
@@ -35,10 +37,13 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-SKEW = {"hex": 0.6, "HEX": 0.6, "base32": 0.8, "base64": 2.0, "base64url": 2.0}
+SKEW = {"hex": 0.6, "HEX": 0.6, "base32": 0.8, "base36": 1.2, "base64": 2.0, "base64url": 2.0}
+#: How often a character of ordinary strings of words and numbers is of another kind than the one before.
+CHANGE = 0.2
 BATTERY_P, FDR = 1e-4, 0.01
 BINS, PER_DECADE = 400, 10
 #: Upper length of each class; the last is open.
@@ -86,22 +91,36 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def phi(z: Column) -> Column:
-    """Normal distribution function, by a logistic of a cubic (error below 2e-4 where it matters here)."""
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-    return 1.0 / (1.0 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+#: Coefficients of a Chebyshev fit of ln(erfc(x) / t) + x * x in t = 1 / (1 + x / 2), lowest power first: a fixed table.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+
+
+def upper(z: Column) -> Column:
+    """Upper tail of the normal distribution, with a relative error below 2e-7 in the tail."""
+    x = F.least(F.lit(37.0), F.abs(z)) / 2**0.5
+    t = 1.0 / (1.0 + x / 2.0)
+    series = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        series = F.lit(c) + t * series
+    tail = t * F.exp(series - x * x) / 2.0
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
 def encoding(s: Column) -> Column:
     """The inferred encoding of a candidate (padding removed), or null."""
-    upper, lower, digit = s.rlike("[A-Z]"), s.rlike("[a-z]"), s.rlike("[0-9]")
+    capital, lower, digit = s.rlike("[A-Z]"), s.rlike("[a-z]"), s.rlike("[0-9]")
     return (
-        F.when(s.rlike("^[0-9a-f]+$") & lower & digit, F.lit("hex")).when(s.rlike("^[0-9A-F]+$") & upper & digit, F.lit("HEX"))
-        .when(s.rlike("^[A-Z2-7]+$") & upper & digit, F.lit("base32")).when(s.rlike("^[A-Za-z0-9+/]+$") & upper & lower & digit, F.lit("base64"))
-        .when(s.rlike("^[A-Za-z0-9_-]+$") & upper & lower & digit, F.lit("base64url"))
+        F.when(s.rlike("^[0-9a-f]+$") & lower & digit, F.lit("hex")).when(s.rlike("^[0-9A-F]+$") & capital & digit, F.lit("HEX"))
+        .when(s.rlike("^[A-Z2-7]+$") & capital & digit, F.lit("base32")).when(s.rlike("^[a-z0-9]+$") & lower & digit, F.lit("base36"))
+        .when(s.rlike("^[A-Za-z0-9+/]+$") & capital & lower & digit, F.lit("base64")).when(s.rlike("^[A-Za-z0-9_-]+$") & capital & lower & digit, F.lit("base64url"))
     )
 
 
+#: Characters by kind: digits and signs, small letters, capitals.
+KINDS_FROM = "".join(chr(c) for c in range(0x21, 0x7F))
+KINDS_TO = "".join("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" for c in KINDS_FROM)
+
+
 def by_encoding(enc: Column, value) -> Column:
     out = F.lit(None)
     for name in ALPHABETS:
@@ -110,7 +129,7 @@ def by_encoding(enc: Column, value) -> Column:
 
 
 def tested(candidates: Column) -> Column:
-    """array<struct<start,end,size,random,p>> of the candidates that have an encoding."""
+    """array<struct<start,end,size,enc,key,random,p>> of the candidates that have an encoding."""
     named = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.rtrim(c["text"], F.lit("=")).alias("s")))
     named = F.transform(named, lambda c: F.struct(c["start"], c["end"], c["s"], encoding(c["s"]).alias("enc"), F.length(c["s"]).cast("double").alias("n")))
     named = F.filter(named, lambda c: c["enc"].isNotNull())
@@ -121,8 +140,10 @@ def tested(candidates: Column) -> Column:
         alphabet = by_encoding(c["enc"], lambda e: F.lit(ALPHABETS[e]))
         values = F.transform(chars, lambda x: F.position(x, alphabet).cast("double"))
         halves = by_encoding(c["enc"], lambda e: F.translate(c["s"], ALPHABETS[e], "0" * (len(ALPHABETS[e]) // 2) + "1" * (len(ALPHABETS[e]) // 2)))
+        kinds = F.translate(c["s"], KINDS_FROM, KINDS_TO)
+        changes = sum((c["n"] - F.length(F.replace(kinds, F.lit(a + b), F.lit(""))) for a in "0aA" for b in "0aA" if a != b), F.lit(0.0)) / 2.0
         return F.struct(
-            c["start"], c["end"], c["n"], by_encoding(c["enc"], lambda e: F.lit(float(len(ALPHABETS[e])))).alias("a"), by_encoding(c["enc"], lambda e: F.lit(SKEW[e])).alias("skew"),
+            c["start"], c["end"], c["n"], c["enc"], F.xxhash64(c["s"]).alias("key"), changes.alias("changes"), by_encoding(c["enc"], lambda e: F.lit(float(len(ALPHABETS[e])))).alias("a"), by_encoding(c["enc"], lambda e: F.lit(SKEW[e])).alias("skew"),
             squares.alias("squares"), halves.alias("h"), values.alias("v"),
         )
 
@@ -132,7 +153,7 @@ def tested(candidates: Column) -> Column:
         ones = F.length(F.replace(h, F.lit("0"), F.lit(""))).cast("double")
         mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
         return F.struct(
-            c["start"], c["end"], n.alias("n"), (a - 1.0).alias("df"), (n * c["skew"]).alias("shift"), (a / n * c["squares"] - n).alias("chi"), (turns + 1.0).alias("runs"), ones.alias("n1"), (n - ones).alias("n0"),
+            c["start"], c["end"], n.alias("n"), c["enc"], c["key"], c["changes"], (a - 1.0).alias("df"), (n * c["skew"]).alias("shift"), (a / n * c["squares"] - n).alias("chi"), (turns + 1.0).alias("runs"), ones.alias("n1"), (n - ones).alias("n0"),
             mean.alias("mean"), v.alias("v"),
         )
 
@@ -146,9 +167,14 @@ def tested(candidates: Column) -> Column:
         square = F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x)
         lag = F.aggregate(F.zip_with(centred, F.slice(centred, 2, F.size(centred)), lambda x, y: x * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
         z_lag = F.when(square > 0, lag / square * F.sqrt(n)).otherwise(F.lit(30.0))
-        least = F.least(1.0 - phi(z_chi), 2.0 * (1.0 - phi(F.abs(z_runs))), 2.0 * (1.0 - phi(F.abs(z_lag))))
-        p = phi((chi - (df + c["shift"])) / F.sqrt(2.0 * (df + 2.0 * c["shift"])))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), n.cast("int").alias("size"), (least >= BATTERY_P / 3).alias("random"), p.alias("p"))
+        least = F.least(upper(z_chi), 2.0 * upper(F.abs(z_runs)), 2.0 * upper(F.abs(z_lag)))
+        even = upper((df + c["shift"] - chi) / F.sqrt(2.0 * (df + 2.0 * c["shift"])))
+        mixed = upper((c["changes"] - 0.5 - CHANGE * (n - 1.0)) / F.sqrt(CHANGE * (1.0 - CHANGE) * (n - 1.0)))
+        both = F.greatest(F.lit(1e-80), even * mixed)
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), n.cast("int").alias("size"), by_encoding(c["enc"], lambda e: F.lit(list(ALPHABETS).index(e))).alias("enc"), c["key"].alias("key"),
+            (least >= BATTERY_P / 3).alias("random"), (both * (1.0 - F.ln(both))).alias("p"),
+        )
 
     return F.transform(F.transform(F.transform(named, counts), statistics), tests)
 
@@ -165,9 +191,9 @@ def p_bin(p: Column) -> Column:
     return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(-F.log10(F.greatest(p, F.lit(1e-40))) * PER_DECADE))).cast("int")
 
 
-def limits(rows: list[tuple[int, int, int]], fdr: float) -> list[int]:
-    """The least bin that is a discovery, by class. rows: (class, bin, count)."""
-    out = [BINS + 1] * (len(CLASSES) + 1)
+def limits(rows: list[tuple[int, int, int]], fdr: float, groups: int = len(CLASSES) + 1) -> list[int]:
+    """The least bin that is a discovery, by group. rows: (group, bin, count)."""
+    out = [BINS + 1] * groups
     for k in range(len(out)):
         count = [0] * (BINS + 1)
         for c, b, n in rows:
@@ -182,25 +208,32 @@ def limits(rows: list[tuple[int, int, int]], fdr: float) -> list[int]:
     return out
 
 
+def group_of(t: Column) -> Column:
+    """Number of a candidate's encoding and length class."""
+    return t["enc"] * (len(CLASSES) + 1) + length_class(t["size"])
+
+
 def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, prefix: str = "") -> DataFrame:
     """``docs`` with spans: array<struct<start,end,kind>>, by start and then kind."""
     name = prefix + "spans"
-    base = common.without(docs, [name, "_text", "_tested"])
+    base = common.without(docs, [name])
+    held = common.fresh(base, "tested")
     text = F.coalesce(F.col(text_col), F.lit(""))
     candidates = gated(text.rlike("[A-Za-z0-9+/_-]{20}") & text.rlike("[0-9]"), found(text, CANDIDATE, "all"))
     seen = base.select(candidates.alias("c")).where(F.size("c") > 0).select(F.explode(tested(F.col("c"))).alias("t"))
-    bins = seen.where("t.random").groupBy(length_class(F.col("t.size")).alias("k"), p_bin(F.col("t.p")).alias("b")).agg(F.count("*").alias("n")).collect()
-    most = limits([(r["k"], r["b"], r["n"]) for r in bins], fdr)
+    distinct = seen.where("t.random").select(group_of(F.col("t")).alias("k"), p_bin(F.col("t.p")).alias("b"), "t.key").distinct()
+    bins = distinct.groupBy("k", "b").agg(F.count("*").alias("n")).collect()
+    most = limits([(r["k"], r["b"], r["n"]) for r in bins], fdr, len(ALPHABETS) * (len(CLASSES) + 1))
 
     spans = base_spans(text)
     kinds = lambda s, kind: F.transform(s, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["end"].alias("end")))
     fixed = F.concat(*(kinds(s, k) for k, s in spans.items()))
-    marked = base.withColumn("_tested", tested(candidates)).withColumn(name, fixed)
-    limit = lambda t: F.element_at(F.array(*map(F.lit, most)), length_class(t["size"]) + 1)
-    hits = F.filter("_tested", lambda t: t["random"] & (p_bin(t["p"]) >= limit(t)) & ~F.exists(name, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    marked = base.withColumn(held, tested(candidates)).withColumn(name, fixed)
+    limit = lambda t: F.element_at(F.array(*map(F.lit, most)), group_of(t) + 1)
+    hits = F.filter(held, lambda t: t["random"] & (p_bin(t["p"]) >= limit(t)) & ~F.exists(name, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     joined = F.array_sort(F.concat(name, kinds(hits, "random")))
     kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["order"] + 1)
-    return marked.withColumn(name, F.transform(joined, lambda x: F.struct(x["start"], x["end"], kind(x).alias("kind")))).drop("_tested")
+    return marked.withColumn(name, F.transform(joined, lambda x: F.struct(x["start"], x["end"], kind(x).alias("kind")))).drop(held)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
