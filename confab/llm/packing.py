@@ -1,7 +1,8 @@
 """Cost-balanced packing of tokenised documents into training sequences.
 
-A document's ids are cut every ``capacity`` ids. Pieces are dealt to groups of some ``GROUP`` pieces by a hash of what they
-are, and each group is packed by itself: pieces in descending length, each into the sequence of lowest cost that has room,
+A document's ids are cut every ``capacity`` ids. Pieces are dealt to groups of ``GROUP`` pieces on average at most (a text has no
+more ids than bytes, which bounds its pieces before it is tokenised) by a hash of what and where they are, and each group is
+packed by itself: pieces in descending length, each into the sequence of lowest cost that has room,
 where a sequence's cost is its length times ``LINEAR`` plus ``QUADRATIC`` times the sum of its pieces' squared lengths
 (attention within a document). A piece that no open sequence has room for is the only one that opens a further sequence.
 
@@ -36,11 +37,16 @@ CLOSING_ID = 1
 CACHE = 1_000_000
 
 
+#: Texts that show whether a vocabulary's ids are those of lower-cased, blank-separated parts.
+PROBES = ["Hello WORLD a  b", " x\ny\n", "A B\tC", "don't  STOP,now", "it is\nso \n\n x1", "é Ü ß a"]
+
+
 class Ids:
     """Ids of texts as little-endian bytes.
 
-    This vocabulary drops white space and never joins across it, so the ids of a text are those of its blank-separated
-    parts on end; each distinct part is encoded once and then looked up.
+    Where a vocabulary drops white space and never joins across it, the ids of a text are those of its blank-separated parts
+    on end, and each distinct part is encoded once and then looked up. ``PROBES`` show whether that holds, and whether case
+    matters; where it does not hold, texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -51,17 +57,26 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        plain = self.encoded(PROBES)
+        self.folds, self.parts = True, True
+        if self(PROBES) != plain:
+            self.folds, self.known = False, {"": b""}
+            self.parts = self(PROBES) == plain
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # The vocabulary is lower-cased; doing it first makes parts fewer. Beyond ASCII the order of steps could matter.
-        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        if not self.parts:
+            return [b for at in range(0, len(texts), 256) for b in self.encoded(texts[at : at + 256])]
+        # If the vocabulary is lower-cased, doing it first makes parts fewer. Beyond ASCII the order of steps could matter.
+        parts = [(t.lower() if self.folds and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         new = list(set().union(*parts).difference(self.known)) if parts else []
         if len(self.known) + len(new) > CACHE:
             self.known = {"": b""}
             new = list(set().union(*parts).difference(self.known))
         for at in range(0, len(new), 4096):
-            for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(new[at : at + 4096], self.encoded(new[at : at + 4096]), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -103,6 +118,10 @@ def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capa
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece of a group. lengths must descend.
 
@@ -143,8 +162,10 @@ def pack_documents(
 ) -> DataFrame:
     """A row per piece: the document's id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id and offset."""
     cut = pieces(docs, vocabulary=vocabulary, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids)
-    groups = max(1, -(-docs.count() // group))
-    cut = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(groups)))
+    most = docs.agg(F.count("*") + F.coalesce(F.sum(F.expr(f"octet_length({quoted(text_col)}) div {capacity}")), F.lit(0))).first()[0]
+    groups = max(1, -(-most // group))
+    # The row's number spreads rows that are repeated.
+    cut = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     names = [*cut.columns[:-1], "sequence_id", "offset"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
