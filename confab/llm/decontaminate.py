@@ -2,8 +2,10 @@
 
 The hash of every run of ``GRAM`` words is taken, and of each ``SPAN - GRAM + 1`` consecutive hashes the smallest is kept.
 Two texts that share ``SPAN`` consecutive words then share a kept hash, whatever stands around it, so joining the kept
-hashes of documents and benchmark finds every such span. Each joint hash is extended on its diagonal to the windows of
-``SPAN`` words that cover it, and windows that agree word for word (64-bit hashes of all their words) are hits.
+hashes of documents and benchmark finds every such span. Each joint hash is extended to the windows of ``SPAN`` words that
+cover it, and those that are windows of the benchmark word for word (64-bit hashes of all their words) are hits. The index has
+each window once, and items that share the same windows as one set, so a passage of a thousand items costs a document no more
+than one of a single item.
 
 The benchmark is the stated, small side. It is indexed in blocks of at most ``block_bytes`` of text; a block is what is
 broadcast, so its size is bounded whatever the benchmark's size. Documents are mapped where they lie: no shuffle, no state
@@ -36,7 +38,7 @@ FIELDS = [
 
 
 class Index:
-    """Kept hashes of one block of benchmark items, sorted, with where each stands."""
+    """Kept hashes and windows of one block of benchmark items, each once and sorted, with the items that have a window."""
 
     def __init__(self, items: list[tuple[str | None, str]], span: int, gram: int):
         self.span, self.gram = span, gram
@@ -45,20 +47,35 @@ class Index:
         low, starts, ends, first = wh.bounds(data, offsets, wh.ALNUM)
         words = wh.word_hashes(low, starts, ends)
         sizes, owner = np.diff(first), wh.owners(first)
-        self.windows = window_hashes(words, span)
-        self.last = np.repeat(first[1:], sizes) - span  # last window that begins in the same item
         kept = winnow(words, first, span, gram)
         kept = kept[sizes[owner[kept]] >= span] if len(kept) else kept
-        hashes = wh.mix(wh.grams(words, gram))[kept]
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.owner, self.begin = hashes[order], kept[order], owner, first[:-1]
-        #: Items that are one short window: by length, sorted hashes and items.
+        self.hashes = np.unique(wh.mix(wh.grams(words, gram))[kept])
+        #: The distinct lists of items, by number.
+        self.sets: list[np.ndarray] = []
+        self.numbers: dict[bytes, int] = {}
+        windows = window_hashes(words, span)
+        begin = np.flatnonzero(np.arange(len(windows)) + span <= np.repeat(first[1:], sizes)[: len(windows)])
+        self.windows, self.window_sets = self.grouped(windows[begin], owner[begin])
+        #: Items that are one short window: by length, sorted hashes and sets of items.
         self.short = {}
         for n in np.unique(sizes[(sizes > 0) & (sizes < span)]):
             item = np.flatnonzero(sizes == n)
-            hashes = wh.mix(wh.grams(words, int(n)))[first[:-1][item]]
-            order = np.argsort(hashes, kind="stable")
-            self.short[int(n)] = (hashes[order], item[order])
+            self.short[int(n)] = self.grouped(wh.mix(wh.grams(words, int(n)))[first[:-1][item]], item)
+
+    def grouped(self, hashes: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes, and for each the number of the set of its items."""
+        order = np.lexsort((item, hashes))
+        h, i = hashes[order], item[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))) if len(h) else np.zeros(0, bool)
+        h, i = h[new], i[new]
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        sets = np.zeros(len(at), np.int64)
+        for k, (a, b) in enumerate(zip(at.tolist(), np.append(at, len(h))[1:].tolist(), strict=True)):
+            own = i[a:b]
+            sets[k] = self.numbers.setdefault(own.tobytes(), len(self.sets))
+            if sets[k] == len(self.sets):
+                self.sets.append(own)
+        return h[at], sets
 
 
 def window_hashes(words: np.ndarray, span: int) -> np.ndarray:
@@ -83,38 +100,31 @@ def winnow(words: np.ndarray, first: np.ndarray, span: int, gram: int) -> np.nda
     return np.flatnonzero(kept & ok)
 
 
-def pairs(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (index in hashes, index in the sorted table) of equal values."""
-    left = np.searchsorted(table, hashes, side="left")
-    hit = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == hashes) if len(table) else np.zeros(0, np.int64)
-    left = left[hit]
-    count = np.searchsorted(table, hashes[hit], side="right") - left
-    run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(hit, count), np.repeat(left, count) + run
+def lookup(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are in the sorted table of distinct values, and where."""
+    if not len(table):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    hit = np.flatnonzero(table[at] == hashes)
+    return hit, at[hit]
 
 
 def matches(words: np.ndarray, first: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and item of every window of the index that occurs."""
+    """First word, length and set of items of every window of the index that occurs."""
     out = []
-    span, last = index.span, np.repeat(first[1:], np.diff(first)) - index.span
-    begin = np.repeat(first[:-1], np.diff(first))
+    span, sizes = index.span, np.diff(first)
+    begin, end = np.repeat(first[:-1], sizes), np.repeat(first[1:], sizes)
     kept = winnow(words, first, span, index.gram)
     if len(kept) and len(index.hashes):
-        i, j = pairs(wh.mix(wh.grams(words, index.gram))[kept], index.hashes)
-        p, q = kept[i], index.at[j]
+        p = kept[lookup(wh.mix(wh.grams(words, index.gram))[kept], index.hashes)[0]]
         if len(p):
-            windows = window_hashes(words, span)
-            for back in range(span - index.gram + 1):
-                a, b = p - back, q - back
-                ok = (a >= begin[p]) & (a <= last[p]) & (b >= index.begin[index.owner[q]]) & (b <= index.last[q])
-                a, b = a[ok], b[ok]
-                same = windows[a] == index.windows[b]
-                out.append((a[same], np.full(same.sum(), span), index.owner[b[same]]))
-    for n, (hashes, item) in index.short.items():
-        g = wh.mix(wh.grams(words, n))
-        i, j = pairs(g, hashes)
-        ok = i + n <= np.repeat(first[1:], np.diff(first))[i]
-        out.append((i[ok], np.full(ok.sum(), n), item[j[ok]]))
+            a = np.unique(np.concatenate([q[(q >= begin[p]) & (q + span <= end[p])] for q in (p - back for back in range(span - index.gram + 1))]))
+            hit, at = lookup(window_hashes(words, span)[a], index.windows)
+            out.append((a[hit], np.full(len(hit), span), index.window_sets[at]))
+    for n, (hashes, sets) in index.short.items():
+        hit, at = lookup(wh.mix(wh.grams(words, n)), hashes)
+        ok = hit + n <= end[hit]
+        out.append((hit[ok], np.full(ok.sum(), n), sets[at[ok]]))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -125,7 +135,7 @@ def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list,
     data, offsets = common.buffers(batch.column(text_col))
     low, starts, ends, first = wh.bounds(data, offsets, wh.ALNUM)
     words = wh.word_hashes(low, starts, ends)
-    at, size, item = matches(words, first, index)
+    at, size, found_sets = matches(words, first, index)
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + size, -1)
@@ -148,10 +158,9 @@ def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list,
         got[i].append({"start": a - int(first[i]), "end": b - int(first[i])})
     have = [set(x or ()) for x in ids]
     if len(at):
-        pair = np.unique(owner[at] * len(index.ids) + item)
-        for i, k in zip((pair // len(index.ids)).tolist(), (pair % len(index.ids)).tolist(), strict=True):
-            if index.ids[k] is not None:
-                have[i].add(index.ids[k])
+        pair = np.unique(owner[at] * len(index.sets) + found_sets)
+        for i, k in zip((pair // len(index.sets)).tolist(), (pair % len(index.sets)).tolist(), strict=True):
+            have[i].update(index.ids[x] for x in index.sets[k].tolist() if index.ids[x] is not None)
     return [pa.array(np.diff(first)), pa.array(got, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in have], pa.list_(pa.string()))]
 
 
