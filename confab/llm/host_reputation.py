@@ -67,9 +67,10 @@ def host_posteriors(pages: DataFrame, outcomes: DataFrame, *, id_col: str, url_c
     seen = outcomes.select(F.col(outcome_id_col).alias("_id"), good.cast("int").alias("_good")).where("_good is not null")
     labelled = urls.join(seen, "_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("_good").alias("s"))
     dots = lambda k: F.substring_index("host", ".", -k)
-    hosts = (
+    # One row a host, written once: the levels above and every scalar below read it instead of the pages.
+    hosts = common.cut(
         urls.groupBy("host").agg(F.lit(1).alias("_one")).drop("_one").join(labelled, "host", "left").fillna(0, ["n", "s"])
-        .withColumn("domain", dots(suffix_labels + 1)).withColumn("suffix", dots(suffix_labels))
+        .withColumn("domain", dots(suffix_labels + 1)).withColumn("suffix", dots(suffix_labels)), "hosts"
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -101,9 +102,10 @@ def judge_urls(
     base = common.without(pages, ["host", "path", "rule", "verdict", "trials", "successes", "posterior_mean", "posterior_bound"])
     judged = base.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col))).join(figures, "host", "left")
     rule = rule_of(F.col("host"), F.col("path"), list(rules))
-    return judged.withColumn("_rule", rule).select(
-        *[c for c in base.columns], "host", "path", F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), F.when(F.col("posterior_bound") >= least, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"),
+    own = common.fresh(judged, "rule")
+    return judged.withColumn(own, rule).select(
+        *[c for c in base.columns], "host", "path", F.col(f"{own}.rule").alias("rule"),
+        F.coalesce(F.col(f"{own}.verdict"), F.when(F.col("posterior_bound") >= least, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"),
         "trials", "posterior_mean", "posterior_bound",
     )
 

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from confab.llm import common
 
 SAMPLES = 32
+#: Ids that bounds of ranges are taken from where ids are no numbers.
+BOUNDS = 10_000
 #: Anything else in a lower-cased text separates words.
 BETWEEN = r"[\x00-/:-`{-\x7f]+"
 
@@ -68,8 +70,19 @@ def words(text: Column) -> Column:
 
 
 def ranges(rows: DataFrame, id_col: str, n: int) -> Column:
-    """Number of the id's range, of at most ``n``. Found in two steps over sorted bounds."""
-    bounds = rows.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    """Number of the id's range, of at most ``n``. Found in two steps over sorted bounds.
+
+    Bounds are quantiles of numeric ids; of other ids, the ids that a regular sample of ``BOUNDS`` of their hashes picks. They
+    only say how even the ranges are.
+    """
+    if n <= 1:
+        return F.lit(0)
+    if isinstance(rows.schema[id_col].dataType, T.NumericType):
+        bounds = rows.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0]
+    else:
+        least = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(id_col).alias("h")).distinct().orderBy("h").limit(BOUNDS)
+        found = sorted(r["i"] for r in least.collect())
+        bounds = [found[len(found) * i // n] for i in range(1, n)] if found else []
     bounds = sorted(set(bounds or []))
     if not bounds:
         return F.lit(0)

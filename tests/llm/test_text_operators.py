@@ -88,6 +88,16 @@ def test_urls_and_rules(spark):
     assert sorted(g[: len(w)] for g, w in zip(sorted(got, key=str), sorted(want, key=str))) == sorted(want)
 
 
+def test_hosts_of_awkward_pages(spark):
+    rows = [(1, "http://a.com/"), (1, "http://a.com/"), (None, None), (2, ""), (3, "http://b.org/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"_rule": F.lit("mine"), "_id": F.lit("own"), "n": F.lit(7)})
+    outcomes = spark.createDataFrame([(1, True), (1, False), (9, True), (None, True)], "doc_id long, good boolean")
+    got = host_reputation.judge_urls(pages, outcomes, good=F.col("good"))
+    assert got.count() == 5 and {(r["_rule"], r["_id"], r.n) for r in got.collect()} == {("mine", "own", 7)}
+    assert host_reputation.judge_urls(pages.where("false"), outcomes, good=F.col("good")).count() == 0
+    assert host_reputation.judge_urls(pages, outcomes.where("false"), good=F.col("good")).count() == 5
+
+
 def test_hosts_shrink_towards_their_domain(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}.{'x' if i < 400 else 'y'}.com/") for i in range(800)] + [(900, "http://new.x.com/"), (901, "http://bad.x.com/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -164,6 +174,73 @@ def test_random_strings_are_found(spark):
     assert sum(g == ["random"] for g in got[: len(random_)]) >= 36 and not any("random" in g for g in got[len(random_) :])
 
 
+def test_upper_tail(spark):
+    z = [-8.0, -3.0, 0.0, 0.5, 2.0, 4.0, 5.0, 6.0, 20.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets.upper(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erfc(x / 2**0.5) / 2 for x in z], rel=3e-7)
+
+
+def test_battery_against_plain_formulas(spark):
+    rng = random.Random(24)
+    strings = ["".join(rng.choice(a) for _ in range(n)) for a in secrets.ALPHABETS.values() for n in (24, 40, 64)] + ["configuration2024SettingsManagerFactoryBean", "abcdefghij0123456789abcdefghij"]
+    docs = documents(spark, [f"x {s} y" for s in strings])
+    text = F.col("text")
+    got = docs.select("doc_id", secrets.tested(secrets.found(text, secrets.CANDIDATE, "all")).alias("t")).orderBy("doc_id").collect()
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+
+    def plain(s, alphabet, skew):
+        n, a = len(s), len(alphabet)
+        v = [alphabet.index(c) + 1 for c in s]
+        chi = a / n * sum(s.count(c) ** 2 for c in set(s)) - n
+        df = a - 1
+        z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+        h = [int(alphabet.index(c) >= a // 2) for c in s]
+        runs, n1 = 1 + sum(x != y for x, y in zip(h, h[1:])), sum(h)
+        want = 2 * n1 * (n - n1) / n + 1
+        spread = (want - 1) * (want - 2) / (n - 1)
+        m = sum(v) / n
+        lag = sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / sum((x - m) ** 2 for x in v) * n**0.5
+        least = min(tail(z_chi), 2 * tail(abs((runs - want) / spread**0.5)) if spread > 0 else 0, 2 * tail(abs(lag)))
+        kind = ["a" if c.islower() else "A" if c.isupper() else "0" for c in s]
+        changes = sum(x != y for x, y in zip(kind, kind[1:]))
+        even = tail((df + n * skew - chi) / (2 * (df + 2 * n * skew)) ** 0.5)
+        mixed = tail((changes - 0.5 - 0.2 * (n - 1)) / (0.16 * (n - 1)) ** 0.5)
+        return least >= secrets.BATTERY_P / 3, even * mixed * (1 - math.log(even * mixed))
+
+    seen = 0
+    for r in got:
+        for t in r.t:
+            s = strings[r.doc_id]
+            name = list(secrets.ALPHABETS)[t.enc]
+            random_, p = plain(s, secrets.ALPHABETS[name], secrets.SKEW[name])
+            assert (t.random, t.size) == (random_, len(s)) and t.p == pytest.approx(p, rel=1e-4)
+            seen += 1
+    assert seen >= 15
+
+
+def test_recall_by_encoding_among_ordinary_strings(spark):
+    """One random string among some fifty ordinary ones of each encoding and length."""
+    rng = random.Random(25)
+    parts = ["config", "setting", "handler", "manager", "report", "version", "update", "module", "factory", "service"]
+    wanted, texts = {}, []
+    for name, least in (("hex", 40), ("HEX", 40), ("base36", 32), ("base64", 24), ("base64url", 24)):
+        for n in (24, 32, 40, 64):
+            for _ in range(5):
+                if n >= least:
+                    wanted[len(texts)] = (name, n)
+                    texts.append("key " + "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)))
+    for _ in range(1500):
+        words_ = [rng.choice(parts) for _ in range(4)]
+        camel = rng.random() < 0.5
+        texts.append("use " + "".join(w.title() if camel and i else w for i, w in enumerate(words_)) + str(rng.randrange(3000)))
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(documents(spark, texts)).collect()}
+    # Lower-case hex of 32 and more is a base span already.
+    found = collections.Counter(k for i, k in wanted.items() if got[i])
+    every = collections.Counter(wanted.values())
+    assert sum(found.values()) >= 0.8 * sum(every.values()), {k: (found[k], n) for k, n in every.items()}
+    assert sum(bool(got[i]) for i in range(len(texts)) if i not in wanted) <= 3
+
+
 def test_false_discovery_limits():
     assert secrets.limits([], 0.01) == [secrets.BINS + 1] * 4
     rows = [(0, 0, 900), (0, 60, 50), (1, 5, 10)]
@@ -193,6 +270,14 @@ def test_edits_by_the_next_document(spark, awkward):
         edited = x[: len(x) - len(x) // 2] + t[(i + 1) % len(t)][: len(x) // 2]
         assert got[i].n_chars == len(x) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    named = documents(spark, texts[:20]).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    same = {r.doc_id: r for r in weighted_fingerprint.compare_with_edits(named).collect()}
+    assert all(same[f"d{i:03}"].edited_sha256 == got[i].edited_sha256 and same[f"d{i:03}"].near_next == got[i].near_next for i in range(19))
+    plain = {r.doc_id: r.fingerprint for r in weighted_fingerprint.fingerprints(docs).collect()}
+    assert all("".join(f"{s:016x}" for s in plain[i] or ()) == got[i].fingerprint for i in range(len(texts)))
+    share = lambda a, b: 1.0 if a == b == "" else 0.0 if "" in (a, b) else sum(a[k : k + 16] == b[k : k + 16] for k in range(0, 512, 16)) / 32
+    for i in range(len(texts)):
+        assert got[i].near_edited == share(got[i].fingerprint, got[i].edited_fingerprint) and got[i].near_next == share(got[i].fingerprint, got[(i + 1) % len(texts)].fingerprint)
     assert weighted_fingerprint.compare_with_edits(awkward).count() == awkward.count()
     assert weighted_fingerprint.compare_with_edits(awkward.where("false")).count() == 0
 
@@ -225,6 +310,56 @@ def test_assignment_fits_and_balances():
     assert [len(x) for x in packing.assign(sizes[:0], 2048, 1.0, 1.0)] == [0, 0]
 
 
+def plain_assign(sizes, capacity, linear, quadratic):
+    """Each piece goes to the cheapest sequence with room, the first of equals."""
+    need = max(1, -(-sum(sizes) // capacity))
+    used, cost, out = [0] * need, [0.0] * need, []
+    for size in sizes:
+        fits = [(cost[s], s) for s in range(len(used)) if capacity - used[s] >= size]
+        s = min(fits)[1] if fits else len(used)
+        if not fits:
+            used.append(0)
+            cost.append(0.0)
+        out.append((s, used[s]))
+        used[s] += size
+        cost[s] += linear * size + quadratic * size * size
+    return out
+
+
+def test_assignment_against_a_plain_loop():
+    rng = random.Random(26)
+    for _ in range(60):
+        sizes = sorted((rng.randint(1, rng.choice([20, 100])) for _ in range(rng.randint(1, 80))), reverse=True)
+        seq, offset = packing.assign(np.array(sizes), 100, 1.0, 1 / 100)
+        assert list(zip(seq.tolist(), offset.tolist())) == plain_assign(sizes, 100, 1.0, 1 / 100)
+
+
+def test_vocabularies_that_keep_blanks_or_case():
+    import glob
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello World  a", "", "x\ny  Z", "Tab\there, É"]
+    for path in sorted(glob.glob(f"{folder}/*.json"))[:6]:
+        try:
+            want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        except Exception:  # not a vocabulary
+            continue
+        assert [np.frombuffer(g, "<u4").tolist() for g in packing.Ids(path)(texts)] == want, path
+
+
+def test_long_documents_make_more_groups(spark):
+    import public_tokenizers
+
+    docs = documents(spark, ["a b c d e f g h " * 500] * 12)
+    rows = packing.pack_documents(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), capacity=64, group=50).collect()
+    sizes = collections.Counter(r.sequence_id >> 24 for r in rows)
+    assert len(sizes) > 10 and max(sizes.values()) < 150
+
+
 def test_packing_covers_every_id(spark, awkward, empty):
     import public_tokenizers
 
@@ -251,6 +386,11 @@ def test_license_windows(spark, awkward):
     texts = [prose(rng, 57) + " " + mit + " " + prose(rng, 80), near, " ".join(mit.split()[:6]), "Released under the MIT License. Licensed under CC BY-NC 4.0.", prose(rng, 200)]
     got = [[(m.license, round(m.containment, 3)) for m in r.license_matches] for r in license_scan.scan(documents(spark, texts)).orderBy("doc_id").collect()]
     assert got[0] == [("MIT-text", 1.0)] and got[1][0][0] == "MIT-text" and got[2] == [] and got[3] == [("CC-BY-NC-4.0", 1.0), ("MIT", 1.0)] and got[4] == []
+    full = [prose(rng, 300) + " " + license_scan.TEMPLATES["MIT-full"].replace("merge", "mix") + " " + prose(rng, 150), license_scan.TEMPLATES["GPL-2.0-header"].upper(), license_scan.TEMPLATES["LGPL-2.1-header"]]
+    got = [{m.license for m in r.license_matches} for r in license_scan.scan(documents(spark, full)).orderBy("doc_id").collect()]
+    assert {"MIT-full", "MIT-text"} <= got[0] and "GPL-2.0-header" in got[1] and "LGPL-2.1-header" in got[2] and "GPL-3.0" not in got[1]
+    kept = license_scan.scan(documents(spark, full).withColumns({"_words": F.lit(1), "_shingles": F.lit(2)}), templates={})
+    assert {"_words", "_shingles"} <= set(kept.columns) and all(r.license_matches == [] for r in kept.collect())
     out = license_scan.scan(awkward).collect()
     assert len(out) == len(AWKWARD) + 1 and not any(r.license_matches for r in out)
     with pytest.raises(ValueError):
@@ -351,25 +491,18 @@ def test_recall_by_edits(spark):
     assert all(found[k] == linked[k] for k in [(40, 1), (80, 2), (200, 5)]) and sum(found.values()) >= 0.95 * sum(linked.values())
 
 
-def test_prefixes_lose_no_link(spark):
+def test_hot_passage_and_hot_copies(spark):
+    """Many texts that share most of their words but are no copies, many edited copies of one text, and copies among the former."""
     rng = random.Random(12)
-    seqs = {}
-    for base in (prose(rng, 60, vocabulary=500).split(), prose(rng, 11, vocabulary=500).split()):
-        for _ in range(25):
-            seqs[len(seqs)] = [hash(w) & 0x7FFFFFFFFFFFFFFF for w in edited(rng, base, rng.randint(0, 9 if len(base) > 20 else 2))]
-    df = spark.createDataFrame(list(seqs.items()), "k long, seq array<long>")
-    share = collections.defaultdict(dict)
-    for r in order_minhash.prefix_buckets(df, 0.8).collect():
-        share[r.k][r.bucket] = r.p
-    linked = 0
-    for a in seqs:
-        for b in seqs:
-            if a < b and link(seqs[a], seqs[b]):
-                linked += 1
-                n, m = len(seqs[a]), len(seqs[b])
-                need = max(1, math.ceil((n + m) * (2.4 / 1.8 - 1) - 1 - 1e-9))
-                assert any(share[a][x] <= n - need and share[b][x] <= m - need for x in set(share[a]) & set(share[b]))
-    assert linked > 50
+    passage, original = prose(rng, 70, vocabulary=900), prose(rng, 120, vocabulary=900).split()
+    mixed = [passage + " " + prose(rng, 30, vocabulary=900) for _ in range(60)]
+    pairs = [" ".join(edited(rng, t.split(), 3)) for t in mixed[:20]]
+    copies = [" ".join(edited(rng, original, rng.randint(0, 12))) for _ in range(80)]
+    texts = [*mixed, *pairs, *copies]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, texts)).collect()}
+    want = plain_classes(texts)
+    assert all(got[i] == got[want[i]] for i in range(60, 80)) and len({got[i] for i in range(60)}) == 60
+    assert sum(got[i] == want[i] for i in range(80, 160)) >= 78 and all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
 
 
 def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
@@ -411,9 +544,34 @@ def test_chunked_framing():
     for data in (b"", b"x", "é".encode() * 999):
         assert warc.unchunked(warc.chunked(data, 100)) == data
     assert warc.unchunked(b"5\r\nab") is None and warc.unchunked(b"zz\r\n") is None
+    for bad in (b"1\r\n1\r\n-6\r\n", b"+1\r\nx\r\n0\r\n\r\n", b"0x1\r\nx\r\n0\r\n\r\n", b"1_0\r\nx\r\n", b"\r\n", b""):
+        assert warc.unchunked(bad) is None
+    assert warc.unchunked(b"2;name=v\r\nab\r\n0\r\n\r\n") == b"ab"
     assert [len(p) for p in warc.pieces("é".encode() * 3, 3)] == [2, 2, 2]
 
 
+def test_damaged_archives(spark, tmp_path):
+    import gzip
+
+    def one(page, block=b"HTTP/1.1 200 OK\r\n\r\nbody", length=None, **more):
+        head = {"WARC-Type": "response", "WARC-Record-ID": f"<{page}>", "WARC-Page-ID": page, "Content-Length": len(block) if length is None else length, **{k.replace("_", "-"): v for k, v in more.items()}}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    chunky = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\n1\r\n-6\r\n"
+    plain = one(1) + one(2, chunky) + one("text") + one(3, WARC_Payload_Digest="sha1:WRONG") + one(4, WARC_Segment_Number="x") + one(5, length="many") + one(6, length=999)
+    (tmp_path / "a.warc").write_bytes(plain)
+    whole = gzip.compress(b"".join(one(i) for i in range(10, 400)))
+    (tmp_path / "b.warc.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(one(7)) + b"\x1f\x8bnonsense")
+    found = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    by = {r.record_id: r for r in found}
+    assert {k: by[f"<{k}>"].complete for k in (1, 2, 3, 4, 5, 6, 7, "text")} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True, "text": True}
+    assert bytes(by["<1>"].payload) == b"body" and by["<text>"].page_id is None and all(r.payload is None for r in found if not r.complete)
+    assert 0 < sum(r.complete for r in found if r.page_id is not None and r.page_id >= 10) < 390
+    texts = warc.read_warc(spark, f"file://{tmp_path}/a.warc", id_type="string")
+    assert {r.page_id for r in texts.collect()} >= {"1", "text"}
+
+
 def test_no_pages_and_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "u", "t" * 9000), (1, "u", "t" * 9000)], "page_id long, url string, html string")
     for df, n in ((pages, 2), (pages.where("false"), 0)):
@@ -468,6 +626,11 @@ def plain_lane(codes, rows, start):
     for i, r in enumerate(rows):
         for bit in range(8):
             x, gate = codes[r, 4 * bit : 4 * bit + 4] / 12.0, int(codes[r, 32 + bit])
+            s = min(10.4, max(-10.4, float(start.weights[gate] @ x)))
+            if abs(s) >= mixing_lm.SURE:  # as the lane begins
+                s = min(10.4, max(-10.4, s + ((s > 0) - (s < 0)) * start.lifts[bit * mixing_lm.LIFTS + int(abs(s) * 2)]))
+                total -= math.log1p(math.exp(-s))
+                continue
             s = min(10.4, max(-10.4, float(w[gate] @ x)))
             w[gate] += max(mixing_lm.LEAST_RATE, mixing_lm.RATE / (1 + i) ** 0.5) * x / (1 + math.exp(s))
             slot, sign = bit * mixing_lm.LIFTS + int(abs(s) * 2), (s > 0) - (s < 0)
@@ -553,6 +716,17 @@ def plain_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def test_hot_passage_is_one_set():
+    rng = random.Random(27)
+    passage = prose(rng, 30)
+    items = [(str(i), passage) for i in range(500)] + [("own", passage + " " + prose(rng, 12)), (None, prose(rng, 11))]
+    index = decontaminate.Index(items, 10, 5)
+    assert len(index.windows) < 60 and len(index.sets) <= 4
+    batch = pa.RecordBatch.from_pydict({"text": [f"{prose(rng, 5)} {passage}"] * 50})
+    ids = decontaminate.scan(batch, "text", index, None)[2].to_pylist()
+    assert all(x == sorted([str(i) for i in range(500)] + ["own"]) for x in ids)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 150])
 def test_windows_against_brute_force(spark, block_bytes):
     rng = random.Random(15)
@@ -615,7 +789,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
 
 def test_registry():
-    assert sorted(registry.QUERIES, key=str) == sorted([*registry.ORACLES, *(set(registry.QUERIES) - set(registry.ORACLES))], key=str)
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES if q != "pipeline"} == {str(i) for i in range(1, 11)}
 
 
