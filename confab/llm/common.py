@@ -9,6 +9,7 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with: it does so when the driver has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns that a result column of the same name replaces."""
     lower = {n.lower() for n in names}

@@ -66,7 +66,7 @@ SLICE = 1 << 20
 #: Bytes, and rows, of the texts whose distinct grams meet the corpus's counts together.
 PIECE, PIECE_ROWS = 16 << 20, 1 << 20
 #: Passes over the corpus's grams that fit the weights, and the pull towards where they begin.
-PASSES, START, RIDGE = 5, 0.3, 1.0
+PASSES, START, RIDGE, ENOUGH = 8, 0.3, 1.0, 1e-3
 #: Distinct pairs that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -274,12 +274,14 @@ def in_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def coded_high(high: np.ndarray) -> np.ndarray:
-    """Of each gram the logits of its bits in orders 3 and 4, and their gates, a byte each."""
+    """Of each gram the logits of its bits in orders 3 and 4, a byte each, and the levels that make its gates, half a byte each."""
     t = [high[:, i].T.astype(np.float64) for i in (0, 1)]
-    out = np.empty((len(high), 3, BITS), np.int8)
+    out, levels = np.empty((len(high), 20), np.int8), np.empty((len(high), BITS), np.uint8)
     for bit in range(BITS):
-        out[:, 0, bit], out[:, 1, bit], out[:, 2, bit] = in_bytes(logits(t[0], bit)), in_bytes(logits(t[1], bit)), gates(t[1], bit)
-    return out.reshape(len(high), 3 * BITS)
+        out[:, bit], out[:, BITS + bit] = in_bytes(logits(t[0], bit)), in_bytes(logits(t[1], bit))
+        levels[:, bit] = gates(t[1], bit) - bit * LEVELS
+    out[:, 16:] = (levels[:, ::2] | levels[:, 1::2] << 4).view(np.int8)
+    return out
 
 
 def coded(low: Low, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -289,10 +291,11 @@ def coded(low: Low, grams: np.ndarray, high: np.ndarray) -> np.ndarray:
         part = slice(at, at + (1 << 16))
         t = [low.depths(grams[part], 1), low.depths(grams[part], 2)]
         x = np.empty((len(grams[part]), BITS, len(ORDERS)), np.int8)
+        levels = high[part, 16:].view(np.uint8)
         for bit in range(BITS):
             x[:, bit, 0], x[:, bit, 1], x[:, bit, 2], x[:, bit, 3] = in_bytes(logits(t[0], bit)), in_bytes(logits(t[1], bit)), high[part, bit], high[part, BITS + bit]
+            out[part, BITS * len(ORDERS) + bit] = bit * LEVELS + ((levels[:, bit // 2] >> (4 * (bit % 2))) & 15)
         out[part, : BITS * len(ORDERS)] = x.reshape(len(x), -1)
-        out[part, BITS * len(ORDERS) :] = high[part, 2 * BITS :]
     return out
 
 
@@ -328,15 +331,21 @@ def lift_sums(low: Low, weights: np.ndarray, grams: np.ndarray, c: np.ndarray, h
 
 
 def newton(sums, passes: int = PASSES) -> np.ndarray:
-    """Gated weights. sums: weights to ``loss_sums`` over all grams; each call is a pass. A gate whose loss rose goes half the way."""
+    """Gated weights. sums: weights to ``loss_sums`` over all grams; each call is a pass, and a pass that gains next to nothing is the last.
+
+    A gate whose loss rose goes half the way.
+    """
     n = len(ORDERS)
     w = best = np.full((GATES, n), START)
-    least, step = np.full(GATES, np.inf), np.zeros((GATES, n))
+    least, step, before = np.full(GATES, np.inf), np.zeros((GATES, n)), np.inf
     for _ in range(passes):
         got = sums(w)
         better = got[:, 0] <= least
         best = np.where(better[:, None], w, best)
         least = np.minimum(least, got[:, 0])
+        if before - least.sum() <= ENOUGH * least.sum():
+            break
+        before = least.sum()
         slope = got[:, 1 : 1 + n] - RIDGE * (w - START)
         fresh = np.linalg.solve(got[:, 1 + n :].reshape(-1, n, n) + RIDGE * np.eye(n), slope[:, :, None])[:, :, 0]
         step = np.where(better[:, None], fresh, step / 2)
@@ -371,8 +380,8 @@ class Tally:
         return k, c
 
 
-def counted(texts: DataFrame, keys) -> DataFrame:
-    """k and its number of occurrences, over all texts. keys: bytes and offsets to an array of 64-bit keys."""
+def counted(pieces: DataFrame, keys) -> DataFrame:
+    """k and its number of occurrences, over all training texts. keys: bytes and offsets to an array of 64-bit keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -382,37 +391,59 @@ def counted(texts: DataFrame, keys) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["k", "c"])
 
         for batch in batches:
-            for part in common.slices(batch, "text", SLICE):
-                if tally.add(*np.unique(keys(*common.buffers(part.column("text"))), return_counts=True)):
+            for data in batch.column("slice"):
+                part = unpacked(data.as_py())
+                if tally.add(*np.unique(keys(*common.buffers(part.column("text").filter(part.column("train")))), return_counts=True)):
                     yield give()
         yield give()
 
-    return texts.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    return pieces.select("slice").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return wh.word_hashes(*wh.bounds(data, offsets, wh.NONBLANK)[:3])
 
 
-def in_pieces(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, text, train) with the number of the piece that each is in, written down so that the number stays."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
 
-    schema = T.StructType([T.StructField("piece", T.LongType()), *rows.schema.fields])
-    arrow = to_arrow_schema(schema)
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """piece, part and slice: ``rows`` (id, text, train) in slices of a bounded size, packed, by number of piece. Written down so that numbers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, size, n = TaskContext.get().partitionId() << 20, 0, 0
+        number, size, n, order = TaskContext.get().partitionId() << 20, 0, 0, 0
+        held, held_size = [], 0
+
+        def give() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([order]), pa.array([packed(whole)])], names=["piece", "part", "slice"])
+
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
+                own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if held and held_size + own > SLICE:
+                    yield give()
+                    held, held_size, order = [], 0, order + 1
                 if size >= PIECE or n >= PIECE_ROWS:
-                    number, size, n = number + 1, 0, 0
-                size, n = size + (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0), n + part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], schema=arrow)
+                    if held:
+                        yield give()
+                    held, held_size, number, size, n, order = [], 0, number + 1, 0, 0, 0
+                held.append(part)
+                held_size, size, n = held_size + own, size + own, n + part.num_rows
+        if held:
+            yield give()
 
-    return common.cut(rows.mapInArrow(run, schema), "pieces")
+    return common.cut(rows.mapInArrow(run, "piece long, part long, slice binary"), "pieces")
 
 
 def grams_of_pieces(pieces: DataFrame) -> DataFrame:
@@ -426,22 +457,19 @@ def grams_of_pieces(pieces: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), piece)), pa.array(k.view(np.int64)), pa.array(c)], names=["piece", "k", "c"])
 
         for batch in batches:
-            numbers = batch.column("piece").to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for part in common.slices(batch.slice(a, b - a), "text", SLICE):
-                    own = part.column("piece")[0].as_py()
-                    if own != piece:
+            for own, data in zip(batch.column("piece").to_pylist(), batch.column("slice"), strict=True):
+                part = unpacked(data.as_py())
+                if own != piece:
+                    yield give()
+                    piece = own
+                for train in (True, False):
+                    texts = part.column("text").filter(pc.equal(part.column("train"), train))
+                    k, c = np.unique(layout(*common.buffers(texts))[0], return_counts=True)
+                    if tally.add(k, c * train):
                         yield give()
-                        piece = own
-                    for train in (True, False):
-                        texts = part.column("text").filter(pc.equal(part.column("train"), train))
-                        k, c = np.unique(layout(*common.buffers(texts))[0], return_counts=True)
-                        if tally.add(k, c * train):
-                            yield give()
         yield give()
 
-    return common.cut(pieces.select("piece", "text", "train").mapInArrow(run, "piece long, k long, c long"), "piece-grams")
+    return common.cut(pieces.select("piece", "slice").mapInArrow(run, "piece long, k long, c long"), "piece-grams")
 
 
 def counted_grams(needed: DataFrame) -> DataFrame:
@@ -554,12 +582,13 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     pieces = in_pieces(rows)
     needed = grams_of_pieces(pieces)
     grams = counted_grams(needed)
+    common.release(docs.sparkSession)
     low, start = fit(grams)
     codes = needed.select("piece", "k").join(gram_codes(grams), "k")
     shared = docs.sparkSession.sparkContext.broadcast((low, start))
-    learned = pieces.where("train").select("text")
-    counts = common.cut(counted(learned, word_keys), "word-counts")
-    texts = learned.count()
+    counts = common.cut(counted(pieces, word_keys), "word-counts")
+    texts = rows.where("train").count()
+    common.release(docs.sparkSession)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + texts, kinds + (texts > 0)  # the end mark is a token of its own
 
@@ -580,8 +609,9 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             post = postings(np.concatenate(heard or [np.zeros(0, U)]), np.concatenate(whose or [np.zeros(0, np.int64)]), base)
             out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
 
-        for batch in texts.select(["id", "text"]).to_batches(max_chunksize=1 << 14):
-            for part in common.slices(batch, "text", SLICE):
+        for data in texts.sort_by("part").column("slice"):
+            part = unpacked(data.as_py())
+            for part in (part.slice(at, 0xFFFF) for at in range(0, part.num_rows, 0xFFFF)):
                 data, offsets = common.buffers(part.column("text"))
                 low_bytes, starts, ends, first_word = wh.bounds(data, offsets, wh.NONBLANK)
                 if texts_of + part.num_rows > 0xFFFF:
@@ -604,7 +634,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             done += len(ids)
         return pa.Table.from_batches(out, schema=arrow)
 
-    met = pieces.select("piece", "id", "text").groupBy("piece").cogroup(codes.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
+    met = pieces.groupBy("piece").cogroup(codes.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
     out = f"doc long, b double, known long, n_tokens long, n_bytes long, score double, id {kind}"
     out_arrow = to_arrow_schema(_parse_datatype_string(out))
 

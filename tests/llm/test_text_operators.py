@@ -808,7 +808,10 @@ def test_lm_counts_are_exact_and_grow(spark):
     rng = random.Random(17)
     texts = ["".join(chr(rng.randint(33, 0x2FF)) for _ in range(rng.randint(0, 4000))) for _ in range(40)] + ["", "ab"]
     rows = spark.createDataFrame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "id long, text string, train boolean").repartition(3)
-    grams = mixing_lm.counted_grams(mixing_lm.grams_of_pieces(mixing_lm.in_pieces(rows)))
+    pieces = mixing_lm.in_pieces(rows)
+    parts = [mixing_lm.unpacked(r.slice).to_pydict() for r in pieces.orderBy("piece", "part").collect()]
+    assert sorted(zip(*[[v for p in parts for v in p[c]] for c in ("id", "text", "train")])) == sorted((i, t, i % 5 != 1) for i, t in enumerate(texts))
+    grams = mixing_lm.counted_grams(mixing_lm.grams_of_pieces(pieces))
     low, _ = mixing_lm.fit(grams)
     got = grams.toArrow()
     k, high = mixing_lm.columns(got.combine_chunks().to_batches()[0])
