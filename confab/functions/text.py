@@ -130,6 +130,24 @@ def message_url(username: Column, chat_id: Column, message_id: Column) -> Column
     )
 
 
+def duration_ms(start: Column, end: Column) -> Column:
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+
+
+def json_escape(c: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string; null is empty."""
+    quoted = F.to_json(F.struct(text_or_empty(c).alias("t")))
+    return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
+
+
+def normalised_username(c: Column) -> Column:
+    return trim_control(text_or_empty(c))
+
+
+def short_cost(c: Column) -> Column:
+    return F.format_string("$%.4f", c)
+
+
 def short_number(c: Column) -> Column:
     return (
         F.when(c >= 1_000_000, F.concat(F.format_string("%.1f", c / 1_000_000.0), F.lit("M")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from confab import config as K
 from confab.functions import text as X
 from confab.operators.chains import joined_text
+from confab.sources.storage import cut
 
 
 def result(score: Column, matched: Column, reasoning: Column) -> Column:
@@ -23,29 +24,39 @@ def failed(reason: str) -> Column:
     return result(F.lit(0.0), F.lit(False), F.lit(reason))
 
 
-def keyword(chain: Column, keywords: str | None) -> Column:
+def with_texts(chained: DataFrame) -> DataFrame:
+    """``chained`` with the joined texts that classifiers read, each made once: _text, _low and _full (without blank messages, lower-cased)."""
+    chain = F.col("chain")
+    return chained.withColumns({"_text": joined_text(chain), "_full": F.lower(joined_text(chain, " \n ", blank=False))}).withColumn("_low", F.lower("_text"))
+
+
+TEXT_COLUMNS = ["_text", "_low", "_full"]
+
+
+def keyword(low: Column, keywords: str | None) -> Column:
+    """low: the chain's lower-cased text."""
     words = X.split_list(keywords)
     if not words:
         return failed("no keywords")
-    low = F.lower(joined_text(chain))
-    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    hits = F.array(*(F.when(low.contains(w), F.lit(w)) for w in words))
+    found = F.array_compact(hits)
     n = F.size(found)
     score = F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(0.55) + F.greatest(F.lit(0), n - 1) * F.lit(0.12)))
     return result(score, n > 0, F.when(n > 0, F.concat(F.lit("keywords: "), F.array_join(found, ", "))).otherwise(F.lit("no keyword found")))
 
 
-def regex(spark: SparkSession, chain: Column, pattern: str | None) -> Column:
+def regex(spark: SparkSession, text: Column, pattern: str | None) -> Column:
+    """text: the chain's text."""
     if not (pattern or "").strip():
         return failed("no pattern")
     if not X.is_valid_pattern(spark, pattern):
         return failed("invalid pattern")
-    hit = joined_text(chain).rlike("(?i)" + pattern)
+    hit = text.rlike("(?i)" + pattern)
     return result(F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), hit, F.when(hit, F.lit("pattern found")).otherwise(F.lit("pattern not found")))
 
 
-def linear_features(chain: Column) -> dict[str, Column]:
-    """Named features of a chain, all between 0 and 1."""
-    low = F.lower(joined_text(chain, " \n ", blank=False))
+def linear_features(chain: Column, low: Column) -> dict[str, Column]:
+    """Named features of a chain, all between 0 and 1. low: its text without blank messages, lower-cased."""
     one = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     replies = F.aggregate(chain, F.lit(0), lambda n, m: n + F.coalesce(m["reply_count"], F.lit(0)))
     out = {
@@ -55,28 +66,35 @@ def linear_features(chain: Column) -> dict[str, Column]:
     return out | {name: one(X.contains_any(low, words)) for name, words in K.LINEAR_MARKERS.items()}
 
 
-def linear_model(chain: Column, config: dict | str | None) -> Column:
-    """Weighted sum of features in the order of the configuration, squashed; the reasoning names the five largest terms."""
+def linear_model(chained: DataFrame, config: dict | str | None, name: str) -> DataFrame:
+    """Adds the result ``name``: a weighted sum of features in the order of the configuration, squashed; the reasoning names the five largest terms.
+
+    chained: ``with_texts``. Features, sum and score are columns of steps of their own, so each is worked out once.
+    """
     try:
         config = json.loads(config) if isinstance(config, str) else config
     except ValueError:
-        return failed("invalid model config")
+        return chained.withColumn(name, failed("invalid model config"))
     if not isinstance(config, dict):
-        return failed("no model config")
+        return chained.withColumn(name, failed("no model config"))
     weights = config.get("features")
     if not isinstance(weights, dict):
-        return failed("features must be an object")
-    features = linear_features(chain)
-    values = [(n, float(w), features.get(n, F.lit(0.0))) for n, w in weights.items()]
+        return chained.withColumn(name, failed("features must be an object"))
+    features = linear_features(F.col("chain"), F.col("_full"))
+    values = F.array(*(features.get(n, F.lit(0.0)) for n in weights))
+    df = chained.withColumn("_v", values)
     raw = F.lit(float(config.get("bias", 0.0)))
-    for _, w, v in values:
-        raw = raw + F.lit(w) * v
-    score = X.clamp01(raw) if str(config.get("normalization", "sigmoid")).lower() == "clamp" else X.sigmoid(raw)
+    for i, w in enumerate(weights.values()):
+        raw = raw + F.lit(float(w)) * F.col("_v")[i]
+    df = df.withColumn("_raw", raw)
+    squashed = X.clamp01(F.col("_raw")) if str(config.get("normalization", "sigmoid")).lower() == "clamp" else X.sigmoid(F.col("_raw"))
+    df = df.withColumn("_squashed", squashed)
     threshold = float(config.get("threshold", K.LINEAR_DEFAULT_THRESHOLD))
-    terms = F.array(*(F.struct((-F.abs(F.lit(w) * v)).alias("o"), F.lit(i).alias("i"), F.lit(n).alias("n"), v.alias("v"), (F.lit(w) * v).alias("t")) for i, (n, w, v) in enumerate(values)))
+    named = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(float(w)).alias("w"), F.lit(i).alias("i")) for i, (n, w) in enumerate(weights.items())))
+    terms = F.zip_with(named, "_v", lambda t, v: F.struct((-F.abs(t["w"] * v)).alias("o"), t["i"].alias("i"), t["n"].alias("n"), v.alias("v"), (t["w"] * v).alias("t")))
     top = F.transform(F.slice(F.array_sort(terms), 1, 5), lambda t: F.concat(t["n"], F.lit("="), X.three_decimals(t["v"]), F.lit(" -> "), X.three_decimals(t["t"])))
-    said = F.concat(F.lit("score="), X.three_decimals(score), F.lit(" raw="), X.three_decimals(raw), F.lit(" | top: "), F.array_join(top, ", "))
-    return result(score, score >= threshold, said)
+    said = F.concat(F.lit("score="), X.three_decimals(F.col("_squashed")), F.lit(" raw="), X.three_decimals(F.col("_raw")), F.lit(" | top: "), F.array_join(top, ", "))
+    return df.withColumn(name, result(F.col("_squashed"), F.col("_squashed") >= threshold, said)).drop("_v", "_raw", "_squashed")
 
 
 def chain_prompt(chain: Column) -> Column:
@@ -155,13 +173,29 @@ def external_llm(prompts: DataFrame, column: str, call: Callable[[list[str]], li
     return prompts.mapInPandas(run, schema)
 
 
+def model_scores(prompts: DataFrame, column: str, call: Callable[[list[str]], list[str | None]], name: str) -> DataFrame:
+    """Adds a model's result on the prompt in ``column``; where the model gave no answer, a failed one."""
+    asked = external_llm(prompts, column, call, "_answer")
+    return asked.withColumn(name, F.when(F.col("_answer").isNull(), failed("the model gave no answer")).otherwise(parse_answer(F.col("_answer")))).drop("_answer")
+
+
+def resolved(classifiers: DataFrame, providers: DataFrame, prompts: DataFrame, default: str) -> DataFrame:
+    """classifier_id, provider, prompt (the default if it has none) and error of model classifiers. Configuration tables, so small."""
+    p = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"), F.lit(True).alias("_known"))
+    q = prompts.select(F.col("id").alias("prompt_id"), F.col("content").alias("_content"))
+    error = F.when(F.col("provider_id").isNull(), F.lit("no provider")).when(F.col("_known").isNull(), F.lit("provider not found"))
+    met = classifiers.withColumnRenamed("id", "classifier_id").join(p, "provider_id", "left").join(q, "prompt_id", "left")
+    return met.select("classifier_id", "provider", F.coalesce("_content", F.lit(default)).alias("prompt"), error.alias("error"))
+
+
 def cascade(results: list[tuple[str, Column]]) -> Column:
     """Selected and best result of classifiers in order of cost. results: (type, result struct).
 
-    A result passes if it matched with at least the cascade's threshold. A passing model, or a passing other of 0.90 or
+    A null result was not asked for. A result passes if it matched with at least the cascade's threshold. A passing model, or a passing other of 0.90 or
     more, ends the cascade; ties go to the first.
     """
-    rows = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(kind).alias("type"), r["score"].alias("score"), r["matched"].alias("matched"), r["reasoning"].alias("reasoning")) for i, (kind, r) in enumerate(results)))
+    asked = lambda i, kind, r: F.when(r.isNotNull(), F.struct(F.lit(i).alias("pos"), F.lit(kind).alias("type"), r["score"].alias("score"), r["matched"].alias("matched"), r["reasoning"].alias("reasoning")))
+    rows = F.array_compact(F.array(*(asked(i, kind, r) for i, (kind, r) in enumerate(results))))
     passes = lambda r: r["matched"] & (r["score"] >= K.CASCADE_THRESHOLD)
     ends = lambda r: passes(r) & ((r["type"] == "LLM") | (r["score"] >= K.EARLY_STOP))
     stop = F.coalesce(F.array_min(F.transform(F.filter(rows, ends), lambda r: r["pos"])), F.lit(len(results)))
@@ -176,18 +210,32 @@ def in_cost_order(classifiers: list[dict]) -> list[dict]:
     return sorted((c for c in classifiers if c.get("status", "ACTIVE") == "ACTIVE"), key=rank)
 
 
-def classify(chained: DataFrame, classifiers: list[dict]) -> DataFrame:
-    """``chained`` with verdict, the cascade over the configured classifiers. LLM classifiers use the stand-in model."""
+def classify(chained: DataFrame, classifiers: list[dict], call: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """``chained`` with verdict, the cascade over the configured classifiers.
+
+    Classifiers are asked in order of cost, and each only on the chains that no earlier one has ended. ``call`` is the model of
+    LLM classifiers (``external_llm``); without one the stand-in answers.
+    """
     spark = chained.sparkSession
-    rows, results = chained, []
+    rows, results = with_texts(chained).withColumn("_open", F.lit(True)), []
     for i, c in enumerate(in_cost_order(classifiers)):
         kind, name = c["type"].upper(), f"_r{i}"
-        if kind == "LLM":
+        if kind == "LLM" and call is not None:
+            # The model only gets what is still open; what came before is written, so it is not worked out for both parts.
+            rows = cut(rows, "cascade")
+            asked = model_scores(rows.where("_open").withColumn("_prompt", chain_prompt(F.col("chain"))), "_prompt", call, name).drop("_prompt")
+            rows = asked.unionByName(rows.where("not _open"), allowMissingColumns=True)
+        elif kind == "LLM":
             rows = mock_llm(rows.withColumn("_prompt", chain_prompt(F.col("chain"))), "_prompt", name).drop("_prompt")
+        elif kind == "LINEAR_MODEL":
+            rows = linear_model(rows, c.get("config"), name)
         else:
-            made = {"KEYWORD": lambda c=c: keyword(F.col("chain"), c.get("keywords")), "REGEX": lambda c=c: regex(spark, F.col("chain"), c.get("pattern")), "LINEAR_MODEL": lambda c=c: linear_model(F.col("chain"), c.get("config"))}
+            made = {"KEYWORD": lambda c=c: keyword(F.col("_low"), c.get("keywords")), "REGEX": lambda c=c: regex(spark, F.col("_text"), c.get("pattern"))}
             rows = rows.withColumn(name, made[kind]() if kind in made else failed("unknown type"))
-        results.append((kind, F.col(name)))
-    if not results:
-        return rows.withColumn("verdict", F.lit(None))
-    return rows.withColumn("verdict", cascade(results)).drop(*(f"_r{i}" for i in range(len(results))))
+        rows = rows.withColumn(name, F.when(F.col("_open"), F.col(name)))
+        own = F.col(name)
+        ends = F.coalesce(own["matched"] & (own["score"] >= (K.CASCADE_THRESHOLD if kind == "LLM" else max(K.CASCADE_THRESHOLD, K.EARLY_STOP))), F.lit(False))
+        rows = rows.withColumn("_open", F.col("_open") & ~ends)
+        results.append((kind, own))
+    helpers = [*TEXT_COLUMNS, "_open", *(f"_r{i}" for i in range(len(results)))]
+    return rows.withColumn("verdict", cascade(results) if results else F.lit(None)).drop(*helpers)

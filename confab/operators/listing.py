@@ -117,11 +117,19 @@ def source_summary(bridge: DataFrame) -> DataFrame:
 
 
 def related_guides(guides: DataFrame) -> DataFrame:
-    """Pairs of guides of one group (nulls are one group). A group's guides are a list on the screen of each of them."""
+    """Pairs of guides of one group (nulls are one group): what the screens of all guides list, all at once. The list of one guide is ``related_to``."""
     a, b = guides.select(F.col("id").alias("guide_id"), F.col("group_id").alias("_g")), guides.select(F.col("id").alias("related_id"), F.col("group_id").alias("_h"))
     return a.join(b, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("guide_id") != F.col("related_id"))).select("guide_id", "related_id")
 
 
+def related_to(guides: DataFrame, ids: DataFrame) -> DataFrame:
+    """guide_id and related_id for the guides of ``ids`` (first column) only."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    a = guides.join(wanted, "id", "left_semi").select(F.col("id").alias("guide_id"), F.col("group_id").alias("_g"))
+    b = guides.select(F.col("id").alias("related_id"), F.col("group_id").alias("_h"))
+    return a.join(b, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("guide_id") != F.col("related_id"))).select("guide_id", "related_id")
+
+
 def possible_duplicates(guides: DataFrame) -> DataFrame:
     return guides.select(F.col("id").alias("guide_id"), "title").join(
         guides.where("duplicate_of_id is not null").select(F.col("duplicate_of_id").alias("guide_id"), F.col("id").alias("duplicate_id")), "guide_id"
@@ -155,10 +163,10 @@ def latest_per_chat(messages: DataFrame, n: int) -> DataFrame:
 
 
 def day_separators(messages: DataFrame) -> DataFrame:
-    """Whether a message begins a new day in its group."""
+    """Whether a message begins a new day in its group. The first message of each (group, day) does, so no task has a whole group."""
     day = F.to_date("message_date")
-    before = F.lag(day).over(W.partitionBy("group_id").orderBy("message_date", "id"))
-    return messages.withColumn("new_day", before.isNull() | (before != day))
+    first = messages.groupBy("group_id", day.alias("_day")).agg(F.min(F.struct("message_date", "id")).alias("_first")).select(F.col("_first.id").alias("id"), F.lit(True).alias("new_day"))
+    return messages.join(first, "id", "left").withColumn("new_day", F.coalesce("new_day", F.lit(False)))
 
 
 def unique_usernames(users: DataFrame, name: str = "username") -> DataFrame:
@@ -172,6 +180,22 @@ def pick_provider(providers: DataFrame) -> DataFrame:
     return providers.where(F.col("status").isin("ACTIVE", "HEALTHY", "WARNING")).orderBy(F.col("protocol") == "MOCK", "id").limit(1)
 
 
+def filter_traces(traces: DataFrame, *, stage: str = "ALL", status: str = "ALL") -> DataFrame:
+    return by_columns(traces, stage="" if stage == "ALL" else stage, status="" if status == "ALL" else status)
+
+
+def group_order() -> list[Column]:
+    """Groups before direct chats, then by title, then by chat number."""
+    return [X.source_type(F.col("title"), F.col("telegram_chat_id")) == "DIRECT_CHAT", F.lower("title"), F.col("telegram_chat_id")]
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A dictionary in which the first entry of a key stays."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_first"))
+    return one.select(*keys, *(F.col(f"_first.{c}").alias(c) for c in (order, *rest)))
+
+
 def pick_prompt(prompts: DataFrame) -> DataFrame:
     active, generation = F.col("status") == "ACTIVE", F.col("type") == "GENERATION"
     rank = F.when(active & generation, 0).when(generation, 1).when(active, 2)

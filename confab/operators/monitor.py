@@ -89,6 +89,42 @@ def messages_per_day(groups: DataFrame, messages: DataFrame, now: Column, limit:
     return out if limit is None else out.orderBy(F.desc("per_day"), "group_id").limit(limit)
 
 
+def busy(per_day: DataFrame, least: int = 5000) -> DataFrame:
+    """Groups of high volume."""
+    return per_day.where(F.col("per_day") > least)
+
+
+PRESETS = {"5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "all": None}
+
+
+def by_preset(rows: DataFrame, column: str, now: Column, name: str) -> DataFrame:
+    """Rows up to now of each preset span, in one pass."""
+    at = F.col(column)
+    inside = lambda span: (at <= now) if span is None else (at <= now) & (at >= now - F.expr(f"interval {span}"))
+    counts = rows.agg(*(F.count_if(inside(span)).alias(k) for k, span in PRESETS.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias(name)) for k in PRESETS))).alias("x")).select("x.*")
+
+
+def source_stats(groups: DataFrame, guides: DataFrame) -> DataFrame:
+    n = guides.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("_n"))
+    return groups.join(n, "id", "left").agg(F.count("*").alias("total"), F.count_if("enabled").alias("enabled"), F.count_if("forum").alias("forums"), zero_sum("_n").alias("guides"))
+
+
+def dashboard_counts(guides: DataFrame, providers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Published and failed guides, unhealthy providers, accounts that are online: four figures."""
+    g = guides.agg(F.count_if(F.col("status") == "PUBLISHED").alias("published"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    unhealthy, online = provider_health(providers).select("unhealthy"), accounts.agg(F.count_if(F.col("status") == "ACTIVE").alias("n"))
+    return g.withColumns({"unhealthy": unhealthy.scalar(), "online": online.scalar()})
+
+
+def order_bounds(rows: DataFrame, kind: str, order: str) -> DataFrame:
+    return rows.groupBy(kind).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def login_counts(users: DataFrame, logins: list[str], hidden: Column, name: str = "username") -> DataFrame:
+    return users.agg(F.count_if(F.lower(name).isin([x.lower() for x in logins])).alias("existing"), F.count_if(hidden).alias("hidden"))
+
+
 def guides_by_group(groups: DataFrame, guides: DataFrame) -> DataFrame:
     g = guides.groupBy("group_id").agg(F.count("*").alias("guides"), F.avg("confidence").alias("avg_confidence"))
     return groups.select(F.col("id").alias("group_id"), "title").join(g, "group_id", "left").select(

@@ -21,9 +21,12 @@ def new_messages(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def repair(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored messages with what a later copy knows better: names, ids, topics, replies, bot flags, links in texts, dates."""
+    """Stored messages with what a later copy knows better: names, ids, topics, replies, bot flags, links in texts, dates.
+
+    Of several incoming copies the one of the greatest id is taken, whole.
+    """
     fields = ["sender_name", "sender_telegram_user_id", "topic_name", "topic_id", "reply_to_message_id", "text", "message_date", "is_bot"]
-    newer = incoming.groupBy(*MESSAGE_KEY).agg(*(F.max(c).alias(f"_{c}") for c in fields))
+    newer = incoming.groupBy(*MESSAGE_KEY).agg(F.max(F.struct("id", *fields)).alias("_last")).select(*MESSAGE_KEY, *(F.col(f"_last.{c}").alias(f"_{c}") for c in fields))
     joined = stored.join(newer, MESSAGE_KEY, "left")
     old, new = F.col, (lambda c: F.col(f"_{c}"))
     name = F.when(X.is_placeholder_name(old("sender_name")) & ~X.is_placeholder_name(new("sender_name")), new("sender_name")).otherwise(old("sender_name"))
@@ -143,9 +146,11 @@ def swap_neighbours(rows: DataFrame, row_id: int, up: bool, order: str = "rule_o
     return reorder(rows, ordered, order)
 
 
-def patched(row: dict, patch: dict) -> dict:
-    """A settings row with what a patch states; nulls in the patch change nothing."""
-    return row | {k: v for k, v in patch.items() if v is not None and k in row}
+def patch_rows(rows: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what a patch of the same key states: rules, classifiers, prompts, providers, settings. Nulls change nothing."""
+    changed = [c for c in patch.columns if c not in keys and c in rows.columns]
+    given = patch.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in changed))
+    return rows.join(given, keys, "left").select(*(F.coalesce(F.col(f"_new_{c}").cast(rows.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c) for c in rows.columns))
 
 
 def clear_tasks(tasks: DataFrame) -> DataFrame:

@@ -103,6 +103,11 @@ def evaluate(messages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return out.withColumns({"rule_passes": F.col("_stop").isNull(), "rule_reason": reason}).drop("_all", "_stop", *helpers)
 
 
+def result_json(passes: Column, reason: Column, most: int = 4000) -> Column:
+    """What is stored of an evaluation: a JSON text, cut and dotted if it is longer."""
+    return X.truncate(F.to_json(F.struct(passes.alias("passed"), reason.alias("reason"))), most)
+
+
 def prefilter(messages: DataFrame, groups: DataFrame | None = None, settings: dict | None = None) -> DataFrame:
     """``messages`` with skip_reason, null where a message goes on: disabled group, bot, too short, first blacklisted word."""
     s = K.SETTINGS if settings is None else settings

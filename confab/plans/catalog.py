@@ -12,6 +12,7 @@ from confab.functions import text as X
 from confab.operators import chains, classify, guides, listing, monitor, mutations, rules, scoring
 from confab.plans import pipeline
 from confab.sources.derived import NOW, ctes, view
+from confab.sources.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +76,8 @@ def signal_breakdown(spark, d):
 
 @query(ctes("messages") + ",\n" + TERMS + "\nselect id, group_id, signal_score from scored where signal_score >= cast(0.3 as double)")
 def signal_gate(spark, d):
-    return scoring.passing(scoring.signal_score(view(spark, d, "messages"))).select("id", "group_id", "signal_score")
+    # Written once: a filter on the score would otherwise work it out a second time.
+    return scoring.passing(cut(scoring.signal_score(view(spark, d, "messages")).select("id", "group_id", "signal_score"), "signal"))
 
 
 PREFILTER = """pre as (select m.*, case when not coalesce(g.enabled, false) then 'group disabled' when m.is_bot then 'bot' when length(coalesce(m.text, '')) < 12 then 'too short'
@@ -445,7 +447,7 @@ def chain_text(spark, d):
 
 def _collected(spark, d):
     m = view(spark, d, "messages")
-    return chains.collected(m, chains.chains(m))
+    return cut(chains.collected(m, chains.chains(m)), "chains")
 
 
 # ---- classifiers
@@ -456,7 +458,7 @@ KEYWORD_SQL = "kw as (select root_id, n, case when n = 0 then 0.0::double else l
 
 @query(CH + f", {TEXTS}, {KEYWORD_SQL} select root_id, round(score, 9) as score, n > 0 as matched from kw")
 def keyword_classifier(spark, d):
-    r = _collected(spark, d).withColumn("r", classify.keyword(F.col("chain"), K.KEYWORDS))
+    r = classify.with_texts(_collected(spark, d)).withColumn("r", classify.keyword(F.col("_low"), K.KEYWORDS))
     return r.select("root_id", F.round("r.score", 9).alias("score"), "r.matched")
 
 
@@ -465,7 +467,7 @@ HOW = r"\bhow to\b|\bstep \d+"
 
 @query(CH + f", {TEXTS} select root_id, case when regexp_matches(t, '(?i){B}how to{E}|{B}step \\d+') then 1.0::double else 0.0::double end as score from texts")
 def regex_classifier(spark, d):
-    return _collected(spark, d).select("root_id", classify.regex(spark, F.col("chain"), HOW)["score"].alias("score"))
+    return classify.with_texts(_collected(spark, d)).select("root_id", classify.regex(spark, F.col("_text"), HOW)["score"].alias("score"))
 
 
 def _marker(words):
@@ -483,13 +485,13 @@ RAW = f"{D(K.LINEAR_MODEL['bias'])} + " + " + ".join(f"{D(w)} * {k}" for k, w in
 
 @query(CH + f", {TEXTS}, {LINEAR_SQL} select root_id, {', '.join(FEATURES)} from f")
 def linear_features(spark, d):
-    f = classify.linear_features(F.col("chain"))
-    return _collected(spark, d).select("root_id", *(f[k].alias(k) for k in FEATURES))
+    f = classify.linear_features(F.col("chain"), F.col("_full"))
+    return classify.with_texts(_collected(spark, d)).select("root_id", *(f[k].alias(k) for k in FEATURES))
 
 
 @query(CH + f", {TEXTS}, {LINEAR_SQL} select root_id, round(1 / (1 + exp(-({RAW}))), 9) as score, 1 / (1 + exp(-({RAW}))) >= {D(0.75)} as matched from f")
 def linear_model(spark, d):
-    r = _collected(spark, d).withColumn("r", classify.linear_model(F.col("chain"), K.LINEAR_MODEL))
+    r = classify.linear_model(classify.with_texts(_collected(spark, d)), K.LINEAR_MODEL, "r")
     return r.select("root_id", F.round("r.score", 9).alias("score"), "r.matched")
 
 
@@ -651,3 +653,6 @@ def pipeline_sequential(spark, d):
 @query()
 def pipeline_traces(spark, d):
     return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).traces
+
+
+from confab.plans import details  # noqa: E402, F401  further queries, registered as they are defined

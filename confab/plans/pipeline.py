@@ -8,12 +8,14 @@ that no undecided earlier root's chain holds, so the work of a round is one join
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confab import config as K
+from confab.functions import text as X
 from confab.operators import chains as C
 from confab.operators import classify, guides, rules, scoring
 from confab.sources.storage import cut
@@ -27,7 +29,7 @@ CLASSIFIERS = [
 
 @dataclass
 class Outcome:
-    """statuses: id, outcome, reason, signal_score, classifier_score. guides, sources, usage, traces: new rows."""
+    """statuses: id, outcome, reason, signal_score, classifier_score, rule_result_json, signal_breakdown (JSON). guides, sources, usage, traces: new rows."""
 
     statuses: DataFrame
     guides: DataFrame
@@ -39,7 +41,8 @@ class Outcome:
 def gated(messages: DataFrame, groups: DataFrame) -> DataFrame:
     """Messages that may be processed, with what gates, rules and score say: outcome is null where they go on."""
     open_ = messages.where(F.col("processing_status").isin("UNPROCESSED", "QUEUED"))
-    m = scoring.signal_score(rules.evaluate(rules.prefilter(open_, groups)))
+    m = scoring.signal_score(rules.evaluate(rules.prefilter(open_, groups)), breakdown=True)
+    m = m.withColumns({"rule_result_json": rules.result_json(F.col("rule_passes"), F.col("rule_reason")), "signal_breakdown": X.truncate(F.to_json("signal_breakdown"), 2000)})
     reason = F.coalesce(F.col("skip_reason"), F.when(~F.col("rule_passes"), F.col("rule_reason")), F.when(F.col("signal_score") < K.SIGNAL_THRESHOLD, F.lit("low score")))
     return m.withColumn("reason", reason).withColumn("outcome", F.when(F.col("reason").isNotNull(), F.lit("SKIPPED")))
 
@@ -62,12 +65,16 @@ def accepted_in_order(successes: DataFrame, holds: DataFrame) -> DataFrame:
     return accepted
 
 
-def run(messages: DataFrame, groups: DataFrame, *, classifiers: list[dict] | None = None, sequential: bool = False, mode: str = K.SETTINGS["publication_mode"]) -> Outcome:
+def run(
+    messages: DataFrame, groups: DataFrame, *, classifiers: list[dict] | None = None, sequential: bool = False, mode: str = K.SETTINGS["publication_mode"],
+    call: Callable[[list[str]], list[str | None]] | None = None,
+) -> Outcome:
+    """One pass over all open messages. call: the model of LLM classifiers."""
     # Three tables are used again below; each is written once, so nothing upstream of it runs twice.
     first = cut(gated(messages, groups), "gated")
     roots = first.where("outcome is null")
     chain = cut(C.chains(messages, roots), "chains")
-    judged = classify.classify(C.collected(messages, chain), CLASSIFIERS if classifiers is None else classifiers)
+    judged = classify.classify(C.collected(messages, chain), CLASSIFIERS if classifiers is None else classifiers, call)
     judged = guides.fallback_guide(judged).withColumn("cost", guides.estimate(F.col("chain"), 0, F.lit(""), F.lit("")))
     verdict = cut(judged.select(F.col("root_id").alias("id"), "chain", "verdict", "guide", "cost"), "verdicts")
     success = verdict.where("verdict.selected is not null")
@@ -75,15 +82,15 @@ def run(messages: DataFrame, groups: DataFrame, *, classifiers: list[dict] | Non
         dated = success.select("id").join(messages.select("id", "message_date"), "id")
         success = success.join(accepted_in_order(dated, chain.select("root_id", "id")), "id", "left_semi")
     done = success.select("id", F.lit(True).alias("_done"))
-    after = first.select("id", "group_id", "outcome", "reason", "signal_score", "rule_passes", "skip_reason").join(verdict.select("id", F.col("verdict.best").alias("_best")), "id", "left").join(done, "id", "left")
+    after = first.select("id", "group_id", "outcome", "reason", "signal_score", "rule_passes", "skip_reason", "rule_result_json", "signal_breakdown").join(verdict.select("id", F.col("verdict.best").alias("_best")), "id", "left").join(done, "id", "left")
     ok = F.coalesce("_done", F.lit(False))
     passed = F.coalesce(F.col("_best.score") >= K.CASCADE_THRESHOLD, F.lit(False))
     statuses = after.select(
         "id", F.coalesce("outcome", F.when(ok, F.lit("GUIDE_FOUND")).otherwise(F.lit("SKIPPED"))).alias("outcome"),
         F.coalesce("reason", F.when(ok, F.col("_best.reasoning")).when(passed & F.lit(sequential), F.lit("in an earlier chain")).otherwise(F.lit("no classifier passes"))).alias("reason"),
-        "signal_score", F.col("_best.score").alias("classifier_score"),
+        "signal_score", F.col("_best.score").alias("classifier_score"), "rule_result_json", "signal_breakdown",
     )
-    status = F.when(F.lit(mode == "AUTO_PUBLISH") & (F.col("guide.confidence") > K.AUTO_PUBLISH_CONFIDENCE), F.lit("PUBLISHED")).otherwise(F.lit("DRAFT"))
+    status = F.when(guides.publishes(mode, F.col("guide.confidence")), F.lit("PUBLISHED")).otherwise(F.lit("DRAFT"))
     drafted = success.select(F.col("id").alias("root_message_id"), "guide.title", "guide.content", "guide.confidence", "guide.tags", status.alias("status"), F.col("cost.input_tokens").alias("input_tokens"), F.col("cost.output_tokens").alias("output_tokens"), F.round("cost.cost", 6).alias("estimated_cost_usd"))
     sources = success.select(F.col("id").alias("root_message_id"), F.explode("chain").alias("m")).select("root_message_id", F.col("m.id").alias("message_id"), F.lit(True).alias("used_in_prompt"))
     usage = success.select(F.lit("GUIDE_GENERATION").alias("task_type"), F.col("id").alias("root_message_id"), F.col("cost.input_tokens").alias("input_tokens"), F.col("cost.output_tokens").alias("output_tokens"))
@@ -104,6 +111,25 @@ def traces(after: DataFrame, ok) -> DataFrame:
     return rows.select(F.sha2(F.concat_ws("|", "id", "s.stage"), 256).alias("trace_id"), F.col("id").alias("message_id"), "group_id", "s.stage", "s.status")
 
 
+def next_messages(messages: DataFrame, outcome: Outcome) -> DataFrame:
+    """The snapshot of messages after a run: statuses, scores, reasons, rule results and the guide that each message led to.
+
+    The id of a guide is that of its root, so a second run over the same messages gives the same. Other messages stay as they are.
+    """
+    s = outcome.statuses.select("id", *(F.col(c).alias(f"_{c}") for c in ("outcome", "reason", "signal_score", "classifier_score", "rule_result_json", "signal_breakdown")))
+    g = outcome.guides.select(F.col("root_message_id").alias("id"), F.col("root_message_id").alias("_guide"))
+    joined = messages.join(s, "id", "left").join(g, "id", "left")
+    have = lambda c, kind: F.col(c) if c in messages.columns else F.lit(None).cast(kind)
+    ran = F.col("_outcome").isNotNull()
+    new = {
+        "processing_status": F.coalesce("_outcome", "processing_status"), "guide_id": F.when(ran, F.col("_guide")).otherwise(have("guide_id", "long")),
+        "signal_score": F.when(ran, F.col("_signal_score")).otherwise(have("signal_score", "double")), "classifier_score": F.when(ran, F.col("_classifier_score")).otherwise(have("classifier_score", "double")),
+        "classifier_reason": F.when(ran, F.col("_reason")).otherwise(have("classifier_reason", "string")), "rule_result_json": F.when(ran, F.col("_rule_result_json")).otherwise(have("rule_result_json", "string")),
+        "signal_breakdown": F.when(ran, F.col("_signal_breakdown")).otherwise(have("signal_breakdown", "string")),
+    }
+    return joined.withColumns(new).select(*messages.columns, *(c for c in new if c not in messages.columns))
+
+
 def simulated(texts: DataFrame, column: str) -> DataFrame:
     """The interface's dry run on a text, without its random part: a score from length, numbering and a keyword."""
     t = F.coalesce(F.col(column), F.lit(""))

@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset and Spark runs on this one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return conf or "file://" + os.path.join(tempfile.gettempdir(), f"confab-tables-{os.getpid()}")
+    if conf:
+        return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"confab-tables-{os.getpid()}")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from confab import config as K
 from confab.functions import text as X
 from confab.operators import chains, classify, guides, listing, mutations, rules, scoring
 from confab.plans import pipeline
-from confab.streaming import ingest
+from confab.streaming import ingest, processor
 
 MESSAGE = "id long, telegram_message_id long, group_id long, reply_to_message_id long, topic_id long, message_date timestamp_ntz, sender_telegram_user_id long, is_bot boolean, text string, sender_name string, reply_count int"
 
@@ -150,13 +150,14 @@ def collected(spark, *texts, **kw):
 @pytest.mark.parametrize("hits, score", [(0, 0.0), (1, 0.55), (2, 0.67), (3, 0.79), (5, 1.0)])
 def test_keyword_scores(spark, hits, score):
     words = ["alpha", "bravo", "charlie", "delta", "echo"]
-    r = collected(spark, " ".join(words[:hits]) or "zzz").select(classify.keyword(F.col("chain"), ",".join(words)).alias("r")).first().r
+    r = classify.with_texts(collected(spark, " ".join(words[:hits]) or "zzz")).select(classify.keyword(F.col("_low"), ",".join(words)).alias("r")).first().r
     assert r.score == pytest.approx(score) and r.matched == (hits > 0)
 
 
 def test_bad_classifier_settings(spark):
-    df = collected(spark, "text")
-    r = df.select(classify.regex(spark, F.col("chain"), "(").alias("a"), classify.linear_model(F.col("chain"), "{").alias("b"), classify.linear_model(F.col("chain"), '{"features": []}').alias("c"), classify.keyword(F.col("chain"), " ").alias("d")).first()
+    df = classify.with_texts(collected(spark, "text"))
+    df = classify.linear_model(classify.linear_model(df, "{", "b"), '{"features": []}', "c")
+    r = df.select(classify.regex(spark, F.col("_text"), "(").alias("a"), "b", "c", classify.keyword(F.col("_low"), " ").alias("d")).first()
     assert all((x.score, x.matched) == (0.0, False) for x in r)
 
 
@@ -274,3 +275,64 @@ def test_every_task_has_its_place(spark):
     tasks = spark.createDataFrame([(i, i * 7 % 5) for i in range(333)], "id long, priority int").repartition(7)
     got = {r.place: r.id for r in listing.placed(tasks, [F.desc("priority"), F.asc("id")]).collect()}
     assert got == {n + 1: i for n, i in enumerate(sorted(range(333), key=lambda i: (-(i * 7 % 5), i)))}
+
+
+def stored_messages(spark, n):
+    rows = [(i, i, 1, "Ann", 5 + i % 3, False, f"how to install the api prompt, step {i}: see https://x.org", None, 0, None, None, dt.datetime(2024, 1, 1, 0, i % 60), "UNPROCESSED") for i in range(n)]
+    kind = "id long, telegram_message_id long, group_id long, sender_name string, sender_telegram_user_id long, is_bot boolean, text string, reply_to_message_id long, reply_count int, topic_id long, topic_name string, message_date timestamp_ntz, processing_status string"
+    return spark.createDataFrame(rows, kind)
+
+
+def test_processor_isolates_errors_and_resumes(spark, tmp_path):
+    table, out, seen = f"{tmp_path}/messages", f"{tmp_path}/results", []
+    groups = spark.createDataFrame([(1, True)], "id long, enabled boolean")
+    stored_messages(spark, 6).coalesce(1).write.parquet(table)
+
+    def run(messages, groups):
+        if messages.where("id = 4 and processing_status = 'QUEUED'").head(1):
+            raise ValueError("message 4 is broken")
+        return pipeline.run(messages, groups)
+
+    p = processor.Processor(spark, table, groups, out, f"{tmp_path}/checkpoint", run=run, on_batch=seen.append)
+    p.resume().awaitTermination()
+    first = {r.id: r for r in processor.results(spark, out, "statuses").collect()}
+    assert sorted(first) == list(range(6)) and first[4].outcome == "SKIPPED" and first[4].reason == "error: message 4 is broken"
+    assert all(r.outcome in ("GUIDE_FOUND", "SKIPPED") and "error" not in r.reason for i, r in first.items() if i != 4) and seen == [0]
+    p.pause()
+    stored_messages(spark, 8).where("id > 5").coalesce(1).write.mode("append").parquet(table)
+    p.resume().awaitTermination()
+    everything = processor.results(spark, out, "statuses")
+    assert sorted(r.id for r in everything.collect()) == list(range(8)) and seen == [0, 1]
+    after = processor.state(spark.read.parquet(table), everything)
+    assert after.where("processing_status = 'UNPROCESSED'").count() == 0 and after.count() == 8
+
+
+def test_next_snapshot_has_results_and_is_repeatable(spark):
+    m = stored_messages(spark, 4).withColumn("processing_status", F.when(F.col("id") == 3, F.lit("CLEARED")).otherwise(F.lit("QUEUED")))
+    groups = spark.createDataFrame([(1, True)], "id long, enabled boolean")
+    after = pipeline.next_messages(m, pipeline.run(m, groups)).orderBy("id").collect()
+    assert [r.processing_status for r in after][3] == "CLEARED" and after[3].rule_result_json is None
+    assert all(json.loads(r.rule_result_json)["passed"] is True and "links" in json.loads(r.signal_breakdown) for r in after[:3])
+    assert all((r.processing_status == "GUIDE_FOUND") == (r.guide_id is not None) for r in after)
+    again = pipeline.next_messages(m, pipeline.run(m, groups)).orderBy("id").collect()
+    assert after == again
+
+
+def test_cascade_asks_a_model_only_where_it_is_open(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(prompts):
+        asked.add(len(prompts))
+        return ['{"score": 0.8}'] * len(prompts)
+
+    chain = "array<struct<id:long,sender_name:string,text:string,is_bot:boolean,reply_count:int,topic_id:long>>"
+    rows = [(1, [(1, "A", "gpt claude opus sonnet llm", False, 0, None)]), (2, [(2, "A", "nothing here", False, 0, None)])]
+    df = spark.createDataFrame(rows, f"root_id long, chain {chain}")
+    got = {r.root_id: r.verdict for r in classify.classify(df, [{"type": "KEYWORD", "keywords": K.KEYWORDS}, {"type": "LLM"}], call=call).collect()}
+    assert got[1].evaluated == 1 and got[1].selected.type == "KEYWORD" and got[2].evaluated == 2 and got[2].selected.type == "LLM" and asked.value == 1
+
+
+def test_related_list_of_one_guide(spark):
+    g = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None), (5, None)], "id long, group_id long")
+    got = listing.related_to(g, spark.createDataFrame([(1,), (4,), (1,)], "id long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (4, 5)]
