@@ -505,6 +505,16 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("k").to_numpy().view(U), np.frombuffer(b"".join(batch.column("deep").to_pylist()), np.float32).reshape(-1, 2, 9)
 
 
+def bytes_of(rows: pa.Array) -> np.ndarray:
+    """A binary column of rows of one size as a matrix of bytes, without a copy."""
+    n = len(rows)
+    if not n:
+        return np.zeros((0, 20), np.int8)
+    kind = np.int64 if pa.types.is_large_binary(rows.type) else np.int32
+    offsets = np.frombuffer(rows.buffers()[1], kind)[rows.offset : rows.offset + n + 1]
+    return np.frombuffer(rows.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(n, -1)
+
+
 def fit(grams: DataFrame) -> tuple[Low, Start]:
     """Counts of the low orders, and where lanes begin, from all of ``counted_grams``."""
     context = grams.sparkSession.sparkContext
@@ -554,23 +564,26 @@ POSTINGS = "h long, doc long, post binary, n_tokens long, n_bytes long, score do
 
 
 def postings(words: np.ndarray, owner: np.ndarray, base: int) -> list[pa.Array]:
-    """A row for each distinct word of some texts. owner: each word's text, below 65536. A posting is (text, frequency), 2 bytes each."""
+    """A row for each distinct word of some texts. owner: each word's text, 16 bits. A posting is (text, frequency), 2 bytes each."""
     order = np.argsort(words, kind="stable")
-    w, o = words[order], owner[order]
-    new = np.concatenate(([True], (w[1:] != w[:-1]) | (o[1:] != o[:-1]))) if len(w) else np.zeros(0, bool)
+    words, owner = words[order], owner[order]
+    del order
+    new = np.concatenate(([True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1]))) if len(words) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(w)))
+    tf = np.diff(np.append(at, len(words)))
+    words, owner = words[at], owner[at]
     extra = (tf - 1) // 0xFFFF  # a frequency that does not fit is several postings
-    rows = np.repeat(np.arange(len(at)), extra + 1)
-    last = np.cumsum(extra + 1) - 1
-    small = np.full(len(rows), 0xFFFF)
-    small[last] = tf - extra * 0xFFFF
-    packed = np.stack([o[at][rows], small], axis=1).astype("<u2")
-    key = w[at][rows]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    ends_ = np.append(head, len(key)).astype(np.int32) * 4
-    post = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends_), pa.py_buffer(packed.tobytes())])
-    return [pa.array(key[head].view(np.int64)), pa.array(np.full(len(head), base)), post]
+    if extra.any():
+        words, owner, last = np.repeat(words, extra + 1), np.repeat(owner, extra + 1), np.cumsum(extra + 1) - 1
+        small = np.full(len(words), 0xFFFF)
+        small[last] = tf - extra * 0xFFFF
+        tf = small
+    pairs = np.empty((len(words), 2), "<u2")
+    pairs[:, 0], pairs[:, 1] = owner, tf
+    head = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+    ends = np.append(head, len(words)).astype(np.int32) * 4
+    post = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(pairs.tobytes())])
+    return [pa.array(words[head].view(np.int64)), pa.array(np.full(len(head), base)), post]
 
 
 def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -600,35 +613,46 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         """Postings and scores of a piece, from its texts and the logits of its grams."""
         k, (low, start) = known.column("k").combine_chunks(), shared.value
-        code = coded(low, k.to_numpy().view(U), np.frombuffer(b"".join(known.column("code").to_pylist()), np.int8).reshape(len(k), -1))
         number = texts.column("piece")[0].as_py() << 24
-        out, rows, sizes, about = [], [], [], []
-        heard, whose, texts_of, base = [], [], 0, number
+        slices, out = texts.sort_by("part").column("slice"), []
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for data in slices:
+                whole = unpacked(data.as_py())
+                yield from (whole.slice(at, 0xFFFF) for at in range(0, whole.num_rows, 0xFFFF))
+
+        # Two passes over the piece, so that words and grams are never held together.
+        heard, whose, texts_of, base, about, symbols_of = [], [], 0, number, [], []
 
         def give() -> None:
-            post = postings(np.concatenate(heard or [np.zeros(0, U)]), np.concatenate(whose or [np.zeros(0, np.int64)]), base)
+            post = postings(np.concatenate(heard or [np.zeros(0, U)]), np.concatenate(whose or [np.zeros(0, np.uint16)]), base)
             out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
 
-        for data in texts.sort_by("part").column("slice"):
-            part = unpacked(data.as_py())
-            for part in (part.slice(at, 0xFFFF) for at in range(0, part.num_rows, 0xFFFF)):
-                data, offsets = common.buffers(part.column("text"))
-                low_bytes, starts, ends, first_word = wh.bounds(data, offsets, wh.NONBLANK)
-                if texts_of + part.num_rows > 0xFFFF:
-                    give()
-                    heard, whose, texts_of, base = [], [], 0, number
-                heard.append(wh.word_hashes(low_bytes, starts, ends))
-                whose.append(wh.owners(first_word) + texts_of)
-                texts_of += part.num_rows
-                seen, first = layout(data, offsets)
-                rows.append(pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy())
-                sizes.append(np.diff(first))
-                own = number + np.arange(part.num_rows)
-                about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(np.diff(first_word) + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
-                number += part.num_rows
+        for part in parts():
+            data, offsets = common.buffers(part.column("text"))
+            low_bytes, starts, ends, first_word = wh.bounds(data, offsets, wh.NONBLANK)
+            if texts_of + part.num_rows > 0xFFFF:
+                give()
+                heard, whose, texts_of, base = [], [], 0, number
+            heard.append(wh.word_hashes(low_bytes, starts, ends))
+            whose.append((wh.owners(first_word) + texts_of).astype(np.uint16))
+            texts_of += part.num_rows
+            own = number + np.arange(part.num_rows)
+            about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(np.diff(first_word) + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
+            symbols_of.append(np.diff(offsets) + 1)
+            number += part.num_rows
         give()
+        heard, whose = [], []
+
+        first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *symbols_of]))
+        rows, done = np.empty(first[-1], np.int32), 0
+        for part in parts():
+            seen = layout(*common.buffers(part.column("text")))[0]
+            rows[done : done + len(seen)] = pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy()
+            done += len(seen)
+        code = coded(low, k.to_numpy().view(U), bytes_of(known.column("code").combine_chunks()))
         # All lanes of the piece step together.
-        score, done = online(code, np.concatenate(rows), np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])), start), 0
+        score, done = online(code, rows, first, start), 0
         for *cols, ids in about:
             out.append(pa.RecordBatch.from_arrays([*cols, pa.array(score[done : done + len(ids)]), ids], schema=arrow))
             done += len(ids)
