@@ -374,10 +374,12 @@ class Tally:
         return len(k) > HELD // 2
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        k, at = np.unique(np.concatenate(self.k or [np.zeros(0, U)]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate(self.c or [np.zeros(0)]), minlength=len(k)).astype(np.int64)
+        k, c = np.concatenate(self.k or [np.zeros(0, U)]), np.concatenate(self.c or [np.zeros(0, np.int64)])
         self.k, self.c, self.held = [], [], 0
-        return k, c
+        order = np.argsort(k, kind="stable")  # what was added is in order, which this kind makes use of
+        k, c = k[order], c[order]
+        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+        return k[head], np.add.reduceat(c, head).astype(np.int64) if len(k) else c.astype(np.int64)
 
 
 def counted(pieces: DataFrame, keys) -> DataFrame:
@@ -560,7 +562,31 @@ def gram_codes(grams: DataFrame) -> DataFrame:
 
 # ---- scores
 
-POSTINGS = "h long, doc long, post binary, n_tokens long, n_bytes long, score double"
+POSTINGS = "h long, doc long, post binary"
+
+
+class Places:
+    """Where each of some distinct keys stands: a table of slots, in which the last key of a slot stays, and Arrow's search for the others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = U(64 - max(10, (4 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << int(U(64) - self.shift), np.int32)
+        own = self.slot(keys)
+        self.slots[own] = np.arange(len(keys), dtype=np.int32)
+        self.crowded = np.flatnonzero(self.slots[own] != np.arange(len(keys)))
+        self.others = pa.array(keys[self.crowded].view(np.int64))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * wh.RADIX >> self.shift).view(np.int64)
+
+    def of(self, seen: np.ndarray) -> np.ndarray:
+        """All of ``seen`` must be keys."""
+        at = self.slots.take(self.slot(seen))
+        missed = np.flatnonzero(self.keys.take(at) != seen)
+        if len(missed):
+            at[missed] = self.crowded[pc.index_in(pa.array(seen[missed].view(np.int64)), value_set=self.others).to_numpy()]
+        return at
 
 
 def postings(words: np.ndarray, owner: np.ndarray, base: int) -> list[pa.Array]:
@@ -606,13 +632,13 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
     total, kinds = total + texts, kinds + (texts > 0)  # the end mark is a token of its own
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"{POSTINGS}, id {kind}"
-    about_text = ("n_tokens", "n_bytes", "score", "id")
+    schema = f"{POSTINGS}, about struct<n_tokens: long, n_bytes: long, score: double, id: {kind}>"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    about_type = arrow.field("about").type
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         """Postings and scores of a piece, from its texts and the logits of its grams."""
-        k, (low, start) = known.column("k").combine_chunks(), shared.value
+        k, (low, start) = known.column("k").combine_chunks().to_numpy().view(U), shared.value
         number = texts.column("piece")[0].as_py() << 24
         slices, out = texts.sort_by("part").column("slice"), []
 
@@ -626,7 +652,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
 
         def give() -> None:
             post = postings(np.concatenate(heard or [np.zeros(0, U)]), np.concatenate(whose or [np.zeros(0, np.uint16)]), base)
-            out.append(pa.RecordBatch.from_arrays([*post, *[pa.nulls(len(post[0]), arrow.field(c).type) for c in about_text]], schema=arrow))
+            out.append(pa.RecordBatch.from_arrays([*post, pa.nulls(len(post[0]), about_type)], schema=arrow))
 
         for part in parts():
             data, offsets = common.buffers(part.column("text"))
@@ -638,27 +664,29 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             whose.append((wh.owners(first_word) + texts_of).astype(np.uint16))
             texts_of += part.num_rows
             own = number + np.arange(part.num_rows)
-            about.append([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(np.diff(first_word) + 1), pa.array(np.diff(offsets)), part.column("id").cast(arrow.field("id").type)])
+            about.append((own, np.diff(first_word) + 1, np.diff(offsets), part.column("id").cast(about_type.field("id").type)))
             symbols_of.append(np.diff(offsets) + 1)
             number += part.num_rows
         give()
         heard, whose = [], []
 
         first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *symbols_of]))
-        rows, done = np.empty(first[-1], np.int32), 0
+        places, rows, done = Places(k), np.empty(first[-1], np.int32), 0
         for part in parts():
             seen = layout(*common.buffers(part.column("text")))[0]
-            rows[done : done + len(seen)] = pc.index_in(pa.array(seen.view(np.int64)), value_set=k).to_numpy()
+            rows[done : done + len(seen)] = places.of(seen)
             done += len(seen)
-        code = coded(low, k.to_numpy().view(U), bytes_of(known.column("code").combine_chunks()))
+        code = coded(low, k, bytes_of(known.column("code").combine_chunks()))
         # All lanes of the piece step together.
         score, done = online(code, rows, first, start), 0
-        for *cols, ids in about:
-            out.append(pa.RecordBatch.from_arrays([*cols, pa.array(score[done : done + len(ids)]), ids], schema=arrow))
+        for own, n_tokens, n_bytes, ids in about:
+            text = pa.StructArray.from_arrays([pa.array(n_tokens), pa.array(n_bytes), pa.array(score[done : done + len(ids)]), ids], fields=list(about_type))
+            out.append(pa.RecordBatch.from_arrays([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), text], schema=arrow))
             done += len(ids)
         return pa.Table.from_batches(out, schema=arrow)
 
     met = pieces.groupBy("piece").cogroup(codes.groupBy("piece")).applyInArrow(run, schema).join(counts.withColumnsRenamed({"k": "h"}), "h", "left")
+    about_text = ("n_tokens", "n_bytes", "score", "id")
     out = f"doc long, b double, known long, n_tokens long, n_bytes long, score double, id {kind}"
     out_arrow = to_arrow_schema(_parse_datatype_string(out))
 
@@ -668,7 +696,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             about = batch.filter(pc.is_null(batch.column("post")))
             if about.num_rows:
                 m = about.num_rows
-                yield pa.RecordBatch.from_arrays([about.column("doc"), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), *[about.column(c) for c in about_text]], schema=out_arrow)
+                yield pa.RecordBatch.from_arrays([about.column("doc"), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), *about.column("about").flatten()], schema=out_arrow)
             words = batch.filter(pc.is_valid(batch.column("post")))
             if not words.num_rows:
                 continue
@@ -683,7 +711,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             n = len(k)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(known), *[pa.nulls(n, out_arrow.field(c).type) for c in about_text]], schema=out_arrow)
 
-    sums = met.select("doc", "post", *about_text, "c").mapInArrow(add, out).groupBy("doc").agg(
+    sums = met.select("doc", "post", "about", "c").mapInArrow(add, out).groupBy("doc").agg(
         F.coalesce(F.sum("b"), F.lit(0.0)).alias("b"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), *[F.max(c).alias(c) for c in about_text]
     )
     end = float(np.log10(texts + 0.5))
