@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from confab.llm import decontaminate, host_reputation, language, license_scan, mixing_lm, order_minhash, packing, secrets, warc, weighted_fingerprint
+from confab.llm import decontaminate, host_reputation, language, license_scan, mixing_lm, neighbours, order_minhash, packing, resampling, secrets, spelling, warc, weighted_fingerprint
 
 QUERIES = {
     "op1_host_reputation": host_reputation.op1_host_reputation,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +26,7 @@ ORACLES = {
     "op1_host_reputation": host_reputation.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op11_nearest_neighbours": neighbours.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
