@@ -9,17 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from confab.functions import text as X
+from confab.sources.feed import FEED, ChatFeed
 from confab.sources.storage import cut
 
-FEED = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("chat_id", T.LongType()), T.StructField("thread_id", T.LongType()), T.StructField("topic_name", T.StringType()),
-    T.StructField("content_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("sender_name", T.StringType()), T.StructField("sender_id", T.LongType()),
-    T.StructField("is_bot", T.BooleanType()), T.StructField("reply_to", T.LongType()), T.StructField("date", T.LongType()),
-])
 FALLBACK_TEXT = {"photo": "[photo]", "video": "[video]", "document": "[document]", "sticker": "[sticker]", "voice": "[voice]"}
 
 
@@ -89,6 +84,17 @@ def ingest(spark: SparkSession, feed_path: str, table_path: str, checkpoint: str
     """Starts the ingest of JSON feed files: to the end of what is there, or every ``interval``."""
     at = F.current_timestamp().cast("timestamp_ntz") if now is None else now
     feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).json(feed_path)
+    return into_table(feed, table_path, checkpoint, at, interval)
+
+
+def ingest_chats(spark: SparkSession, client: str, table_path: str, checkpoint: str, *, now: Column | None = None, interval: str | None = None, **options: str) -> StreamingQuery:
+    """Starts the ingest of a chat feed (``sources.feed``): to the newest message of each chat, or every ``interval``. client: module:factory."""
+    at = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+    spark.dataSource.register(ChatFeed)
+    return into_table(spark.readStream.format("chat_feed").options(client=client, **options).load(), table_path, checkpoint, at, interval)
+
+
+def into_table(feed: DataFrame, table_path: str, checkpoint: str, at: Column, interval: str | None) -> StreamingQuery:
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: merge_batch(batch, table_path, at))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
