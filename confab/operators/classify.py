@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab import config as K
 from confab.functions import text as X
+from confab.operators.calls import AnswerStore, Call, answered
 from confab.operators.chains import joined_text
 from confab.sources.storage import cut
 
@@ -97,9 +97,10 @@ def linear_model(chained: DataFrame, config: dict | str | None, name: str) -> Da
     return df.withColumn(name, result(F.col("_squashed"), F.col("_squashed") >= threshold, said)).drop("_v", "_raw", "_squashed")
 
 
-def chain_prompt(chain: Column) -> Column:
+def chain_prompt(chain: Column, before: str | None = None) -> Column:
+    """before: what a classifier's own prompt says, in front of the chain."""
     lines = F.transform(chain, lambda m: F.concat(F.lit("["), F.coalesce(m["sender_name"], F.lit("Unknown")), F.when(m["is_bot"], F.lit(" [BOT]")).otherwise(F.lit("")), F.lit("]: "), X.text_or_empty(m["text"]), F.lit("\n\n")))
-    return F.concat(F.lit("Message chain to classify:\n\n"), F.array_join(lines, ""))
+    return F.concat(F.lit((f"{before}\n\n" if before else "") + "Message chain to classify:\n\n"), F.array_join(lines, ""))
 
 
 def prompt_text(prompt: Column) -> Column:
@@ -160,23 +161,10 @@ def parse_answer(content: Column) -> Column:
     return F.when(readable, good).otherwise(result(F.lit(0.30), F.lit(False), F.concat(F.lit("unreadable answer: "), X.truncate(content, 200))))
 
 
-def external_llm(prompts: DataFrame, column: str, call: Callable[[list[str]], list[str | None]], name: str = "answer") -> DataFrame:
-    """Adds a model's answers; ``call`` maps a batch of prompts to answers (null: failed) and runs in the tasks."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*prompts.schema.fields, T.StructField(name, T.StringType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(**{name: call(pdf[column].tolist())})
-
-    return prompts.mapInPandas(run, schema)
-
-
-def model_scores(prompts: DataFrame, column: str, call: Callable[[list[str]], list[str | None]], name: str) -> DataFrame:
-    """Adds a model's result on the prompt in ``column``; where the model gave no answer, a failed one."""
-    asked = external_llm(prompts, column, call, "_answer")
-    return asked.withColumn(name, F.when(F.col("_answer").isNull(), failed("the model gave no answer")).otherwise(parse_answer(F.col("_answer")))).drop("_answer")
+def model_scores(prompts: DataFrame, column: str, call: Call, name: str, **settings) -> DataFrame:
+    """Adds a model's result on the prompt in ``column``; where the model gave no answer, a failed one that says why. settings: of ``calls.answered``."""
+    asked = answered(prompts, column, call, answer="_answer", error="_error", **settings)
+    return asked.withColumn(name, F.when(F.col("_answer").isNull(), result(F.lit(0.0), F.lit(False), F.coalesce("_error", F.lit("the model gave no answer")))).otherwise(parse_answer(F.col("_answer")))).drop("_answer", "_error")
 
 
 def resolved(classifiers: DataFrame, providers: DataFrame, prompts: DataFrame, default: str) -> DataFrame:
@@ -189,7 +177,7 @@ def resolved(classifiers: DataFrame, providers: DataFrame, prompts: DataFrame, d
 
 
 def cascade(results: list[tuple[str, Column]]) -> Column:
-    """Selected and best result of classifiers in order of cost. results: (type, result struct).
+    """Selected and best result of classifiers in order of cost, and all that were asked. results: (type, result struct).
 
     A null result was not asked for. A result passes if it matched with at least the cascade's threshold. A passing model, or a passing other of 0.90 or
     more, ends the cascade; ties go to the first.
@@ -201,7 +189,7 @@ def cascade(results: list[tuple[str, Column]]) -> Column:
     stop = F.coalesce(F.array_min(F.transform(F.filter(rows, ends), lambda r: r["pos"])), F.lit(len(results)))
     seen = F.filter(rows, lambda r: r["pos"] <= stop)
     first_best = lambda a: F.array_max(F.transform(a, lambda r: F.struct(r["score"].alias("score"), (-r["pos"]).alias("neg"), r["type"].alias("type"), r["reasoning"].alias("reasoning"))))
-    return F.struct(first_best(F.filter(seen, passes)).alias("selected"), first_best(seen).alias("best"), F.size(seen).alias("evaluated"))
+    return F.struct(first_best(F.filter(seen, passes)).alias("selected"), first_best(seen).alias("best"), F.size(seen).alias("evaluated"), seen.alias("attempts"))
 
 
 def in_cost_order(classifiers: list[dict]) -> list[dict]:
@@ -210,23 +198,28 @@ def in_cost_order(classifiers: list[dict]) -> list[dict]:
     return sorted((c for c in classifiers if c.get("status", "ACTIVE") == "ACTIVE"), key=rank)
 
 
-def classify(chained: DataFrame, classifiers: list[dict], call: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+def classify(chained: DataFrame, classifiers: list[dict], call: Call | Mapping[object, Call] | None = None, *, store: AnswerStore | None = None, away: str = "error") -> DataFrame:
     """``chained`` with verdict, the cascade over the configured classifiers.
 
     Classifiers are asked in order of cost, and each only on the chains that no earlier one has ended. ``call`` is the model of
-    LLM classifiers (``external_llm``); without one the stand-in answers.
+    LLM classifiers, or one by the classifier's ``provider_id`` (``calls``); without one the stand-in answers. A classifier's ``prompt`` stands in front of
+    the chain; one whose provider is unknown fails, and says so.
     """
     spark = chained.sparkSession
     rows, results = with_texts(chained).withColumn("_open", F.lit(True)), []
     for i, c in enumerate(in_cost_order(classifiers)):
         kind, name = c["type"].upper(), f"_r{i}"
-        if kind == "LLM" and call is not None:
+        before, own_call = c.get("prompt"), call.get(c.get("provider_id")) if isinstance(call, Mapping) else call
+        if kind == "LLM" and isinstance(call, Mapping) and own_call is None:
+            rows = rows.withColumn(name, failed("no provider" if c.get("provider_id") is None else "provider not found"))
+        elif kind == "LLM" and own_call is not None:
             # The model only gets what is still open; what came before is written, so it is not worked out for both parts.
             rows = cut(rows, "cascade")
-            asked = model_scores(rows.where("_open").withColumn("_prompt", chain_prompt(F.col("chain"))), "_prompt", call, name).drop("_prompt")
+            asked = rows.where("_open").withColumn("_prompt", chain_prompt(F.col("chain"), before))
+            asked = model_scores(asked, "_prompt", own_call, name, model=str(c.get("model") or c.get("provider_id") or ""), store=store, away=away).drop("_prompt")
             rows = asked.unionByName(rows.where("not _open"), allowMissingColumns=True)
         elif kind == "LLM":
-            rows = mock_llm(rows.withColumn("_prompt", chain_prompt(F.col("chain"))), "_prompt", name).drop("_prompt")
+            rows = mock_llm(rows.withColumn("_prompt", chain_prompt(F.col("chain"), before)), "_prompt", name).drop("_prompt")
         elif kind == "LINEAR_MODEL":
             rows = linear_model(rows, c.get("config"), name)
         else:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"confab-tables-{os.getpid()}")
 
@@ -25,14 +25,3 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table of the domain, by its fixed schema; nothing is inferred."""
-    return spark.read.schema(schema).parquet(path)
-
-
-def write_snapshot(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
-    """A new snapshot; a snapshot is never changed in place."""
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
