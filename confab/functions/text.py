@@ -58,9 +58,35 @@ def three_decimals(c: Column) -> Column:
     return F.format_string("%.3f", c)
 
 
+def units(c: Column) -> Column:
+    """UTF-16 code units, two bytes each."""
+    return F.encode(c, "UTF-16BE")
+
+
+def unit_slice(c: Column, start: Column | int, n: Column | int) -> Column:
+    """n of some units from ``start`` (0: the first)."""
+    whole = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("int")
+    return F.substring(c, whole(start) * 2 + 1, F.greatest(F.lit(0), whole(n) * 2))
+
+
+def _is_half(byte: Column, first: str) -> Column:
+    """Whether a unit's first byte is that of a high (D8) or low (DC) surrogate."""
+    return F.hex(byte).between(first, "DB" if first == "D8" else "DF")
+
+
+def unit_text(c: Column) -> Column:
+    """Text of some units; a half of a pair at either end becomes a question mark, as encoders have it."""
+    n = F.octet_length(c)
+    mark = F.lit(bytearray(b"\x00?"))
+    c = F.when((n > 0) & _is_half(F.substring(c, F.lit(1), F.lit(1)), "DC"), F.concat(mark, F.substring(c, F.lit(3), n))).otherwise(c)
+    c = F.when((n > 0) & _is_half(F.substring(c, n - 1, F.lit(1)), "D8"), F.concat(F.substring(c, F.lit(1), n - 2), mark)).otherwise(c)
+    return F.decode(c, "UTF-16BE")
+
+
 def truncate(c: Column, n: int) -> Column:
-    """Cut to n characters and dotted, if longer; null stays null."""
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    """Cut to n UTF-16 units and dotted, if longer; null stays null."""
+    short = F.when(F.octet_length(c) == F.length(c), F.substring(c, 1, n)).otherwise(unit_text(unit_slice(units(c), 0, n)))
+    return F.when(utf16_length(c) > n, F.concat(short, F.lit("..."))).otherwise(c)
 
 
 def is_placeholder_name(c: Column) -> Column:
@@ -160,17 +186,25 @@ def short_duration(ms: Column) -> Column:
 
 
 def spliced_links(text: Column, entities: Column) -> Column:
-    """Text with each entity (offset, length, url) as a markdown link, from the last to the first; ranges are clamped."""
+    """Text with each entity (offset, length, url) as a markdown link, from the last to the first; ranges are clamped.
+
+    Offsets and lengths count UTF-16 units. An offset or end within a pair counts as the pair's begin.
+    """
+
+    def whole(acc: Column, at: Column) -> Column:
+        """``at``, or the unit before it if it stands between the halves of a pair."""
+        return F.when(_is_half(unit_slice(acc, at, 1).substr(F.lit(1), F.lit(1)), "DC"), at - 1).otherwise(at)
 
     def splice(acc: Column, e: Column) -> Column:
-        start = F.greatest(F.lit(0), F.least(e["offset"], F.length(acc)))
-        end = F.greatest(start, F.least(e["offset"] + e["length"], F.length(acc)))
-        label = F.substring(acc, start + 1, end - start)
-        linked = F.concat(F.substring(acc, F.lit(1), start), F.lit("["), label, F.lit("]("), e["url"], F.lit(")"), F.substring(acc, end + 1, F.length(acc)))
-        return F.when((label == e["url"]) | (label == ""), acc).otherwise(linked)
-
-    last_first = F.reverse(F.array_sort(F.transform(entities, lambda e: F.struct(e["offset"].alias("offset"), e["length"].alias("length"), e["url"].alias("url")))))
-    return F.aggregate(last_first, text_or_empty(text), splice)
+        size = (F.octet_length(acc) / 2).cast("int")
+        start = whole(acc, F.greatest(F.lit(0), F.least(e["offset"], size)))
+        end = whole(acc, F.greatest(start, F.least(e["offset"] + e["length"], size)))
+        label = unit_slice(acc, start, end - start)
+        linked = F.concat(unit_slice(acc, 0, start), units(F.lit("[")), label, units(F.lit("](")), units(e["url"]), units(F.lit(")")), unit_slice(acc, end, size))
+        return F.when((F.octet_length(label) == 0) | (label == units(e["url"])), acc).otherwise(linked)
+
+    last_first = F.reverse(F.array_sort(F.transform(entities, lambda e: F.struct(e["offset"].cast("int").alias("offset"), e["length"].cast("int").alias("length"), e["url"].alias("url")))))
+    return F.decode(F.aggregate(last_first, units(text_or_empty(text)), splice), "UTF-16BE")
 
 
 def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:

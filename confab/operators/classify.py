@@ -231,4 +231,4 @@ def classify(chained: DataFrame, classifiers: list[dict], call: Call | Mapping[o
         rows = rows.withColumn("_open", F.col("_open") & ~ends)
         results.append((kind, own))
     helpers = [*TEXT_COLUMNS, "_open", *(f"_r{i}" for i in range(len(results)))]
-    return rows.withColumn("verdict", cascade(results) if results else F.lit(None)).drop(*helpers)
+    return rows.withColumn("verdict", cascade(results or [("", F.lit(None).cast("struct<score:double,matched:boolean,reasoning:string>"))])).drop(*helpers)

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from confab import config as K
 from confab.functions import text as X
+from confab.operators import chains
+from confab.operators.calls import AnswerStore, Call, answered
+from confab.sources.storage import cut
 
 
 @F.pandas_udf(T.StringType())
@@ -54,7 +57,7 @@ def fallback_title(chain: Column) -> Column:
 
 def fallback_guide(chained: DataFrame) -> DataFrame:
     """Adds guide: title, content, confidence and tags of a draft made without a model, from ``chain`` and ``verdict``."""
-    chain, best = F.col("chain"), F.col("verdict.best")
+    chain, best = F.col("chain"), F.coalesce("verdict.selected", "verdict.best")
     lines = F.transform(chain, lambda m: F.concat(F.lit("- **"), X.sender_or_unknown(m["sender_name"]), F.lit("**: "), F.when(X.is_blank(m["text"]), F.lit("[empty]")).otherwise(X.trim_control(m["text"]))))
     df = chained.withColumn("_title", fallback_title(chain))
     content = F.concat(F.lit("# "), F.col("_title"), F.lit("\n\n- score: "), X.three_decimals(best["score"]), F.lit("\n- reasoning: "), best["reasoning"], F.lit("\n\n## Messages\n\n"), F.array_join(lines, "\n"))
@@ -62,6 +65,61 @@ def fallback_guide(chained: DataFrame) -> DataFrame:
     return df.withColumn("guide", guide).drop("_title")
 
 
+def whole_guide(title: Column, content: Column, markdown: Column, confidence: Column, tags: Column, error: Column) -> Column:
+    kinds = {"title": title, "content": content, "markdown": markdown, "confidence": confidence.cast("double"), "tags": tags.cast("array<string>"), "error": error.cast("string")}
+    return F.struct(*(c.alias(n) for n, c in kinds.items()))
+
+
+def local_guide(rows: DataFrame) -> DataFrame:
+    """``rows`` with the draft that needs no model as a whole guide."""
+    g, none = F.col("guide"), F.lit(None)
+    return fallback_guide(rows).withColumn("guide", whole_guide(g["title"], g["content"], g["content"], g["confidence"], g["tags"], none))
+
+
+def no_guide(title: str, error: Column, tags: Column | None = None) -> Column:
+    """What stands for a guide that could not be made."""
+    tags = F.array(F.lit("AI"), F.lit("error"), F.lit("provider")) if tags is None else tags
+    return whole_guide(F.lit(f"Guide not made: {title}"), error, F.concat(F.lit("## Guide not made\n\n"), error), F.lit(0.0), tags, error)
+
+
+#: What a generator is told, unless a prompt of one's own says it.
+INSTRUCTIONS = """Turn the conversation below into a practical guide. Answer with one JSON object: title, content (plain text), contentMarkdown, confidence (0 to 1) and tags (3 to 6, short).
+Name the product, application or service if the conversation makes it clear. Keep links, commands, versions, prices and dates as they are.
+ROOT, PARENT_REPLY, DIRECT_REPLY and THREAD_REPLY are the conversation itself; SAME_TOPIC_NEARBY, SAME_AUTHOR_NEARBY and TIMELINE_NEARBY only add to it.
+If no useful guide comes of it, let confidence be below 0.5."""
+
+
+def generation_prompts(messages: DataFrame, chain: DataFrame, rows: DataFrame, prompt: dict | None = None) -> DataFrame:
+    """id and prompt of each of ``rows`` (id, verdict): instructions, the verdict, the root, and the chain's messages with how they stand to the root."""
+    own = (prompt or {}).get("content")
+    told = INSTRUCTIONS if own is None else own.replace("{{language}}", "English").replace("{{format}}", "markdown")
+    said = ["id", "telegram_message_id", "reply_to_message_id", "topic_id", "topic_name", "sender_name", "text", "is_bot"]
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    near = chain.join(rows.select(F.col("id").alias("root_id")), "root_id", "left_semi")
+    m = chains.chain_relations(messages, near).join(messages.select(*said), "id")
+    line = F.concat(
+        F.lit("- relation: "), "relation", F.lit("\n  sender: "), F.coalesce("sender_name", F.lit("Unknown")), F.when(F.coalesce("is_bot", F.lit(False)), F.lit(" [BOT]")).otherwise(F.lit("")), F.lit("\n  number: "), text(F.col("telegram_message_id")),
+        F.lit("\n  reply to: "), text(F.col("reply_to_message_id")), F.lit("\n  topic: "), text(F.col("topic_id")), F.lit(" "), text(F.col("topic_name")), F.lit("\n  text: "), X.text_or_empty(F.col("text")), F.lit("\n\n"),
+    )
+    lines = m.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    r = F.coalesce("verdict.selected", "verdict.best")
+    head = F.concat(F.lit(f"{told}\n\nClassification:\n- score: "), X.three_decimals(r["score"]), F.lit("\n- reasoning: "), r["reasoning"], F.lit("\n\nMain message: "), text(F.col("id")), F.lit("\n\nSource message chain:\n\n"))
+    joined = rows.select("id", "verdict").join(lines.withColumnRenamed("root_id", "id"), "id")
+    return joined.select("id", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("prompt"))
+
+
+def generated(messages: DataFrame, chain: DataFrame, rows: DataFrame, generate: Call, *, prompt: dict | None = None, model: str = "", store: AnswerStore | None = None, away: str = "error") -> DataFrame:
+    """``rows`` (id, chain, verdict) with the generator's guide; where it gave none, one that says why (``error``)."""
+    asked = answered(cut(generation_prompts(messages, chain, rows, prompt), "prompts"), "prompt", generate, model=model, store=store, away=away, prompts=1)
+    p = parse_guide(F.col("answer"), fallback_tags(F.col("prompt"), compatible("prompt")))
+    asked = asked.withColumn("_p", p).withColumn("_tags", fallback_tags(F.col("prompt"), compatible("prompt")))
+    p = F.col("_p")
+    guide = F.when(F.col("answer").isNull(), no_guide("the generator failed", F.coalesce("error", F.lit("unknown error")), F.col("_tags"))).otherwise(
+        whole_guide(p["title"], p["content"], p["markdown"], p["confidence"], p["tags"], F.lit(None))
+    )
+    return rows.join(asked.select("id", guide.alias("guide")), "id")
+
+
 GUIDE = "struct<title:string,content:string,contentMarkdown:string,confidence:string,tags:array<string>>"
 
 

@@ -98,9 +98,20 @@ def filter_guides(guides: DataFrame, *, min_confidence: float | None = None, max
     return out if max_cost is None else out.where(F.col("estimated_cost_usd") <= max_cost)
 
 
-def search_guides(guides: DataFrame, groups: DataFrame, query: str) -> DataFrame:
+#: Columns of guides that a search looks at, beside the group's title.
+SEARCHED = ["title", "model", "generation_error"]
+
+
+def search_guides(guides: DataFrame, groups: DataFrame, query: str, status: str | None = None) -> DataFrame:
+    """Guides whose title, model, group, tags or error have the query in them, whatever the case; of one status if given. Columns that are absent are not searched."""
     names = groups.select(F.col("id").alias("group_id"), F.col("title").alias("group_title"))
-    return guides.join(names, "group_id", "left").where(F.lower(F.concat_ws(" ", "title", "group_title")).contains(query.lower()))
+    rows = by_columns(guides, status=status).join(names, "group_id", "left")
+    group = F.concat(F.coalesce("group_title", F.lit("")), F.lit(" "), F.coalesce(F.col("group_id").cast("string"), F.lit("")))
+    fields = [*(F.col(c) for c in SEARCHED if c in guides.columns), group, *([F.array_join("tags", " ")] if "tags" in guides.columns else [])]
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.lower(X.text_or_empty(f)).contains(query.strip().lower())
+    return rows.where(hit)
 
 
 def guide_sources(guides: DataFrame, bridge: DataFrame, messages: DataFrame) -> DataFrame:
@@ -117,9 +128,9 @@ def source_summary(bridge: DataFrame) -> DataFrame:
 
 
 def related_guides(guides: DataFrame) -> DataFrame:
-    """Pairs of guides of one group (nulls are one group): what the screens of all guides list, all at once. The list of one guide is ``related_to``."""
-    a, b = guides.select(F.col("id").alias("guide_id"), F.col("group_id").alias("_g")), guides.select(F.col("id").alias("related_id"), F.col("group_id").alias("_h"))
-    return a.join(b, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("guide_id") != F.col("related_id"))).select("guide_id", "related_id")
+    """guide_id, class_id and related: each guide's group of related ones (nulls are one group), by its smallest id, and how many others there are."""
+    own = guides.groupBy("group_id").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("related")).withColumnRenamed("group_id", "_g")
+    return guides.join(own, F.col("group_id").eqNullSafe(F.col("_g"))).select(F.col("id").alias("guide_id"), "class_id", "related")
 
 
 def related_to(guides: DataFrame, ids: DataFrame) -> DataFrame:

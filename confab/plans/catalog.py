@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,17 +181,16 @@ def tasks_after_clearing(spark, d):
     return mutations.clear_tasks(view(spark, d, "task_queue")).groupBy("status", "priority").agg(F.count("*").alias("tasks"), F.min("created_at").alias("oldest"))
 
 
-@query(ctes("task_queue") + "\nselect id, priority, created_at from task_queue where status = 'QUEUED' order by priority desc, created_at, id limit 50")
+@query(ctes("task_queue") + "\nselect id, priority, created_at, row_number() over (order by priority desc, created_at, id) as place from task_queue where status = 'QUEUED'")
 def task_order(spark, d):
-    t = listing.by_columns(view(spark, d, "task_queue"), status="QUEUED")
-    return t.orderBy(F.desc("priority"), "created_at", "id").limit(50).select("id", "priority", "created_at")
+    """Every queued task with its place."""
+    t = listing.by_columns(view(spark, d, "task_queue"), status="QUEUED").select("id", "priority", "created_at")
+    return listing.placed(t, [F.desc("priority"), F.asc("created_at"), F.asc("id")])
 
 
-@query(ctes("task_queue") + "\nselect id, priority, created_at, row_number() over (order by priority desc, created_at, id) as place from task_queue where status = 'QUEUED'")
+@query(ORACLES["task_order"])
 def task_order_all(spark, d):
-    """Every queued task; ``task_order`` is the first 50 of them."""
-    t = listing.by_columns(view(spark, d, "task_queue"), status="QUEUED").select("id", "priority", "created_at")
-    return listing.placed(t, [F.desc("priority"), F.asc("created_at"), F.asc("id")])
+    return task_order(spark, d)
 
 
 @query(ctes("groups", "messages", "guides", "task_queue") + """
@@ -314,9 +314,20 @@ def guides_filter(spark, d):
     return listing.filter_guides(view(spark, d, "guides"), status="PUBLISHED", min_confidence=0.5, max_cost=0.1).select("id", "status", "confidence")
 
 
-@query(ctes("guides", "groups") + "\nselect x.id, x.group_id from guides x left join groups g on x.group_id = g.id where contains(lower(concat_ws(' ', x.title, g.title)), 'an')")
+@query(ctes("guides", "groups") + """
+, g as (select x.*, case id % 3 when 0 then 'gpt-' || id % 4 end as model, case when id % 5 = 0 then 'error ' || id % 8 end as generation_error, case when id % 2 = 0 then ['Tag ' || id % 9, 'other'] end as tags from guides x)
+select x.id, x.group_id from g x left join groups g on x.group_id = g.id, (select unnest([['an', 'DRAFT'], ['tag 4', null], ['error 5', null], ['gpt-3', null], ['24', 'FAILED']]) as q)
+where (q[2] is null or x.status = q[2]) and (contains(lower(x.title), q[1]) or contains(coalesce(x.model, ''), q[1]) or contains(lower(coalesce(g.title, '') || ' ' || coalesce(x.group_id::varchar, '')), q[1]) or contains(lower(coalesce(array_to_string(x.tags, ' '), '')), q[1]) or contains(coalesce(x.generation_error, ''), q[1]))
+group by all""")
 def guides_search(spark, d):
-    return listing.search_guides(view(spark, d, "guides"), view(spark, d, "groups"), "an").select("id", "group_id")
+    """Searches by text, tag, error, model and group number; two of them within one status."""
+    g = view(spark, d, "guides").withColumns({
+        "model": F.when(F.col("id") % 3 == 0, F.concat(F.lit("gpt-"), (F.col("id") % 4).cast("string"))), "generation_error": F.when(F.col("id") % 5 == 0, F.concat(F.lit("error "), (F.col("id") % 8).cast("string"))),
+        "tags": F.when(F.col("id") % 2 == 0, F.array(F.concat(F.lit("Tag "), (F.col("id") % 9).cast("string")), F.lit("other"))),
+    })
+    groups = view(spark, d, "groups")
+    found = [listing.search_guides(g, groups, q, status=s) for q, s in ((" AN", "DRAFT"), ("tag 4", None), ("Error 5", None), ("GPT-3", None), ("24", "FAILED"))]
+    return reduce(DataFrame.union, found).select("id", "group_id").distinct()
 
 
 @query(ctes("guides", "guide_source_messages", "messages") + """
@@ -331,8 +342,9 @@ def source_summary(spark, d):
     return listing.source_summary(view(spark, d, "guide_source_messages"))
 
 
-@query(ctes("guides") + "\nselect a.id as guide_id, b.id as related_id from guides a join guides b on a.group_id is not distinct from b.group_id and a.id <> b.id")
+@query(ctes("guides") + "\nselect id as guide_id, min(id) over (partition by group_id) as class_id, count(*) over (partition by group_id) - 1 as related from guides")
 def related_guides(spark, d):
+    """Each guide with the group of guides it is related to, and how many others that has; the list of given guides is ``listing.related_to``."""
     return listing.related_guides(view(spark, d, "guides"))
 
 
@@ -638,21 +650,4 @@ def reorder_rules(spark, d):
 # ---- the whole pipeline
 
 
-@query()
-def pipeline_independent(spark, d):
-    """Statuses of all open messages, each judged on the snapshot (checked against a plain evaluator in the tests)."""
-    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).statuses
-
-
-@query()
-def pipeline_sequential(spark, d):
-    """Statuses of all open messages as if the queue were drained one by one (checked in the tests)."""
-    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups"), sequential=True).statuses
-
-
-@query()
-def pipeline_traces(spark, d):
-    return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).traces
-
-
 from confab.plans import details  # noqa: E402, F401  further queries, registered as they are defined

@@ -10,7 +10,7 @@ from confab import config as K
 from confab.functions import text as X
 from confab.operators import chains, classify, guides, listing, monitor, mutations, rules, scoring
 from confab.plans import pipeline
-from confab.plans.catalog import CH, D, FEATURES, INCOMING, KEYWORD_SQL, LINEAR_SQL, PREFILTER, RAW, RULES_SQL, TERMS, TEXTS, B, E, _collected, _incoming, _parsed, _rule_sql, query
+from confab.plans.catalog import CH, D, FEATURES, INCOMING, KEYWORD_SQL, KW, LINEAR_SQL, PREFILTER, RAW, RULES_SQL, TERMS, TEXTS, TRIM, B, E, _collected, _incoming, _parsed, _rule_sql, query
 from confab.sources.derived import ctes, view
 from confab.streaming import ingest
 
@@ -423,9 +423,11 @@ def pipeline_outcomes(spark, d):
     return got.select("id", "outcome", F.round("classifier_score", 9).alias("classifier_score"))
 
 
-@query(CH + f""", {ctes('groups').removeprefix('with ')}, {OUTCOMES}, s as (select 'RULES' as stage, rules_ok as ok from gate where at_rules union all select 'SIGNAL_SCORING', score_ok from gate where at_rules and rules_ok
- union all select 'CLASSIFICATION', found from gate where at_rules and rules_ok and score_ok union all select 'GUIDE_GENERATION', true from gate where at_rules and rules_ok and score_ok and found)
-select stage, case when ok then 'PASSED' else 'REJECTED' end as status, count(*) as messages from s group by all""")
+@query(CH + f""", {ctes('groups').removeprefix('with ')}, {OUTCOMES}, s as (select 'RULES' as stage, case when rules_ok then 'PASSED' else 'REJECTED' end as status from gate where at_rules
+ union all select 'SIGNAL_SCORING', case when score_ok then 'PASSED' else 'SKIPPED' end from gate where at_rules and rules_ok
+ union all select 'CLASSIFICATION', case when pass then 'PASSED' else 'SKIPPED' end from e join gate on gate.id = e.root_id where at_rules and rules_ok and score_ok and pos <= coalesce(stop_at, 9)
+ union all select 'GUIDE_GENERATION', 'COMPLETED' from gate where at_rules and rules_ok and score_ok and found)
+select stage, status, count(*) as messages from s group by all""")
 def pipeline_trace_counts(spark, d):
     return pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).traces.groupBy("stage", "status").agg(F.count("*").alias("messages"))
 
@@ -440,4 +442,82 @@ def pipeline_snapshot(spark, d):
     return after.select("id", "processing_status", F.col("guide_id").isNotNull().alias("has_guide"))
 
 
+#: Numbers with a fraction stand as # in texts, since the engines print them differently.
+MASK, MASKED = r"-?\d+\.\d+(E-?\d+)?", "#"
+WEIGHTS = K.LINEAR_MODEL["features"]
+_raw_terms = ", ".join(f"struct_pack(n := '{n}', v := {n}, t := {D(w)} * {n}, i := {i})" for i, (n, w) in enumerate(WEIGHTS.items()))
+_hits = ", ".join(f"case when contains(lower(t), '{w}') then '{w}' end" for w in KW)
+#: What every attempt says, its guide and its chain, on top of OUTCOMES. Linear reasons are printed as they are, since guides count their characters.
+ATTEMPTS = f"""said_kw as (select root_id, 0 as pos, case when len(h) > 0 then 'keywords: ' || array_to_string(h, ', ') else 'no keyword found' end as why from (select root_id, list_filter([{_hits}], lambda x: x is not null) as h from texts)),
+said_how as (select root_id, 1 as pos, case when regexp_matches(t, '(?i){B}how to{E}|{B}step \\d+') then 'pattern found' else 'pattern not found' end as why from texts),
+tops as (select root_id, raw, list_transform(list_sort(list_transform(terms, lambda x: struct_pack(o := -abs(x.t), i := x.i, n := x.n, v := x.v, t := x.t)))[1:5], lambda x: printf('%s=%.3f -> %.3f', x.n, x.v, x.t)) as top from (select root_id, {RAW} as raw, [{_raw_terms}] as terms from f)),
+said_lin as (select root_id, 2 as pos, printf('score=%.3f raw=%.3f | top: ', 1 / (1 + exp(-raw)), raw) || array_to_string(top, ', ') as why from tops),
+why as (select * from said_kw union all select * from said_how union all select * from said_lin),
+att as (select e.root_id, e.pos, e.score, e.matched, e.pass, w.why, ['keywords', 'how-to pattern', 'linear model'][e.pos + 1] as name, ['KEYWORD', 'REGEX', 'LINEAR_MODEL'][e.pos + 1] as kind from e join why w on w.root_id = e.root_id and w.pos = e.pos
+ join gate g on g.id = e.root_id where at_rules and rules_ok and score_ok and e.pos <= coalesce(stop_at, 9)),
+chosen as (select root_id, arg_max(pos, (pass, score, -pos)) as pos, arg_max(score, (pass, score, -pos)) as score, arg_max(name || ': ' || why, (pass, score, -pos)) as said, arg_max(why, (pass, score, -pos)) as why from att group by root_id),
+reason as (select g.id, case when not at_rules then skip_reason when not rules_ok then r.reason when not score_ok then 'low score' else c.said end as reason, r.reason as rule_reason from gate g join pre using (id) join reasons r using (id) left join chosen c on c.root_id = g.id),
+lines as (select root_id, count(*) as n, sum(length(coalesce(text, ''))) as chars, string_agg('- **' || sender_name || '**: ' || case when regexp_matches(coalesce(text, ''), '\\S') then {TRIM} else '[empty]' end, chr(10) order by position) as body,
+ coalesce(arg_min({TRIM}, position) filter (regexp_matches(coalesce(text, ''), '\\S')), 'Local draft') as first from chain join messages using (id) group by root_id),
+guide as (select root_id, n, chars // 3 as input_tokens, case when length(first) > 90 then substring(first, 1, 90) || '...' else first end as title, body from lines join gate g on g.id = root_id where at_rules and rules_ok and score_ok and found),
+made as (select guide.*, c.pos, c.score, '# ' || title || chr(10) || chr(10) || '- score: ' || printf('%.3f', c.score) || chr(10) || '- reasoning: ' || c.why || chr(10) || chr(10) || '## Messages' || chr(10) || chr(10) || body as content from guide join chosen c using (root_id)),
+priced as (select *, greatest((length(content) + length(title)) // 3, 200) as output_tokens from made)"""
+#: OUTCOMES with reasons of rules; REASONS has the rules' own tables.
+WITH_REASONS = CH + f", {ctes('groups').removeprefix('with ')}, {OUTCOMES.replace(RULES_SQL, REASONS)}, {ATTEMPTS}"
+
+
+def masked(c):
+    return F.regexp_replace(c, MASK, MASKED)
+
+
+MASK_SQL = lambda c: f"regexp_replace({c}, '{MASK}', '{MASKED}', 'g')"
+
+
+@query(WITH_REASONS + f""" select g.id, case when at_rules and rules_ok and score_ok and found then 'GUIDE_FOUND' else 'SKIPPED' end as outcome, {MASK_SQL('r.reason')} as reason, round(s.signal_score, 9) as signal_score,
+ round(c.score, 9) as classifier_score, case when at_rules and rules_ok and score_ok and found then g.id end as guide_id, cast(to_json(struct_pack(passed := rules_ok, reason := r.rule_reason)) as varchar) as rule_result_json
+from gate g join reason r using (id) join scored s using (id) left join chosen c on c.root_id = g.id""")
+def pipeline_independent(spark, d):
+    """Statuses of all open messages, each judged on the snapshot."""
+    s = pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).statuses
+    return s.select("id", "outcome", masked("reason").alias("reason"), F.round("signal_score", 9).alias("signal_score"), F.round("classifier_score", 9).alias("classifier_score"), "guide_id", "rule_result_json")
+
+
+CHECKS = f"""checks as (select id, stop, hits, names, [{', '.join(f"'{r.action}'" for r, _ in _parsed)}] as actions, list_transform(details, lambda x: substring(x, position('": ' in x) + 3)) as plain from said)"""
+
+
+@query(WITH_REASONS + f""", {CHECKS}, t as (
+ select g.id, 'RULES' as stage, 0 as attempt, case when rules_ok then 'PASSED' else 'REJECTED' end as status, array_to_string(list_transform(range(1, coalesce(r.stop, len(r.hits)) + 1), lambda i: r.names[i] || ':' || r.actions[i] || ' [' || r.plain[i] || ']'), '; ') as input,
+  cast(to_json(struct_pack(passed := rules_ok, reason := q.rule_reason)) as varchar) as output, null::bigint as classifier_id, null::varchar as model, 0::bigint as input_tokens, 0::bigint as output_tokens, 0::double as cost_usd, rules_ok::int::double as score, null::double as confidence, q.rule_reason as reason
+ from gate g join reason q using (id) join checks r using (id) where at_rules
+ union all select g.id, 'SIGNAL_SCORING', 0, case when score_ok then 'PASSED' else 'SKIPPED' end, null::varchar, 'totalScore=# threshold=#', null::bigint, null::varchar, 0, 0, 0, round(s.signal_score, 9), null, 'Score # ' || case when score_ok then 'above' else 'below' end || ' threshold #' from gate g join scored s using (id) where at_rules and rules_ok
+ union all select root_id, 'CLASSIFICATION', pos, case when pass then 'PASSED' else 'SKIPPED' end, 'classifierType=' || kind || ' | classifierId=' || (pos + 1) || ' | classifierName=' || name || ' | chainSize=' || n || ' | providerId=null',
+  {MASK_SQL("cast(to_json(struct_pack(score := score, matched := matched, reasoning := why)) as varchar)")}, pos + 1, null::varchar, 0, 0, 0, round(score, 9), null, {MASK_SQL("name || ': ' || why")} from att join lines using (root_id)
+ union all select root_id, 'GUIDE_GENERATION', 0, 'COMPLETED', 'providerId=LOCAL_FALLBACK | model=local-fallback | promptId=null | chainSize=' || n || ' | classifierScore=#', null, pos + 1, 'local-fallback', input_tokens, output_tokens, round((input_tokens + output_tokens) * 0.00002::double, 6), null, 0.55, {MASK_SQL("'LOCAL_FALLBACK | Title: ' || title")} from priced)
+select sha256(t.id || '|' || stage || '|' || attempt) as trace_id, t.id as message_id, m.group_id, stage, attempt, status, case when length(input) > 2000 then substring(input, 1, 2000) || '...' else input end as input, output, classifier_id, model, cast(input_tokens as bigint) as input_tokens, cast(output_tokens as bigint) as output_tokens,
+ cost_usd, score, confidence, reason from t join messages m on m.id = t.id""")
+def pipeline_traces(spark, d):
+    """Every trace, all columns but times (prompts, providers and errors are null without a model); long inputs and outputs of scores and guides are left to the tests."""
+    t = pipeline.run(view(spark, d, "messages"), view(spark, d, "groups")).traces
+    kept = F.col("stage").isin("RULES", "CLASSIFICATION")
+    return t.select(
+        "trace_id", "message_id", "group_id", "stage", "attempt", "status", F.when(F.col("stage") == "GUIDE_GENERATION", masked("input")).when(kept, F.col("input")).alias("input"),
+        F.when(F.col("stage") == "RULES", F.col("output")).when(F.col("stage") != "GUIDE_GENERATION", masked("output")).alias("output"), "classifier_id", "model", "input_tokens", "output_tokens", "cost_usd", F.round("score", 9).alias("score"), "confidence",
+        F.when(F.col("stage") == "RULES", F.col("reason")).otherwise(masked("reason")).alias("reason"),
+    )
+
+
+@query(CH + f""", {ctes('groups').removeprefix('with ')}, {OUTCOMES},
+c as (select *, row_number() over (order by message_date, id) as k from (select m.id, m.message_date, (select list(o.id) from chain h join messages o on h.id = o.id where h.root_id = m.id and o.processing_status = 'UNPROCESSED' and (o.message_date, o.id) > (m.message_date, m.id)) as holds
+ from messages m join gate g using (id) where at_rules and rules_ok and score_ok and found)),
+walk(k, taken) as (select 0::bigint, []::bigint[] union all select c.k, case when list_contains(taken, c.id) or holds is null then taken else list_concat(taken, holds) end from walk join c on c.k = walk.k + 1),
+accepted as (select c.* from c join walk on walk.k = c.k - 1 where not list_contains(taken, c.id)),
+used as (select id, arg_min(root, k) as root from (select unnest(holds) as id, id as root, k from accepted) group by id)
+select g.id, case when u.root is not null or a.id is not null then 'GUIDE_FOUND' else 'SKIPPED' end as outcome, coalesce(u.root, a.id) as guide_id, case when u.root is null and at_rules and rules_ok and score_ok then round(best, 9) end as classifier_score
+from gate g left join used u on u.id = g.id left join accepted a on a.id = g.id""")
+def pipeline_sequential(spark, d):
+    """Statuses of all open messages as if the queue were drained one by one."""
+    s = pipeline.run(view(spark, d, "messages"), view(spark, d, "groups"), sequential=True).statuses
+    return s.select("id", "outcome", "guide_id", F.round("classifier_score", 9).alias("classifier_score"))
+
+
 assert set(FEATURES) >= set(K.LINEAR_MODEL["features"])

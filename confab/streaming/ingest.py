@@ -26,9 +26,12 @@ def feed_text(kind: Column, text: Column) -> Column:
 
 
 def to_messages(feed: DataFrame, now: Column) -> DataFrame:
-    """Feed records as messages; 0 stands for no thread and no reply, a date that is not positive for now."""
+    """Feed records as messages; 0 stands for no thread and no reply, a date that is not positive for now.
+
+    A message's id is a hash of its chat and number, the same whenever it comes; its group has the chat's number.
+    """
     return feed.select(
-        F.col("chat_id").alias("telegram_chat_id"), F.col("id").alias("telegram_message_id"), X.sender_or_unknown(F.col("sender_name")).alias("sender_name"),
+        F.xxhash64("chat_id", "id").alias("id"), F.col("chat_id").alias("group_id"), F.col("chat_id").alias("telegram_chat_id"), F.col("id").alias("telegram_message_id"), X.sender_or_unknown(F.col("sender_name")).alias("sender_name"),
         F.col("sender_id").alias("sender_telegram_user_id"), F.coalesce("is_bot", F.lit(False)).alias("is_bot"), feed_text(F.col("content_type"), F.col("text")).alias("text"),
         F.nullif("reply_to", F.lit(0)).alias("reply_to_message_id"), F.lit(0).alias("reply_count"), F.nullif("thread_id", F.lit(0)).alias("topic_id"), "topic_name",
         F.when(F.col("date") > 0, F.timestamp_seconds("date").cast("timestamp_ntz")).otherwise(now).alias("message_date"), F.lit("UNPROCESSED").alias("processing_status"),
