@@ -50,6 +50,41 @@ BINS, PER_DECADE = 400, 10
 CLASSES = [31, 63, 127]
 
 
+#: Items that are folded at a time: within a block an array is built by appending, which copies it.
+BLOCK = 128
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(items: Column, state: Column, kind: str, step, prepare=None) -> Column:
+    """Items in order, each made into an array by ``step`` of a running state, all on end; work grows in proportion to the items.
+
+    step: (state, item, what ``prepare`` makes of a block) to (state, array). kind: the items' type. prepare: (state, block) to a value.
+    """
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+
+    def block_of(before: Column, block: Column) -> Column:
+        def fold(context: Column) -> Column:
+            def one(acc: Column, x: Column) -> Column:
+                after, made = step(acc["state"], x, context)
+                return F.struct(after.alias("state"), F.concat(acc["out"], made).alias("out"))
+
+            return F.aggregate(block, F.struct(before.alias("state"), empty.alias("out")), one)
+
+        return bound(F.lit(0) if prepare is None else prepare(before, block), fold)
+
+    def whole(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.lit(1), F.size(all_)) - 1) / BLOCK).cast("int"))
+        start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("outs"))
+        add = lambda acc, i: bound(block_of(acc["state"], F.slice(all_, i * BLOCK + 1, F.lit(BLOCK))), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+        return F.flatten(F.aggregate(blocks, start, add)["outs"])
+
+    return bound(items, whole)
+
+
 def found(text: Column, pattern: str, keep: str) -> Column:
     """array<struct<start,end,text>> of the leftmost non-overlapping matches for which ``keep`` holds.
 
@@ -57,16 +92,15 @@ def found(text: Column, pattern: str, keep: str) -> Column:
     running lengths are offsets.
     """
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("g"), F.split(text, pattern).alias("before"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string,g:string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["before"])
-        end = at + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text"), x["g"].alias("g")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def step(at: Column, x: Column, _: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["before"])
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), x["g"].alias("g")))
+        # arrays_zip pads the matches, of which there is one less than of pieces, with a null
+        return end, F.when(x["m"].isNull(), F.slice(one, 1, 0)).otherwise(one)
 
-    # arrays_zip pads the matches, of which there is one less than of pieces, with a null
-    all_ = F.aggregate(zipped, start, step, lambda a: a["out"])
+    all_ = in_blocks(zipped, F.lit(0), "struct<start:int,end:int,text:string,g:string>", step)
     return F.transform(F.filter(all_, lambda x: _keep(keep, x)), lambda x: F.struct(x["start"], x["end"], x["text"]))
 
 
@@ -213,6 +247,32 @@ def group_of(t: Column) -> Column:
     return t["enc"] * (len(CLASSES) + 1) + length_class(t["size"])
 
 
+def untouched(spans: Column, others: Column) -> Column:
+    """struct<start,end> of the spans that none of the others overlaps. spans: not overlapping, by start.
+
+    All stand in one array by where they begin. On the way up, a span is touched by what has begun and not ended; on the way down, by what
+    begins before its end.
+    """
+    kind = "start:int,end:int,own:boolean"
+    of = lambda a, own: F.transform(a, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(own).alias("own")))
+    one = lambda x, free: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["own"].alias("own"), free.alias("free")))
+    none = lambda a: F.slice(a, 1, 0)
+
+    def up(ended: Column, x: Column, _: Column) -> tuple[Column, Column]:
+        return F.when(x["own"], ended).otherwise(F.greatest(ended, x["end"])), one(x, ~x["own"] | (ended <= x["start"]))
+
+    def down(begun: Column, x: Column, _: Column) -> tuple[Column, Column]:
+        free = x["own"] & x["free"] & (begun >= x["end"])
+        return F.when(x["own"], begun).otherwise(x["start"]), F.when(free, one(x, free)).otherwise(none(one(x, free)))
+
+    events = F.array_sort(F.concat(of(spans, True), of(others, False)))
+    risen = in_blocks(events, F.lit(-1), f"struct<{kind},free:boolean>", up)
+    fallen = F.reverse(in_blocks(F.reverse(risen), F.lit(2**31 - 1), f"struct<{kind},free:boolean>", down))
+    kept = F.transform(fallen, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    plain = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), plain).otherwise(kept)
+
+
 def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, prefix: str = "") -> DataFrame:
     """``docs`` with spans: array<struct<start,end,kind>>, by start and then kind."""
     name = prefix + "spans"
@@ -230,22 +290,27 @@ def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, prefix: s
     fixed = F.concat(*(kinds(s, k) for k, s in spans.items()))
     marked = base.withColumn(held, tested(candidates)).withColumn(name, fixed)
     limit = lambda t: F.element_at(F.array(*map(F.lit, most)), group_of(t) + 1)
-    hits = F.filter(held, lambda t: t["random"] & (p_bin(t["p"]) >= limit(t)) & ~F.exists(name, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    hits = untouched(F.filter(held, lambda t: t["random"] & (p_bin(t["p"]) >= limit(t))), F.col(name))
     joined = F.array_sort(F.concat(name, kinds(hits, "random")))
     kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["order"] + 1)
     return marked.withColumn(name, F.transform(joined, lambda x: F.struct(x["start"], x["end"], kind(x).alias("kind")))).drop(held)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each maximal stretch that spans cover replaced by ``mark``."""
+    """The text with each maximal stretch that spans (by start) cover replaced by ``mark``."""
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def stretch(at: Column, block: Column) -> Column:
+        """The block's part of the text, and where it begins: pieces are cut out of it, not out of the whole text."""
+        upto = F.greatest(at, F.array_max(F.transform(block, lambda s: s["end"])))
+        return F.struct(F.substring(text, at + 1, upto - at).alias("t"), at.alias("from"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def step(at: Column, s: Column, part: Column) -> tuple[Column, Column]:
+        pieces = F.array(F.substring(part["t"], at - part["from"] + 1, s["start"] - at), F.lit(mark))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, pieces).otherwise(F.slice(pieces, 1, 0))
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    pieces = in_blocks(spans, F.lit(0), "string", step, stretch)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text))))
 
 
 def digest(spans: Column) -> Column:
