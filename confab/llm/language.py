@@ -4,12 +4,13 @@ Training. 4-grams of lower-cased letters (anything between two letters is one bo
 bounded sample of the labelled documents: distinct texts in the order of their hash, until a language has ``sample_chars``
 characters, so each language has one text at least and copies count once. Every label is learned; that bound a language is
 what makes the model's size, and so the broadcast, follow the number of labels only. Lower orders use
-continuation counts, each order its own discount. For every n-gram seen in any language the log probability in all
-languages is worked out once; a model is, for each order, an array of sorted 64-bit hashes beside a matrix of such rows,
-and the same for the back-off weights of contexts.
+continuation counts, each order its own discount. A model is, for each order, an array of sorted 64-bit hashes of n-grams beside
+the languages that have each and its log probability there, and the same for the back-off weights of contexts: an entry for
+what a language has, none for what it has not.
 
-Scoring. Each position of a text is looked up by its hash, longest order first; a language's cross-entropy is its mean bits
-a symbol, and the lowest wins. A tenth of the sample, and never all texts of a language, is kept out of the counts for calibration: it gives the logistic from
+Scoring. The distinct 4-grams of a slice are looked up by hash, shortest order first: where a language has the context, its
+back-off weight is added, and where it has the n-gram, its probability takes the place of what shorter ones gave. A language's
+cross-entropy is its mean bits a symbol, and the lowest wins. A tenth of the sample, and never all texts of a language, is kept out of the counts for calibration: it gives the logistic from
 evidence to ``score``, and the cross-entropy, by length, beyond which a text is in none of the languages (``rejected``).
 
 Defined cases: a text that is null or has no letter is ``und``, score 0 and rejected; so is every text if nothing is
@@ -38,6 +39,8 @@ ORDER = 4
 SAMPLE_CHARS = 4_000_000
 #: Ranges of hashes in which a language's characters are summed before its sample is cut.
 RANGES = 1 << 14
+#: Numbers of a matrix of 4-grams and languages that is held at once.
+CELLS = 1 << 22
 #: Bits beyond the worst calibration text, and standard errors for short texts, at which a text is rejected.
 SLACK_BITS, SLACK_ERRORS = 0.75, 6.0
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType())]
@@ -93,21 +96,31 @@ def low(key: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Rows of floats under sorted hashes."""
+    """Under each of some sorted hashes, values of a few languages: entries ``first[i]`` to ``first[i + 1]``."""
 
     hashes: np.ndarray
-    rows: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, rows: np.ndarray) -> Table:
-        h = mix(keys)
-        order = np.argsort(h)
-        return cls(h[order], rows[order].astype(np.float32))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """parts: by language, distinct keys and a value of each."""
+        h = np.concatenate([mix(k) for k, _ in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        order = np.argsort(h, kind="stable")
+        hashes, first = np.unique(h[order], return_index=True)
+        return cls(hashes, np.append(first, len(h)).astype(np.int64), lang[order], np.concatenate([v for _, v in parts])[order].astype(np.float32))
+
+    def entries(self, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all keys that are there, the places of their entries in a matrix of keys and languages, and the values."""
         h = mix(keys)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
+        hit = np.flatnonzero(self.hashes[at] == h)
+        size = self.first[at[hit] + 1] - self.first[at[hit]]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at[hit]] - ends + size, size)
+        return np.repeat(hit * width, size) + self.lang[entry], self.value[entry]
 
 
 @dataclass
@@ -123,24 +136,32 @@ class Model:
 
     def log2(self, keys: np.ndarray) -> np.ndarray:
         """log2 of each position's probability, by language."""
-        out = np.zeros((len(keys), len(self.languages)), np.float32)
-        rest = np.arange(len(keys))
-        for n in range(ORDER, 0, -1):
-            at, hit = self.grams[n].find(low(keys[rest], n))
-            out[rest[hit]] += self.grams[n].rows[at[hit]]
-            rest = rest[~hit]
-            if not len(rest):
-                return out
-            at, hit = self.contexts[n].find(low(keys[rest], n) >> U(16))
-            out[rest[hit]] += self.contexts[n].rows[at[hit]]
-        out[rest] += self.unknown
+        width = len(self.languages)
+        out = np.tile(self.unknown.astype(np.float32), (len(keys), 1))
+        flat = out.reshape(-1)
+        for n in range(1, ORDER + 1):
+            if n > 1:  # the back-off to no n-gram at all is part of ``unknown``
+                at, weight = self.contexts[n].entries(low(keys, n) >> U(16), width)
+                flat[at] += weight
+            at, p = self.grams[n].entries(low(keys, n), width)
+            flat[at] = p
         return out
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each text by language, its number of symbols, and whether it has a letter."""
         keys, owner, has = symbols(texts)
-        p = self.log2(keys)
-        total = np.stack([-np.bincount(owner, weights=p[:, i], minlength=len(texts)) for i in range(len(self.languages))], axis=1)
+        distinct, place = np.unique(keys, return_inverse=True)
+        width = len(self.languages)
+        total = np.zeros((len(texts), width))
+        # How often each text has each distinct 4-gram, so that a block of 4-grams serves all texts at once.
+        pair, times = np.unique(place * np.int64(len(texts)) + owner, return_counts=True)
+        gram, text = np.divmod(pair, max(len(texts), 1))
+        step = max(1, CELLS // width)
+        for at in range(0, len(distinct), step):
+            p = self.log2(distinct[at : at + step])
+            own = slice(*np.searchsorted(gram, (at, at + step)))
+            for i in range(width):
+                total[:, i] -= np.bincount(text[own], weights=p[gram[own] - at, i] * times[own], minlength=len(texts))
         return total, np.bincount(owner, minlength=len(texts)), has
 
     def predict(self, texts: list[str | None]) -> list[list]:
@@ -165,43 +186,39 @@ def evidence(total: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """counts: by language, distinct packed 4-grams and how often each occurs."""
+    """counts: by language, distinct packed 4-grams (ascending) and how often each occurs. Each language is worked out by itself."""
     model = Model(sorted(counts))
     if not model.languages:
         return model
-    by_order: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+    seen = np.unique(np.concatenate([np.unique(low(counts[x][0], 1)) for x in model.languages]))
+    size, unknown = len(seen) + 1, []
+    grams: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}
+    contexts: dict[int, list] = {n: [] for n in range(2, ORDER + 1)}
     for lang in model.languages:
         keys, c = counts[lang]
         own = {ORDER: (keys, c.astype(np.float64))}
         for n in range(ORDER - 1, 0, -1):  # in how many different contexts an n-gram follows
             k, c = np.unique(low(own[n + 1][0], n), return_counts=True)
             own[n] = (k, c.astype(np.float64))
-        by_order.append(own)
-    size = len(np.unique(np.concatenate([o[1][0] for o in by_order]))) + 1
-    width = len(model.languages)
-    lower = None
-    for n in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([o[n][0] for o in by_order]))
-        ctx_union = np.unique(union >> U(16)) if n > 1 else np.zeros(1, U)
-        p, gamma = np.zeros((len(union), width)), np.ones((len(ctx_union), width))
-        for i, own in enumerate(by_order):
+        lower = None
+        for n in range(1, ORDER + 1):
             k, c = own[n]
             once, twice = (c == 1).sum(), (c == 2).sum()
             d = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
-            ctx = np.searchsorted(ctx_union, k >> U(16) if n > 1 else np.zeros(len(k), U))
-            total, kinds = np.bincount(ctx, weights=c, minlength=len(ctx_union)), np.bincount(ctx, minlength=len(ctx_union))
-            gamma[total > 0, i] = d * kinds[total > 0] / total[total > 0]
-            p[np.searchsorted(union, k), i] = np.maximum(c - d, 0) / total[ctx]
-        back = np.full((len(union), width), 1.0 / size) if n == 1 else lower[1][np.searchsorted(lower[0], low(union, n - 1))]
-        p += gamma[np.searchsorted(ctx_union, union >> U(16) if n > 1 else np.zeros(len(union), U))] * back
-        lower = (union, p)
-        model.grams[n] = Table.of(union, np.log2(p))
-        if n == 1:
-            model.unknown = np.log2(gamma[0] / size).astype(np.float32)
-            model.contexts[1] = Table(np.zeros(1, U), np.zeros((1, width), np.float32))
-        else:
-            model.contexts[n] = Table.of(ctx_union, np.log2(gamma))
-    model.contexts[1].rows[:] = 0  # the order-1 back-off is part of ``unknown``
+            ctx_keys, ctx = np.unique(k >> U(16) if n > 1 else np.zeros(len(k), U), return_inverse=True)
+            total, kinds = np.bincount(ctx, weights=c), np.bincount(ctx)
+            gamma = d * kinds / total
+            back = 1.0 / size if n == 1 else lower[1][np.searchsorted(lower[0], low(k, n - 1))]
+            p = np.maximum(c - d, 0) / total[ctx] + gamma[ctx] * back
+            lower = (k, p)
+            grams[n].append((k, np.log2(p)))
+            if n == 1:
+                unknown.append(np.log2(gamma[0] / size))
+            else:
+                contexts[n].append((ctx_keys, np.log2(gamma)))
+    model.unknown = np.array(unknown, np.float32)
+    model.grams = {n: Table.of(parts) for n, parts in grams.items()}
+    model.contexts = {n: Table.of(parts) for n, parts in contexts.items()}
     return model
 
 
