@@ -153,6 +153,11 @@ class Model:
         distinct, place = np.unique(keys, return_inverse=True)
         width = len(self.languages)
         total = np.zeros((len(texts), width))
+        if len(distinct) * width <= CELLS:
+            p = self.log2(distinct)
+            for i in range(width):
+                total[:, i] = -np.bincount(owner, weights=p[:, i][place], minlength=len(texts))
+            return total, np.bincount(owner, minlength=len(texts)), has
         # How often each text has each distinct 4-gram, so that a block of 4-grams serves all texts at once.
         pair, times = np.unique(place * np.int64(len(texts)) + owner, return_counts=True)
         gram, text = np.divmod(pair, max(len(texts), 1))
