@@ -7,9 +7,11 @@ cover it, and those that are windows of the benchmark word for word (64-bit hash
 each window once, and items that share the same windows as one set, so a passage of a thousand items costs a document no more
 than one of a single item.
 
-The benchmark is the stated, small side. It is indexed in blocks of at most ``block_bytes`` of text; a block is what is
-broadcast, so its size is bounded whatever the benchmark's size. Documents are mapped where they lie: no shuffle, no state
-that grows with documents, and copies or frequent passages cost no more than other text.
+A benchmark of at most ``block_bytes`` of text is indexed once and broadcast, and documents are mapped where they lie: no shuffle, no
+state that grows with documents, and copies or frequent passages cost no more than other text. A larger one stays where it is:
+its kept hashes and its windows are tables, the documents' kept hashes are joined to the first, the windows around those that
+are there to the second, and what is hit comes back to the documents by a hash of their text. A map of bits of the kept hashes,
+of bounded size, keeps most hashes of documents from moving. Either way gives the same rows.
 
 Defined cases: a null text has no words; null item ids mark hits but are not listed; items with the same id are one item;
 an item of fewer than ``SPAN`` words, but not none, is one window of its own length; empty tables give no hits.
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 
 from confab.llm import common, wordhash as wh
 
+U = np.uint64
+
 SPAN, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
 
@@ -130,8 +134,8 @@ def matches(words: np.ndarray, first: np.ndarray, index: Index) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list, list] | None) -> list[pa.Array]:
-    """n_words, hit_spans and item_ids of each text; before: what earlier blocks found."""
+def scan(batch: pa.RecordBatch, text_col: str, index: Index) -> list[pa.Array]:
+    """n_words, hit_spans and item_ids of each text."""
     data, offsets = common.buffers(batch.column(text_col))
     low, starts, ends, first = wh.bounds(data, offsets, wh.ALNUM)
     words = wh.word_hashes(low, starts, ends)
@@ -141,11 +145,6 @@ def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list,
     np.add.at(change, at + size, -1)
     owner = wh.owners(first)
     n = len(first) - 1
-    spans, ids = before or ([[] for _ in range(n)], [[] for _ in range(n)])
-    for i, found in enumerate(spans):
-        for s in found or ():
-            change[first[i] + s["start"]] += 1
-            change[first[i] + s["end"]] -= 1
     hit = np.cumsum(change[:-1]) > 0
     edge = np.zeros(len(words), bool)  # spans never run on into the next text
     edge[first[:-1][first[:-1] < len(words)]] = True
@@ -156,7 +155,7 @@ def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list,
     for a, b in zip(run_start.tolist(), run_end.tolist(), strict=True):
         i = owner[a]
         got[i].append({"start": a - int(first[i]), "end": b - int(first[i])})
-    have = [set(x or ()) for x in ids]
+    have: list[set] = [set() for _ in range(n)]
     if len(at):
         pair = np.unique(owner[at] * len(index.sets) + found_sets)
         for i, k in zip((pair // len(index.sets)).tolist(), (pair % len(index.sets)).tolist(), strict=True):
@@ -164,18 +163,123 @@ def scan(batch: pa.RecordBatch, text_col: str, index: Index, before: tuple[list,
     return [pa.array(np.diff(first)), pa.array(got, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in have], pa.list_(pa.string()))]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The benchmark's items, at most ``most`` bytes of text at a time; one partition at a time reaches the driver."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    for row in rows.toLocalIterator():
-        n = len(row.t.encode())
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
-    yield block
+def merged(found: list[list[dict]], sizes: np.ndarray) -> pa.Array:
+    """Stretches of words that windows (start, n) cover, by text."""
+    out = []
+    for hits, size in zip(found, sizes.tolist(), strict=True):
+        change = np.zeros(size + 2, np.int64)
+        np.add.at(change, [h["start"] + 1 for h in hits], 1)
+        np.add.at(change, [h["start"] + h["n"] + 1 for h in hits], -1)
+        edges = np.flatnonzero(np.diff(np.cumsum(change) > 0))
+        out.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+
+def benchmark_hashes(items: DataFrame, span: int, gram: int) -> DataFrame:
+    """n, h and item: the kept hashes (n = 0) and the windows (n words) of items. items: item and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                data, offsets = common.buffers(part.column("text"))
+                low, starts, ends, first = wh.bounds(data, offsets, wh.ALNUM)
+                words = wh.word_hashes(low, starts, ends)
+                sizes, owner = np.diff(first), wh.owners(first)
+                kept = winnow(words, first, span, gram)
+                kept = kept[sizes[owner[kept]] >= span] if len(kept) else kept
+                windows = window_hashes(words, span)
+                begin = np.flatnonzero(np.arange(len(windows)) + span <= np.repeat(first[1:], sizes)[: len(windows)])
+                found = [(np.zeros(len(kept), np.int64), wh.mix(wh.grams(words, gram))[kept], owner[kept]), (np.full(len(begin), span), windows[begin], owner[begin])]
+                for n in np.unique(sizes[(sizes > 0) & (sizes < span)]).tolist():
+                    item = np.flatnonzero(sizes == n)
+                    found.append((np.full(len(item), n), wh.mix(wh.grams(words, n))[first[:-1][item]], item))
+                n, h, item = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(h.view(np.int64)), part.column("item").take(pa.array(item))], names=["n", "h", "item"])
+
+    return items.mapInArrow(run, "n long, h long, item string")
+
+
+#: Bits of the map of a large benchmark's hashes: 16 MB.
+MAP_BITS = 1 << 27
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bytes of a map with 16 bits for each of the hashes (h), ``MAP_BITS`` at most; beyond that it lets more pass, none less."""
+    bits = min(MAP_BITS, 1 << max(10, (16 * hashes.count()).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    found = hashes.select(F.shiftright(slot, 3).alias("at"), F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(bits >> 3, np.uint8)
+    table[found.column("at").to_numpy()] = found.column("bit").to_numpy()
+    return table
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of those of the map."""
+    slot = (hashes & U(8 * len(table) - 1)).astype(np.int64)
+    return table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
+
+def document_hashes(texts: DataFrame, table: np.ndarray, span: int, gram: int, short: list[int]) -> DataFrame:
+    """r, at, n, h and w of texts (r, text): kept hashes that pass the map (n = 0), with the windows from at - span + gram on that cover them; runs of short lengths (n)."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+    back = span - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                data, offsets = common.buffers(part.column("text"))
+                low, starts, ends, first = wh.bounds(data, offsets, wh.ALNUM)
+                words = wh.word_hashes(low, starts, ends)
+                owner = wh.owners(first)
+                begin, end = first[:-1][owner], first[1:][owner]
+                kept, hashes, windows = winnow(words, first, span, gram), wh.mix(wh.grams(words, gram)), window_hashes(words, span)
+                kept = kept[passes(shared.value, hashes[kept])] if len(kept) else kept
+                start = kept[:, None] + np.arange(-back, 1)[None, :]
+                ok = (start >= begin[kept][:, None]) & (start + span <= end[kept][:, None]) if len(kept) else np.zeros(start.shape, bool)
+                around = np.where(ok, windows[np.clip(start, 0, max(len(windows) - 1, 0))], U(0)) if len(windows) else np.zeros(start.shape, U)
+                found = [(kept, np.zeros(len(kept), np.int64), hashes[kept] if len(kept) else np.zeros(0, U), [x[y].view(np.int64) for x, y in zip(around, ok, strict=True)], [np.flatnonzero(y) - back for y in ok])]
+                for n in short:
+                    h = wh.mix(wh.grams(words, n))
+                    at = np.flatnonzero(np.arange(len(h)) + n <= end[: len(h)])
+                    at = at[passes(shared.value, h[at])]
+                    found.append((at, np.full(len(at), n), h[at], [np.zeros(0, np.int64)] * len(at), [np.zeros(0, np.int64)] * len(at)))
+                for at, n, h, w, shift in found:
+                    if len(at):
+                        mine = owner[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("r").take(pa.array(mine)), pa.array(at - first[:-1][mine]), pa.array(n), pa.array(h.view(np.int64)), pa.array(w, pa.list_(pa.int64())), pa.array(shift, pa.list_(pa.int64()))],
+                            names=["r", "at", "n", "h", "w", "shift"],
+                        )
+
+    return texts.mapInArrow(run, "r string, at long, n long, h long, w array<long>, shift array<long>")
+
+
+def mark_joined(docs: DataFrame, items: DataFrame, text_col: str, span: int, gram: int, fields: list[T.StructField]) -> DataFrame:
+    """``mark_contamination`` by joins. items: item and text."""
+    table = common.cut(benchmark_hashes(items, span, gram), "benchmark-hashes")
+    kept = common.cut(table.where("n = 0").select("h").distinct(), "benchmark-kept")
+    windows = common.cut(table.where("n > 0").groupBy("n", "h").agg(F.collect_set("item").alias("items")), "benchmark-windows")
+    short = sorted(r["n"] for r in windows.where(F.col("n") < span).select("n").distinct().collect())  # fewer than ``span``
+    marks = bit_map(kept.union(windows.where(F.col("n") < span).select("h")))
+    row, at, ids = (common.fresh(docs, c) for c in ("row", "at", "ids"))
+    keyed = docs.withColumn(row, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    seen = common.cut(document_hashes(keyed.select(F.col(row).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), marks, span, gram, short), "document-hashes")
+    around = seen.where("n = 0").join(kept, "h", "left_semi").select("r", "at", F.explode(F.arrays_zip("w", "shift")).alias("x")).select("r", (F.col("at") + F.col("x.shift")).alias("start"), F.lit(span).cast("long").alias("n"), F.col("x.w").alias("h")).distinct()
+    hits = around.unionByName(seen.where("n > 0").select("r", F.col("at").alias("start"), "n", "h")).join(windows, ["n", "h"])
+    found = hits.groupBy("r").agg(F.collect_set(F.struct("start", "n")).alias(at), F.collect_set("items").alias(ids))
+    found = common.cut(found.select(F.col("r").alias(row), at, F.array_sort(F.array_distinct(F.flatten(ids))).alias(ids)), "hits")
+    joined = keyed.join(found, row, "left")
+
+    def work():
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            data, offsets = common.buffers(batch.column(text_col))
+            sizes = np.diff(wh.bounds(data, offsets, wh.ALNUM)[3])
+            spans = merged([x or [] for x in batch.column(at).to_pylist()], sizes)
+            return [pa.array(sizes), spans, pa.array([x or [] for x in batch.column(ids).to_pylist()], pa.list_(pa.string()))]
+
+        return step
+
+    return common.add_columns(joined, text_col, fields, work).drop(row, at, ids)
 
 
 def mark_contamination(
@@ -184,29 +288,18 @@ def mark_contamination(
 ) -> DataFrame:
     """``docs`` with n_words, hit_spans (word positions, merged, end exclusive) and item_ids (sorted as strings).
 
-    Guarantees every shared span of ``span`` or more words. One narrow pass over ``docs`` for each benchmark block.
+    Guarantees every shared span of ``span`` or more words. block_bytes: text of a benchmark that is indexed as a whole.
     """
     spark = docs.sparkSession
     fields = [T.StructField(prefix + f.name, f.dataType) for f in FIELDS]
-    names = [f.name for f in fields]
-    first = True
-    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = spark.sparkContext.broadcast(Index(block, span, gram))
-        again = not first
-
-        def work(index=index, again=again):
-            if not again:
-                return lambda batch: scan(batch, text_col, index.value, None)
-            old = [f"_before_{n}" for n in names[1:]]
-            return lambda batch: scan(batch, text_col, index.value, tuple(batch.column(c).to_pylist() for c in old))
-
-        if again:
-            docs = docs.withColumnsRenamed({n: f"_before_{n}" for n in names[1:]})
-        docs = common.add_columns(docs, text_col, fields, work)
-        if again:
-            docs = docs.drop(*[f"_before_{n}" for n in names[1:]])
-        first = False
-    return docs
+    docs = common.without(docs, [f.name for f in fields])
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
+    # Rows count too: an index has a few dozen bytes for an item, however short.
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if size > block_bytes:
+        return mark_joined(docs, items, text_col, span, gram, fields)
+    index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in items.collect()], span, gram))
+    return common.add_columns(docs, text_col, fields, lambda: lambda batch: scan(batch, text_col, index.value))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

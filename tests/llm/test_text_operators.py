@@ -620,14 +620,14 @@ def small_model(train, more):
     return mixing_lm.Start(weights, np.clip(slope / (curve + 1), -1, 1)), grams[order], codes[order]
 
 
-def plain_lane(codes, rows, start):
+def plain_lane(codes, rows, start, sure=mixing_lm.SURE):
     """The same mixing, one bit after the other."""
     w, lifts, total = start.weights.astype(float).copy(), start.lifts.astype(float).copy(), 0.0
     for i, r in enumerate(rows):
         for bit in range(8):
             x, gate = codes[r, 4 * bit : 4 * bit + 4] / 12.0, int(codes[r, 32 + bit])
             s = min(10.4, max(-10.4, float(start.weights[gate] @ x)))
-            if abs(s) >= mixing_lm.SURE:  # as the lane begins
+            if sure is not None and abs(s) >= sure:  # as the lane begins
                 s = min(10.4, max(-10.4, s + ((s > 0) - (s < 0)) * start.lifts[bit * mixing_lm.LIFTS + int(abs(s) * 2)]))
                 total -= math.log1p(math.exp(-s))
                 continue
@@ -652,16 +652,19 @@ def test_online_mixing_is_one_bit_after_the_other():
     assert got == pytest.approx(alone, rel=1e-12)
 
 
-def test_long_texts_go_by_lanes(monkeypatch):
+@pytest.mark.parametrize("sure", [mixing_lm.SURE, 2.0, None])
+@pytest.mark.parametrize("lane", [100, 257, None])
+def test_long_texts_go_by_lanes(monkeypatch, lane, sure):
+    """A lane of None goes on to the text's end; with no sure bits every bit is coded online."""
     rng = random.Random(22)
-    monkeypatch.setattr(mixing_lm, "LANE", 100)
     monkeypatch.setattr(mixing_lm, "LANES", 3)
     texts = [prose(rng, n) for n in (90, 5, 60)]
     seen, first = mixing_lm.layout(*common.buffers(pa.array(texts)))
     start, grams, codes = small_model([prose(rng, 400)], seen)
     rows = np.searchsorted(grams, seen)
-    want = [sum(plain_lane(codes, rows[at : min(at + 100, b)].tolist(), start) for at in range(a, b, 100)) for a, b in zip(first[:-1], first[1:])]
-    assert mixing_lm.online(codes, rows, first, start) == pytest.approx(want, rel=1e-4)
+    size = lane or len(rows)
+    want = [sum(plain_lane(codes, rows[at : min(at + size, b)].tolist(), start, sure) for at in range(a, b, size)) for a, b in zip(first[:-1], first[1:])]
+    assert mixing_lm.online(codes, rows, first, start, sure, lane) == pytest.approx(want, rel=1e-4)
 
 
 def test_symbol_probabilities_sum_to_one():
@@ -723,7 +726,7 @@ def test_hot_passage_is_one_set():
     index = decontaminate.Index(items, 10, 5)
     assert len(index.windows) < 60 and len(index.sets) <= 4
     batch = pa.RecordBatch.from_pydict({"text": [f"{prose(rng, 5)} {passage}"] * 50})
-    ids = decontaminate.scan(batch, "text", index, None)[2].to_pylist()
+    ids = decontaminate.scan(batch, "text", index)[2].to_pylist()
     assert all(x == sorted([str(i) for i in range(500)] + ["own"]) for x in ids)
 
 
