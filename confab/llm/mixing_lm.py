@@ -8,11 +8,12 @@ by a further adaptive stage: a lift by number of the bit and size of the logit,
 prediction only uses what came before, and a bit's two probabilities add up to one, so the score is the logarithm of a proper
 probability of the whole text, and ``total_bits`` is the length of a code for it.
 
-Bits that the mixture is sure of where a lane begins (a logit of ``SURE`` and more, whichever value the bit then has) are coded
-by that mixture as it is; they cost next to nothing and would move next to nothing. All others are coded online.
+Bits that the mixture is sure of where a lane begins (a logit of ``sure`` and more, whichever value the bit then has) are coded
+by that mixture as it is; they cost next to nothing and would move next to nothing. All others are coded online; with ``sure`` None
+every bit is.
 
-A text is coded in lanes of ``LANE`` bytes. Contexts run on from lane to lane; weights and lifts begin anew in each, with what
-was fitted on the training texts. Lanes do not depend on each other, so all lanes of a slice take their steps together: a step
+A text is coded in lanes of ``lane`` bytes. Contexts run on from lane to lane; weights and lifts begin anew in each, with what
+was fitted on the training texts; with ``lane`` None they run on to the text's end. Lanes do not depend on each other, so all lanes of a slice take their steps together: a step
 is the next byte of every lane, whose bits are coded at once. As the gate and the lift know the number of the bit, no bit
 of a byte uses a weight or a lift that another bit of that byte moves: the result is that of one bit after the other.
 
@@ -63,6 +64,8 @@ SURE = 5.0
 #: Steps of the weights and of the lifts after a bit: at first, and at the least.
 RATE, LEAST_RATE, LIFT_RATE = 0.02, 0.005, 0.02
 SLICE = 1 << 20
+#: Compression of the pieces' texts, which are written once and moved once.
+LEVEL = 4
 #: Bytes, and rows, of the texts whose distinct grams meet the corpus's counts together.
 PIECE, PIECE_ROWS = 16 << 20, 1 << 20
 #: Passes over the corpus's grams that fit the weights, and the pull towards where they begin.
@@ -126,7 +129,7 @@ class Symbols:
     lift: np.ndarray
 
 
-def symbols(codes: np.ndarray, start: Start) -> Symbols:
+def symbols(codes: np.ndarray, start: Start, sure_from: float | None = SURE) -> Symbols:
     """codes: ``coded``. All logits are those of the bit that did occur; sureness and lifts only see their size."""
     weights, lifts = start.weights.astype(np.float32), start.lifts.astype(np.float32).ravel()
     sure, n, logits_, gate_ = [], [], [], []
@@ -134,7 +137,7 @@ def symbols(codes: np.ndarray, start: Start) -> Symbols:
         part = codes[at : at + (1 << 16)]
         x, gate = part[:, : BITS * len(ORDERS)].reshape(-1, BITS, len(ORDERS)), part[:, BITS * len(ORDERS) :]
         mixed = np.clip((weights[gate] * (x * np.float32(1 / SCALE))).sum(axis=2), -TOP, TOP)
-        known = np.abs(mixed) >= SURE
+        known = np.abs(mixed) >= (np.inf if sure_from is None else sure_from)
         mixed += np.sign(mixed) * lifts[np.arange(BITS) * LIFTS + (np.abs(mixed) * PER_UNIT).astype(np.int64)]
         sure.append(np.where(known, -np.logaddexp(0, -np.clip(mixed, -TOP, TOP)), 0).sum(axis=1, dtype=np.float64))
         n.append(BITS - known.sum(axis=1))
@@ -190,15 +193,16 @@ def lanes(known: Symbols, rows: np.ndarray, begin: np.ndarray, length: np.ndarra
     return out
 
 
-def online(codes: np.ndarray, rows: np.ndarray, first: np.ndarray, start: Start) -> np.ndarray:
+def online(codes: np.ndarray, rows: np.ndarray, first: np.ndarray, start: Start, sure: float | None = SURE, lane: int | None = LANE) -> np.ndarray:
     """log10 of each text's probability. rows: each position's row of ``codes``; first: where texts begin in it."""
     n = np.diff(first)
-    count = -(-n // LANE)
+    lane = max(1, int(n.max(initial=1))) if lane is None else lane
+    count = -(-n // lane)
     owner = np.repeat(np.arange(len(n)), count)
-    begin = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * LANE
-    length = np.minimum(LANE, first[owner + 1] - begin)
+    begin = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * lane
+    length = np.minimum(lane, first[owner + 1] - begin)
     order = np.argsort(-length, kind="stable")  # lanes that still go on are a prefix
-    got, known = np.zeros(len(owner)), symbols(codes, start)
+    got, known = np.zeros(len(owner)), symbols(codes, start, sure)
     for a in range(0, len(owner), LANES):
         at = order[a : a + LANES]
         got[at] = lanes(known, rows, begin[at], length[at], start)
@@ -408,7 +412,7 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -612,8 +616,11 @@ def postings(words: np.ndarray, owner: np.ndarray, base: int) -> list[pa.Array]:
     return [pa.array(words[head].view(np.int64)), pa.array(np.full(len(head), base)), post]
 
 
-def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score, total_bits and bits_per_byte of every document. training: which documents are learned from."""
+def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", sure: float | None = SURE, lane: int | None = LANE) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score, total_bits and bits_per_byte of every document. training: which documents are learned from.
+
+    sure: logit from which a bit is coded by the mixture a lane begins with (None: never). lane: bytes after which learning begins anew (None: never).
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -678,7 +685,7 @@ def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id"
             done += len(seen)
         code = coded(low, k, bytes_of(known.column("code").combine_chunks()))
         # All lanes of the piece step together.
-        score, done = online(code, rows, first, start), 0
+        score, done = online(code, rows, first, start, sure, lane), 0
         for own, n_tokens, n_bytes, ids in about:
             text = pa.StructArray.from_arrays([pa.array(n_tokens), pa.array(n_bytes), pa.array(score[done : done + len(ids)]), ids], fields=list(about_type))
             out.append(pa.RecordBatch.from_arrays([pa.array(wh.mix(own.astype(U)).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary()), text], schema=arrow))
