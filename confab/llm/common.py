@@ -99,7 +99,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = SLICE_BYTES) -> DataFrame:
     """``df`` with further columns that ``work()`` makes from slices of bounded size; rows stay in their partitions.
 
     ``work`` is called once per task and returns the function that maps a slice to one Arrow array per field.
@@ -113,7 +113,7 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, most):
                 made = [a.cast(f.type) for a, f in zip(step(part), list(arrow)[part.num_columns :], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=arrow.names)
 

@@ -39,6 +39,8 @@ ORDER = 4
 SAMPLE_CHARS = 4_000_000
 #: Ranges of hashes in which a language's characters are summed before its sample is cut.
 RANGES = 1 << 14
+#: Bytes of text whose 4-grams are worked on at a time.
+SLICE = 1 << 20
 #: Numbers of a matrix of 4-grams and languages that is held at once.
 CELLS = 1 << 22
 #: Bits beyond the worst calibration text, and standard errors for short texts, at which a text is rejected.
@@ -266,7 +268,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "_text"):
+            for part in common.slices(batch, "_text", SLICE):
                 langs = part.column("_lang").to_pylist()
                 texts = part.column("_text").to_pylist()
                 for lang in set(langs):
@@ -281,7 +283,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "_text"):
+            for part in common.slices(batch, "_text", SLICE):
                 m = shared.value
                 total, size, has = m.bits(part.column("_text").to_pylist())
                 right = np.array([m.languages[b] == x for b, x in zip(total.argmin(axis=1), part.column("_lang").to_pylist(), strict=True)], float)
@@ -303,7 +305,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: s
     def work():
         return lambda batch: [pa.array(x, k) for x, k in zip(shared.value.predict(batch.column(text_col).to_pylist()), kinds, strict=True)]
 
-    return common.add_columns(docs, text_col, fields, work)
+    return common.add_columns(docs, text_col, fields, work, SLICE)
 
 
 def fold(id_col: Column) -> Column:
