@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from confab import config as K
 from confab.functions import text as X
-from confab.operators import chains, classify, guides, listing, monitor, mutations, rules, scoring
+from confab.operators import chains, classify, guides, latency, listing, monitor, mutations, rules, scoring
 from confab.plans import pipeline
 from confab.plans.catalog import CH, D, FEATURES, INCOMING, KEYWORD_SQL, KW, LINEAR_SQL, PREFILTER, RAW, RULES_SQL, TERMS, TEXTS, TRIM, B, E, _collected, _incoming, _parsed, _rule_sql, query
+from confab.sources import search
 from confab.sources.derived import ctes, view
+from confab.sources.storage import shared_dir
 from confab.streaming import ingest
 
 
@@ -442,6 +445,37 @@ def pipeline_snapshot(spark, d):
     return after.select("id", "processing_status", F.col("guide_id").isNotNull().alias("has_guide"))
 
 
+_bin = f"case when duration_ms <= 0 then -1 else ceil(ln(duration_ms::double) / ln({D(latency.GAMMA)})) end::integer"
+_value = lambda q: f"round(case when {q} < 0 then 0 else 2 * pow({D(latency.GAMMA)}, {q}::double) / ({D(latency.GAMMA)} + 1) end, 6)"
+
+
+@query(ctes("traces") + f", b as (select stage, {_bin} as bin from traces where duration_ms is not null) select stage, count(*) as n, {_value('quantile_disc(bin, 0.5)')} as p50, {_value('quantile_disc(bin, 0.95)')} as p95 from b group by stage")
+def stage_latency(spark, d):
+    """Median and 95th percentile of each stage from merged sketches of its hours."""
+    q = latency.quantiles(latency.merged(latency.sketches(view(spark, d, "traces"))))
+    return q.select("stage", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query(ctes("traces") + f", b as (select date_trunc('hour', started_at) as hour, stage, {_bin} as bin from traces where duration_ms is not null) select hour, stage, bin, count(*) as n from b group by all")
+def latency_sketches(spark, d):
+    return latency.sketches(view(spark, d, "traces"))
+
+
+SEARCHES = ["how to install", "provider link", "https://example", "2. s"]
+
+
+@query(ctes("messages") + f" select q.s as query, m.id from messages m, (select unnest([{', '.join(repr(q) for q in SEARCHES)}]) as s) q where contains(lower(m.text), q.s)")
+def message_search(spark, d):
+    """Messages that have a text in them, found by an index of their three-letter runs."""
+    m, path = view(spark, d, "messages"), f"{shared_dir(spark)}/message-runs-{uuid.uuid4().hex}"
+    search.build(m, path)
+    found = [search.search(m, path, q).select(F.lit(q).alias("query"), "id") for q in SEARCHES]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 #: Numbers with a fraction stand as # in texts, since the engines print them differently.
 MASK, MASKED = r"-?\d+\.\d+(E-?\d+)?", "#"
 WEIGHTS = K.LINEAR_MODEL["features"]
