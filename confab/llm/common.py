@@ -9,6 +9,8 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -61,6 +63,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns to the machine what a task has freed: Python workers live on, and would hold it while other tasks need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns that a result column of the same name replaces."""
     lower = {n.lower() for n in names}
@@ -116,5 +125,6 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work:
             for part in slices(batch, text_col, most):
                 made = [a.cast(f.type) for a, f in zip(step(part), list(arrow)[part.num_columns :], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=arrow.names)
+        give_back()
 
     return base.mapInArrow(run, schema)

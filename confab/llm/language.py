@@ -40,7 +40,7 @@ SAMPLE_CHARS = 4_000_000
 #: Ranges of hashes in which a language's characters are summed before its sample is cut.
 RANGES = 1 << 14
 #: Bytes of text whose 4-grams are worked on at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Numbers of a matrix of 4-grams and languages that is held at once.
 CELLS = 1 << 22
 #: Bits beyond the worst calibration text, and standard errors for short texts, at which a text is rejected.
@@ -274,6 +274,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                 for lang in set(langs):
                     keys, c = np.unique(symbols([t for t, x in zip(texts, langs, strict=True) if x == lang])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], names=["_lang", "k", "c"])
+        common.give_back()
 
     got = sample.where("not _held").select("_lang", "_text").mapInArrow(count, "_lang string, k long, c long").groupBy("_lang", "k").agg(F.sum("c").alias("c")).toPandas()
     model = fit({lang: (g["k"].to_numpy().astype(np.int64).view(U), g["c"].to_numpy()) for lang, g in got.sort_values(["_lang", "k"]).groupby("_lang")})

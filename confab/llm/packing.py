@@ -114,6 +114,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capa
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+        common.give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
