@@ -33,8 +33,8 @@ CAPACITY = 2048
 GROUP = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CLOSING_ID = 1
-#: Parts whose ids a worker keeps, over all its tasks; some 60 MB.
-CACHE = 250_000
+#: Parts whose ids a worker keeps, over all its tasks; some 15 MB.
+CACHE = 60_000
 
 
 #: Texts that show whether a vocabulary's ids are those of lower-cased, blank-separated parts.
