@@ -793,7 +793,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
 def test_registry():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES if q != "pipeline"} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES if q != "pipeline"} == {str(i) for i in range(1, 14)}
 
 
 def plain_depths(texts, order):
