@@ -88,11 +88,12 @@ def evaluate(messages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             holds = holds & F.col(f"_c{i}_{k}")
             detail.append(F.concat(F.lit(f"{what}({value})="), F.when(F.col(f"_c{i}_{k}"), F.lit(YES)).otherwise(F.lit(NO))))
         text = F.concat_ws(" + ", *detail) if detail else F.lit("")
-        checks.append(F.struct(F.lit(rule.name).alias("name"), F.lit(rule.action).alias("action"), holds.alias("matched"), text.alias("detail")))
-    out = out.withColumn("_all", F.array(*checks))
-    stop = F.array_min(F.filter(F.transform("_all", lambda c, i: F.when(c["matched"] & (F.upper(c["action"]) == "EXCLUDE"), i)), lambda i: i.isNotNull()))
-    out = out.withColumn("_stop", stop)
-    out = out.withColumn("rule_checks", F.filter("_all", lambda c, i: i <= F.coalesce("_stop", F.lit(len(rules)))))
+        out = out.withColumn(f"_c{i}", holds)
+        checks.append(F.struct(F.lit(rule.name).alias("name"), F.lit(rule.action).alias("action"), F.col(f"_c{i}").alias("matched"), text.alias("detail")))
+    # How many checks are made. It stands in no lambda, where it would be worked out again for every check of a message.
+    ends = [F.when(F.col(f"_c{i}"), F.lit(i + 1)) for i, rule in enumerate(rules) if rule.action.upper() == "EXCLUDE"]
+    out = out.withColumn("_stop", F.coalesce(*ends, F.lit(None).cast("int")))
+    out = out.withColumn("rule_checks", F.slice(F.array(*checks), F.lit(1), F.coalesce("_stop", F.lit(len(rules)))))
     hit = F.element_at(F.filter("rule_checks", lambda c: c["matched"]), -1)
     any_hit = F.exists("rule_checks", lambda c: c["matched"])
     said = F.concat(F.lit('rule "'), hit["name"], F.lit('": '), hit["detail"])
@@ -100,7 +101,7 @@ def evaluate(messages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     default = "no inclusion holds, passed on to scoring" if includes else "only exclusions are active and none holds"
     reason = F.when(F.col("_stop").isNotNull(), F.concat(F.lit("rejected: "), said)).when(any_hit, F.concat(F.lit("passed: "), said)).otherwise(F.lit(default))
     helpers = [c for c in out.columns if c.startswith("_c") and c not in messages.columns]
-    return out.withColumns({"rule_passes": F.col("_stop").isNull(), "rule_reason": reason}).drop("_all", "_stop", *helpers)
+    return out.withColumns({"rule_passes": F.col("_stop").isNull(), "rule_reason": reason}).drop("_stop", *helpers)
 
 
 def result_json(passes: Column, reason: Column, most: int = 4000) -> Column:
