@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +34,18 @@ CAPACITY = 2048
 GROUP = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CLOSING_ID = 1
-#: Parts whose ids a worker keeps, over all its tasks; some 15 MB.
-CACHE = 60_000
+#: A worker keeps the ids of parts over all its tasks: twice half of this and the parts of a slice, at most; some 220 MB.
+CACHE = 1_000_000
 
 
 #: Texts that show whether a vocabulary's ids are those of lower-cased, blank-separated parts.
 PROBES = ["Hello WORLD a  b", " x\ny\n", "A B\tC", "don't  STOP,now", "it is\nso \n\n x1", "é Ü ß a"]
+#: Parts that show whether it tells a word from the signs around it, and marks the end of a word.
+SIGNED = ["it,", "(so)", "**été**", "$a", "über...", "[Unworthinesses]:", "x", "ÀÇÑ!", "\"ñoño\"", "#b;"]
+#: A word of ASCII and Latin-1 letters between signs. An apostrophe may belong to what follows it.
+WORD = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD_END = "</w>"
+BEYOND = re.compile("[^\x00-\xff]")
 
 
 class Ids:
@@ -47,54 +54,113 @@ class Ids:
     Where a vocabulary drops white space and never joins across it, the ids of a text are those of its blank-separated parts
     on end, and each distinct part is encoded once and then looked up. ``PROBES`` show whether that holds, and whether case
     matters; where it does not hold, texts are encoded as they are.
+
+    Words are encoded many in a line, cut apart where ids end a word, and signs around them by themselves, if ``SIGNED`` shows
+    that this gives the same ids. Parts that were used since half the cache was filled are kept, so a long tail of rare ones does
+    not drive out those that most of a text is made of. Parts with a sign that begins an added token are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first = {t[:1].lower() for t in self.added} | {t[:1].upper() for t in self.added}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.words = bool(self.ends.any()) and not any(c.isalpha() for c in self.first) and self.by_words(SIGNED) == self.encoded(SIGNED)
         plain = self.encoded(PROBES)
         self.folds, self.parts = True, True
         if self(PROBES) != plain:
-            self.folds, self.known = False, {"": b""}
+            self.folds, self.known, self.older = False, {"": b""}, {}
             self.parts = self(PROBES) == plain
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def by_words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without blanks."""
+        found = [WORD.fullmatch(p) for p in parts]
+        found = [m if m and ((not m[1] and not m[3]) or self.first.isdisjoint(m[1] + m[3])) else None for m in found]
+        words = list({m[2] for m in found if m})
+        got: dict[str, bytes] = {}
+        for at in range(0, len(words), 256):
+            line = words[at : at + 256]
+            ids = self.encoded([" ".join(line)])[0]
+            array = np.frombuffer(ids, "<u4")
+            to = (np.flatnonzero(self.ends[np.minimum(array, len(self.ends) - 1)]) + 1) * 4
+            if len(to) != len(line) or to[-1] != len(ids):
+                got.update(zip(line, self.encoded(line), strict=True))
+                continue
+            begin = 0
+            for word, end in zip(line, to.tolist(), strict=True):
+                got[word] = ids[begin:end]
+                begin = end
+        other = [p for p, m in zip(parts, found, strict=True) if not m]
+        rest = iter([b for at in range(0, len(other), 4096) for b in self.encoded(other[at : at + 4096])])
+        return [self.sign(m[1]) + got[m[2]] + self.sign(m[3]) if m else next(rest) for m in found]
+
+    def sign(self, signs: str) -> bytes:
+        if len(signs) > 8:
+            return self.encoded([signs])[0]
+        if signs not in self.signs:
+            if len(self.signs) > 1000:
+                self.signs = {"": b""}
+            self.signs[signs] = self.encoded([signs])[0]
+        return self.signs[signs]
+
+    def folded(self, text: str) -> str:
+        """The text in lower case, which makes parts fewer; as it is beyond Latin-1, where the order of steps could matter, or if an added token would arise."""
+        if not (text.isascii() or not BEYOND.search(text)):
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.added) else low
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.parts:
             return [b for at in range(0, len(texts), 256) for b in self.encoded(texts[at : at + 256])]
-        # If the vocabulary is lower-cased, doing it first makes parts fewer. Beyond ASCII the order of steps could matter.
-        parts = [(t.lower() if self.folds and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list(set().union(*parts).difference(self.known))
-        for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self.encoded(new[at : at + 4096]), strict=True))
+        parts = [(self.folded(t) if self.folds else t).replace("\n", " ").split(" ") for t in texts]
+        wanted = set().union(*parts).difference(self.known) if parts else set()
+        if len(self.known) > self.keep // 2:
+            self.older, self.known = self.known, {"": b""}
+            wanted = set().union(*parts).difference(self.known)
+        new = []
+        for p in wanted:
+            if (ids := self.older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        if self.words:
+            self.known.update(zip(new, self.by_words(new), strict=True))
+        else:
+            for at in range(0, len(new), 4096):
+                self.known.update(zip(new[at : at + 4096], self.encoded(new[at : at + 4096]), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
 @functools.cache
-def encoder(path: str) -> Ids:
+def encoder(path: str, keep: int) -> Ids:
     """One for each worker process, so that later tasks find what earlier ones encoded."""
-    return Ids(path)
+    return Ids(path, keep)
 
 
-def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capacity: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capacity: int, with_ids: bool, keep: int = CACHE) -> DataFrame:
     """A row per piece: the document's id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     close = np.array([CLOSING_ID], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, keep)
         for batch in batches:
             for part in common.slices(batch, text_col):
                 row, start, length, crc, total, ids = [], [], [], [], [], []
@@ -159,10 +225,10 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 def pack_documents(
     docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = False,
+    group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = False, keep: int = CACHE,
 ) -> DataFrame:
     """A row per piece: the document's id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id and offset."""
-    cut = pieces(docs, vocabulary=vocabulary, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids)
+    cut = pieces(docs, vocabulary=vocabulary, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, keep=keep)
     most = docs.agg(F.count("*") + F.coalesce(F.sum(F.expr(f"octet_length({quoted(text_col)}) div {capacity}")), F.lit(0))).first()[0]
     groups = max(1, -(-most // group))
     # The row's number spreads rows that are repeated.
