@@ -15,8 +15,11 @@ the original, from which the others differ half as much as from each other. Wher
 again by a finer sketch: order min-hash of single words with more picks (``FINE``), whose entries are shared with a probability
 of some s ** picks at edit similarity s. Texts that merely share a frequent passage, and copies that are edited too much, hardly
 share one, so these buckets hold little but what belongs together. In them hubs are aligned with the texts of other classes only;
-then the hub and its class leave the bucket, and the rest has a further hub, for as long as rounds find links. No step emits
-the pairs of a bucket, whatever its size.
+then the hub and its class leave the bucket, and the rest has a further hub, for as long as rounds find links. Hubs find most
+links at the price of a row a text, but not those of texts that are both far from them. So at the end all texts of such buckets,
+of both sketches, are paired that are of different classes still and near enough in length, and aligned: no two texts that share
+an entry and reach the limit stay apart. These pairs grow with the square of the classes that a hub could not join in a bucket;
+they are dealt out by parts of a bucket.
 
 A pair shares an entry of the first sketch with a probability of some 1 - (1 - J ** PICKS) ** BANDS, J being the Jaccard
 similarity of their shingles, and one of the finer with 0.999 (texts of fewer than ``LONG`` words) and 0.94 at similarity 0.8,
@@ -302,6 +305,16 @@ def fine_buckets(seqs: DataFrame) -> DataFrame:
     return seqs.select("k", "met", "c", "seq").mapInArrow(run, "k long, n long, met long, c long, bucket long")
 
 
+def rest_pairs(rows: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """a and b: texts of a bucket that are of different classes and near enough in length. rows: k, n and bucket; found: k and c."""
+    rows = rows.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    rows = common.cut(rows.join(sizes.select("bucket", F.expr("(size - 1) div 1024 + 1").alias("parts")), "bucket"), "rest")
+    x = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    y = rows.select("bucket", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    return x.join(y, ["bucket", "part"]).where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & near_length("n_a", "n_b", least)).select("a", "b").distinct()
+
+
 def between_classes(starred: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``starred`` whose text and hub are of different classes, with the text's as c. Each text and hub are looked up once, not once a bucket."""
     of = lambda name: found.withColumnsRenamed({"k": name, "c": f"_c_{name}"})
@@ -353,18 +366,26 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # Buckets in which a text is not of its hub's class: all their texts meet again.
     again = starred.join(between_classes(starred, found).select("bucket").distinct(), "bucket")
+    coarse = common.cut(again.select("bucket", "k", "n").union(again.select("bucket", F.col("hub").alias("k"), F.col("hub_n").alias("n")).distinct()), "coarse")
     again = again.select("k", "met").union(again.select(F.col("hub").alias("k"), F.col("hub_met").alias("met"))).distinct()
     again = again.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    left = common.cut(fine_buckets(seqs.join(again, "k")), "fine")
+    left = fine = common.cut(fine_buckets(seqs.join(again, "k")), "fine")
     while True:
         starred = common.cut(towards_hub(left), "fine-buckets")
         fresh = common.cut(aligned(met(starred).join(tested.select("a", "b"), ["a", "b"], "left_anti"), seqs, least), "tested")
         links = fresh.where(F.col("s") >= least).select("a", "b")
+        tested = tested.unionByName(fresh)
         if not links.head(1):
             break
-        found, tested = joined_classes(spark, found, links), tested.unionByName(fresh)
+        found = joined_classes(spark, found, links)
         left = common.cut(between_classes(starred, found).select("k", "n", "met", "c", "bucket"), "fine")
 
+    # What no hub has joined: every pair of a bucket that is of two classes.
+    rest = rest_pairs(coarse.unionByName(fine.select("bucket", "k", "n")), found, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = common.cut(aligned(rest, seqs, least), "tested").where(F.col("s") >= least).select("a", "b")
+    if links.head(1):
+        found = joined_classes(spark, found, links)
+
     grouped = common.cut(texts.select("k", "id", "copies").join(found, "k", "left").withColumn("c", F.coalesce("c", "k")), "grouped")
     first = F.struct(F.col("id").isNull().alias("z"), "id", "k")
     ends = grouped.groupBy("c").agg(F.min(first).alias("_first"), F.sum("copies").alias("class_size")).select("c", F.col("_first.id").alias("class_id"), F.col("_first.k").alias("class_k"), "class_size")
