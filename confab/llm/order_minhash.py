@@ -17,9 +17,10 @@ of some s ** picks at edit similarity s. Texts that merely share a frequent pass
 share one, so these buckets hold little but what belongs together. In them hubs are aligned with the texts of other classes only;
 then the hub and its class leave the bucket, and the rest has a further hub, for as long as rounds find links. Hubs find most
 links at the price of a row a text, but not those of texts that are both far from them. So at the end all texts of such buckets,
-of both sketches, are paired that are of different classes still and near enough in length, and aligned: no two texts that share
-an entry and reach the limit stay apart. These pairs grow with the square of the classes that a hub could not join in a bucket;
-they are dealt out by parts of a bucket.
+whichever these were, meet by their rarest words. Counting occurrences, texts of a and b words that reach the limit have L words in common,
+so each has one of the common words among its (1 - SIMILARITY) * a + 1 rarest, in whatever order all texts are held against. Texts of
+different classes that share such a word are aligned, if what follows it is long enough in both: of all these texts no two that
+reach the limit stay apart, in one bucket or not. A frequent passage comes last in that order, so texts that share no more are no pair.
 
 A pair shares an entry of the first sketch with a probability of some 1 - (1 - J ** PICKS) ** BANDS, J being the Jaccard
 similarity of their shingles, and one of the finer with 0.999 (texts of fewer than ``LONG`` words) and 0.94 at similarity 0.8,
@@ -56,6 +57,8 @@ SLICE = 1 << 20
 FEW_PAIRS = 1 << 20
 #: The finer sketch: bands and picks of single words, for all texts and for those of ``LONG`` words and more.
 FINE, FINE_LONG, LONG = (16, 4), (96, 16), 48
+#: Bits of the table of counts by which words are rare: 1 MB. Words that share a place only cost further pairs.
+RARE_BITS = 20
 
 
 # ---- one text
@@ -305,14 +308,72 @@ def fine_buckets(seqs: DataFrame) -> DataFrame:
     return seqs.select("k", "met", "c", "seq").mapInArrow(run, "k long, n long, met long, c long, bucket long")
 
 
+def rareness(seqs: DataFrame) -> np.ndarray:
+    """How often labelled words of a place of the table occur, in steps of a tenth; 0: once at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << RARE_BITS, np.int64)
+        for batch in batches:
+            for seq in batch.column("seq"):
+                np.add.at(seen, labelled(seq.values.to_numpy().view(U)) >> U(64 - RARE_BITS), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["at", "n"])
+        common.give_back()
+
+    level = F.floor(F.log2(F.sum("n")) * 7).cast("byte").alias("level")
+    found = seqs.select("seq").mapInArrow(run, "at int, n long").groupBy("at").agg(level).toArrow()
+    table = np.zeros(1 << RARE_BITS, np.int8)
+    table[found.column("at").to_numpy()] = found.column("level").to_numpy()
+    return table
+
+
+def rare_buckets(seqs: DataFrame, least: float) -> DataFrame:
+    """k, n, bucket and at: a text's rarest labelled words, and their places in its order of rareness. Two texts that reach ``least`` share one.
+
+    Of n words ``least`` * n at least are in the other text too, so one of any n - ``least`` * n + 1 is. Words that occur once are left out.
+    """
+    shared = seqs.sparkSession.sparkContext.broadcast(rareness(seqs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            words, places, sizes = [], [], []
+            for seq in batch.column("seq"):
+                g = labelled(seq.values.to_numpy().view(U))
+                level = table[g >> U(64 - RARE_BITS)]
+                first = np.lexsort((g, level))[: len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1]
+                at = np.flatnonzero(level[first])
+                words.append(g[first[at]].view(np.int64))
+                places.append(at)
+                sizes.append(len(g))
+            if not words:
+                continue
+            each = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            about = [pa.array(x) for x in (batch.column("k").to_numpy()[each], np.array(sizes)[each], np.concatenate(words), np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(about, names=["k", "n", "bucket", "at"])
+        common.give_back()
+
+    return seqs.select("k", "seq").mapInArrow(run, "k long, n long, bucket long, at long")
+
+
 def rest_pairs(rows: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """a and b: texts of a bucket that are of different classes and near enough in length. rows: k, n and bucket; found: k and c."""
-    rows = rows.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    rows = common.cut(rows.join(sizes.select("bucket", F.expr("(size - 1) div 1024 + 1").alias("parts")), "bucket"), "rest")
-    x = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = rows.select("bucket", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    return x.join(y, ["bucket", "part"]).where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & near_length("n_a", "n_b", least)).select("a", "b").distinct()
+    """a and b: texts of a bucket that are of different classes and can reach the limit. rows: k, n, bucket and perhaps at; found: k and c.
+
+    at: so many words of the text are none of the other's, if this is the first bucket that both are in. L is at most what is left of either
+    text; without at, these are their lengths. A bucket's largest class never meets itself, so it adds no more than a row for each other text.
+    """
+    rows = rows if "at" in rows.columns else rows.withColumn("at", F.lit(0))
+    rows = common.cut(rows.join(found, "k", "left").withColumn("c", F.coalesce("c", "k")), "rest")
+    rows = rows.repartition("bucket")  # once for both sums and the join
+    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("classes"), F.max(F.struct("size", "c")).alias("most")).where("classes > 1")
+    rows = common.cut(rows.join(sizes.select("bucket", F.col("most.c").alias("top"), F.expr("(size - 1) div 1024 + 1").alias("parts")), "bucket"), "rest")
+    of = lambda name: [F.col(x).alias(f"{x}_{name}") for x in ("k", "n", "c", "at")]
+    x = rows.where("c <> top").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *of("x"))
+    y = rows.select("bucket", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), (F.col("c") == F.col("top")).alias("large"), *of("y"))
+    enough = F.least(F.expr("n_x - at_x"), F.expr("n_y - at_y")) >= (F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-6
+    met = x.join(y, ["bucket", "part"]).where((F.col("c_x") != F.col("c_y")) & (F.col("large") | (F.col("k_x") > F.col("k_y"))) & enough)
+    return met.select(F.greatest("k_x", "k_y").alias("a"), F.least("k_x", "k_y").alias("b")).distinct()
 
 
 def between_classes(starred: DataFrame, found: DataFrame) -> DataFrame:
@@ -364,12 +425,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     tested = common.cut(aligned(met(starred), seqs, least), "tested")
     found = components(spark, tested.where(F.col("s") >= least).select("a", "b"))
 
-    # Buckets in which a text is not of its hub's class: all their texts meet again.
+    # Buckets in which a text is not of its hub's class: all their texts meet again by the finer sketch.
     again = starred.join(between_classes(starred, found).select("bucket").distinct(), "bucket")
-    coarse = common.cut(again.select("bucket", "k", "n").union(again.select("bucket", F.col("hub").alias("k"), F.col("hub_n").alias("n")).distinct()), "coarse")
     again = again.select("k", "met").union(again.select(F.col("hub").alias("k"), F.col("hub_met").alias("met"))).distinct()
     again = again.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    left = fine = common.cut(fine_buckets(seqs.join(again, "k")), "fine")
+    contested = common.cut(seqs.join(again, "k").select("k", "met", "c", "seq"), "contested")
+    left = common.cut(fine_buckets(contested), "fine")
+    common.release(spark)
     while True:
         starred = common.cut(towards_hub(left), "fine-buckets")
         fresh = common.cut(aligned(met(starred).join(tested.select("a", "b"), ["a", "b"], "left_anti"), seqs, least), "tested")
@@ -380,8 +442,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         found = joined_classes(spark, found, links)
         left = common.cut(between_classes(starred, found).select("k", "n", "met", "c", "bucket"), "fine")
 
-    # What no hub has joined: every pair of a bucket that is of two classes.
-    rest = rest_pairs(coarse.unionByName(fine.select("bucket", "k", "n")), found, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    common.release(spark)
+    # What no hub has joined: every pair of two classes that rare words do not rule out.
+    rest = rest_pairs(rare_buckets(contested, least), found, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     links = common.cut(aligned(rest, seqs, least), "tested").where(F.col("s") >= least).select("a", "b")
     if links.head(1):
         found = joined_classes(spark, found, links)
