@@ -467,21 +467,26 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay: of each class one row of its smallest id; null texts all stay."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    _, found = classes(docs, id_col=id_col, text_col=text_col, **settings)
+    members, found = classes(docs, id_col=id_col, text_col=text_col, **settings)
     id_, key = common.fresh(docs, "id"), common.fresh(docs, "key")
     stay = found.where("k = class_k").select(F.col("class_id").alias(id_), F.col("k").alias(key))
-    # Ids are spread however large a class is. An id may belong to rows of other texts too, so the text is held against the key.
+    # Ids are spread however large a class is.
     met = docs.where(F.col(text_col).isNotNull()).join(stay, F.col(id_col).eqNullSafe(F.col(id_))).drop(id_)
+    nulls = docs.where(F.col(text_col).isNull())
+    if not members.where("k is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        return met.select(*docs.columns).unionByName(nulls)
+    # An id belongs to several rows, perhaps of other texts, so the text is held against the key.
     arrow = to_arrow_schema(met.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, text_col):
+            for part in common.slices(batch, text_col, SLICE):
                 same = pa.array([k == w for k, w in zip(part.column(key).to_pylist(), text_keys(part.column(text_col)), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(part.columns, schema=arrow).filter(same)
+        common.give_back()
 
     one = met.mapInArrow(run, met.schema).dropDuplicates([key]).drop(key)
-    return one.select(*docs.columns).unionByName(docs.where(F.col(text_col).isNull()))
+    return one.select(*docs.columns).unionByName(nulls)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

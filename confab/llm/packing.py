@@ -153,14 +153,17 @@ def encoder(path: str, keep: int) -> Ids:
     return Ids(path, keep)
 
 
-def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capacity: int, with_ids: bool, keep: int = CACHE) -> DataFrame:
-    """A row per piece: the document's id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
+def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capacity: int, with_ids: bool, keep: int = CACHE, stay: bool = True) -> DataFrame:
+    """A row per piece: the document's id, start, length, ids_crc32, doc_tokens and, if asked for, ids.
+
+    stay: a worker keeps the vocabulary and the encoded parts for its later tasks; else they go with each task.
+    """
     close = np.array([CLOSING_ID], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, keep)
+        encode = encoder(vocabulary, keep) if stay else Ids(vocabulary, keep)
         for batch in batches:
             for part in common.slices(batch, text_col):
                 row, start, length, crc, total, ids = [], [], [], [], [], []
@@ -180,6 +183,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, id_col: str, text_col: str, capa
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+        encode = None
         common.give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -225,10 +229,10 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 def pack_documents(
     docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = False, keep: int = CACHE,
+    group: int = GROUP, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = False, keep: int = CACHE, stay: bool = True,
 ) -> DataFrame:
     """A row per piece: the document's id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id and offset."""
-    cut = pieces(docs, vocabulary=vocabulary, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, keep=keep)
+    cut = pieces(docs, vocabulary=vocabulary, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids, keep=keep, stay=stay)
     most = docs.agg(F.count("*") + F.coalesce(F.sum(F.expr(f"octet_length({quoted(text_col)}) div {capacity}")), F.lit(0))).first()[0]
     groups = max(1, -(-most // group))
     # The row's number spreads rows that are repeated.

@@ -46,8 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their places in training sequences."""
     import public_tokenizers
 
-    # Workers hold memory of earlier stages, so they keep fewer encoded parts than packing alone does.
-    return packing.pack_documents(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), keep=60_000)
+    # Workers serve other stages too, so they keep fewer encoded parts than packing alone does, and none after a task.
+    return packing.pack_documents(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), keep=60_000, stay=False)
 
 
 STAGES = [

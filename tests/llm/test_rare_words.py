@@ -52,3 +52,14 @@ def test_a_common_passage_and_a_large_class_make_no_square(spark, monkeypatch):
     assert got.groupBy("class_size").agg(F.count("*").alias("n")).orderBy("class_size").collect() == [(1, 201), (200, 200)]
     assert asked[0].count() <= 400
     assert order_minhash.rest_pairs(order_minhash.rare_buckets(sequences(spark, apart + close + other), 0.8), found, 0.8).count() <= 200
+
+
+def test_deduplicate_needs_no_second_shuffle_of_texts_without_repeated_ids(spark, monkeypatch):
+    """Distinct ids: the kept rows are joined by id only. Repeated ids: texts are held against their keys as before."""
+    texts = ["one two three four five six"] * 2 + ["Seven eight, nine ten.", None, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = order_minhash.deduplicate(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 5]
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    twice = order_minhash.deduplicate(docs.union(spark.createDataFrame([(0, "another text here")], docs.schema)))
+    assert sorted((r.doc_id, r.text) for r in twice.where("doc_id < 3").collect()) == [(0, "another text here"), (0, texts[0]), (2, texts[2])]
