@@ -161,6 +161,25 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return n / (total - n)
 
 
+def parity_map(words: np.ndarray) -> bytes:
+    """For each of some n / 2 to n places by hash whether an odd number of the text's n labelled words falls there: a hundredth of the words' size."""
+    bits = max(64, 1 << (len(words) - 1).bit_length() >> 1)
+    return np.packbits(np.bincount((labelled(words) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_similar(x: bytes, y: bytes, a: int, b: int) -> float:
+    """An upper bound of the similarity of texts of a and b words, by their parity maps.
+
+    Common words cancel out, so each place in which the maps differ has a word that only one text has; L is at most half of what is left.
+    """
+    while len(x) != len(y):  # the larger map's halves together are the map of half its size
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "little") ^ int.from_bytes(x[half:], "little")).to_bytes(half, "little")
+    n = min(a, b, (a + b - (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()) // 2)
+    return n / (a + b - n)
+
+
 # ---- all texts
 
 
@@ -188,13 +207,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     return common.add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", fields, work, SLICE).drop("text")
 
 
-def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be sent to every executor if they are ``FEW_PAIRS`` at most, so that a join need not move its other side. Written rows, for they are counted."""
+    return F.broadcast(rows) if rows.count() <= FEW_PAIRS else rows
+
+
+def likely(docs: DataFrame, wanted: DataFrame, on: str = "id") -> DataFrame:
     """The rows of ``docs`` whose id may be among those of ``wanted``: a map of bits by hash of the id, 16 an id, ``FILTER_BITS`` at most.
 
     What the map lets pass in error is joined in vain; beyond that size it lets more pass, none less.
     """
     bits = min(FILTER_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    slot = F.pmod(F.xxhash64(on), F.lit(bits))
     found = wanted.select(F.shiftright(slot, 3).alias("at"), F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(7).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(bits >> 3, np.uint8)
     table[found.column("at").to_numpy()] = found.column("bit").to_numpy()
@@ -210,9 +234,9 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sequences(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k and seq (its words) of the wanted texts. wanted: k and the id of a document that has the text."""
+    """k, seq (its words), n (their number) and map (of their parities) of the wanted texts. wanted: k and the id of a document that has the text."""
     wanted = common.cut(wanted, "wanted")
-    picked = likely(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted).join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("k", "text")
+    picked = likely(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted).join(few(wanted).withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,35 +250,49 @@ def sequences(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     if len(own) and text_key(own, b"") == k:  # ids may repeat with other texts
                         keys.append(k)
                         out.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["k", "seq"])
+                about = [pa.array([len(x) for x in out], pa.int64()), pa.array([parity_map(x.view(U)) for x in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int64())), *about], names=["k", "seq", "n", "map"])
         common.give_back()
 
-    found = common.cut(picked.mapInArrow(run, "k long, seq array<long>"), "sequences")
+    found = common.cut(picked.mapInArrow(run, "k long, seq array<long>, n long, map binary"), "sequences")
     # A row that is there twice gives a text twice; without such rows the sequences need not move.
     twice = found.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").head(1)
-    return common.cut(found.groupBy("k").agg(F.first("seq").alias("seq")), "sequences") if twice else found
+    return common.cut(found.groupBy("k").agg(*[F.first(x).alias(x) for x in ("seq", "n", "map")]), "sequences") if twice else found
+
+
+def beside(pairs: DataFrame, seqs: DataFrame, *columns: str) -> DataFrame:
+    """a, b, and of each text the columns of ``seqs``, as x_ and y_.
+
+    ``FEW_PAIRS`` at most (16 MB) go to every executor, so that only what a pair needs moves; more of them meet the sequences in a shuffle.
+    """
+    pairs = few(pairs)
+    of = lambda end, name: seqs.select(F.col("k").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    return of("a", "x").join(pairs, "a").join(of("b", "y").join(pairs.select("b"), "b", "left_semi"), "b")
 
 
 def aligned(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     """a, b and s, the similarity of each pair (an upper bound of it below ``least``).
 
-    Pairs are written and counted first. ``FEW_PAIRS`` at most (16 MB) go to every executor, so that only sequences that a pair needs
-    move; more of them meet the sequences in a shuffle.
+    The parity maps meet first, which are small. Only the sequences of pairs that these do not rule out move.
     """
-    pairs = common.cut(pairs, "pairs")
-    pairs = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
-    x = seqs.select(F.col("k").alias("a"), F.col("seq").alias("x")).join(pairs, "a")
-    y = seqs.select(F.col("k").alias("b"), F.col("seq").alias("y")).join(pairs.select("b"), "b", "left_semi")
-    met = x.join(y, "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [most_similar(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("x_map", "y_map", "x_n", "y_n")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "s"])
+        common.give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
+            x, y = batch.column("x_seq"), batch.column("y_seq")
             s = [similarity(x[i].values.to_numpy().view(U), y[i].values.to_numpy().view(U), least) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "s"])
         common.give_back()
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, s double")
+    bounded = beside(common.cut(pairs, "pairs"), seqs, "n", "map").select("a", "b", "x_n", "y_n", "x_map", "y_map")
+    bounded = common.cut(bounded.mapInArrow(bound, "a long, b long, s double"), "bounded")
+    met = beside(bounded.where(F.col("s") >= least).select("a", "b"), seqs, "seq")
+    return bounded.where(F.col("s") < least).unionByName(met.select("a", "b", "x_seq", "y_seq").mapInArrow(run, "a long, b long, s double"))
 
 
 def with_hub(buckets: DataFrame) -> DataFrame:
@@ -271,8 +309,10 @@ def towards_hub(rows: DataFrame) -> DataFrame:
     """bucket, k, n, met, hub, hub_n: texts of another class than their bucket's hub, the text of largest ``met``. rows: k, n, met, c and bucket.
 
     Buckets of one class are left out by their smallest and largest class, and a hub's class never meets it, so a large class adds
-    no rows to the join.
+    no rows to the join. Nearly all buckets are of one class, so this is asked first: bucket and class alone move for it.
     """
+    mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    rows = likely(rows, common.cut(mixed, "mixed"), "bucket")
     first = F.max(F.struct("met", F.negative("k").alias("k"), "n", "c")).alias("h")
     hubs = rows.groupBy("bucket").agg(first, F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     hubs = hubs.select("bucket", F.negative("h.k").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.c").alias("hub_c"))
@@ -363,17 +403,26 @@ def rest_pairs(rows: DataFrame, found: DataFrame, least: float) -> DataFrame:
     text; without at, these are their lengths. A bucket's largest class never meets itself, so it adds no more than a row for each other text.
     """
     rows = rows if "at" in rows.columns else rows.withColumn("at", F.lit(0))
-    rows = common.cut(rows.join(found, "k", "left").withColumn("c", F.coalesce("c", "k")), "rest")
-    rows = rows.repartition("bucket")  # once for both sums and the join
-    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("size"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("classes"), F.max(F.struct("size", "c")).alias("most")).where("classes > 1")
-    rows = common.cut(rows.join(sizes.select("bucket", F.col("most.c").alias("top"), F.expr("(size - 1) div 1024 + 1").alias("parts")), "bucket"), "rest")
+    rows = common.cut(rows.join(few(found), "k", "left").withColumn("c", F.coalesce("c", "k")), "rest")
+    # Rows move once: the sums need no other order than the join.
+    rows = rows.repartition("bucket")
+    own, all_ = W.partitionBy("bucket", "c"), W.partitionBy("bucket")
+    rows = rows.withColumn("own", F.count("*").over(own)).withColumn("most", F.max(F.struct("own", "c")).over(all_))
+    rows = rows.withColumns({"size": F.count("*").over(all_), "low": F.min("c").over(all_), "high": F.max("c").over(all_)}).where("low < high")
+    rows = rows.select("bucket", "k", "n", "c", "at", F.col("most.c").alias("top"), "size")
     of = lambda name: [F.col(x).alias(f"{x}_{name}") for x in ("k", "n", "c", "at")]
-    x = rows.where("c <> top").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *of("x"))
-    y = rows.select("bucket", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), (F.col("c") == F.col("top")).alias("large"), *of("y"))
     enough = F.least(F.expr("n_x - at_x"), F.expr("n_y - at_y")) >= (F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-6
-    met = x.join(y, ["bucket", "part"]).where((F.col("c_x") != F.col("c_y")) & (F.col("large") | (F.col("k_x") > F.col("k_y"))) & enough)
-    return met.select(F.greatest("k_x", "k_y").alias("a"), F.least("k_x", "k_y").alias("b")).distinct()
+    can = (F.col("c_x") != F.col("c_y")) & (F.col("large") | (F.col("k_x") > F.col("k_y"))) & enough
+
+    def met(rows: DataFrame, x_parts: list[Column], y_parts: list[Column]) -> DataFrame:
+        x = rows.where("c <> top").select("bucket", *x_parts, *of("x"))
+        y = rows.select("bucket", *y_parts, (F.col("c") == F.col("top")).alias("large"), *of("y"))
+        return x.join(y, ["bucket", *["part"] * len(x_parts)]).where(can).select(F.greatest("k_x", "k_y").alias("a"), F.least("k_x", "k_y").alias("b"))
+
+    # Larger buckets are dealt out, and so move again.
+    parts = F.expr("(size - 1) div 1024 + 1")
+    dealt = met(rows.where("size > 1024"), [F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")], [F.pmod(F.xxhash64("k"), parts).alias("part")])
+    return met(rows.where("size <= 1024"), [], []).unionByName(dealt).distinct()
 
 
 def between_classes(starred: DataFrame, found: DataFrame) -> DataFrame:
@@ -428,8 +477,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Buckets in which a text is not of its hub's class: all their texts meet again by the finer sketch.
     again = starred.join(between_classes(starred, found).select("bucket").distinct(), "bucket")
     again = again.select("k", "met").union(again.select(F.col("hub").alias("k"), F.col("hub_met").alias("met"))).distinct()
-    again = again.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    contested = common.cut(seqs.join(again, "k").select("k", "met", "c", "seq"), "contested")
+    again = common.cut(again.join(found, "k", "left").withColumn("c", F.coalesce("c", "k")), "again")
+    contested = common.cut(seqs.join(few(again), "k").select("k", "met", "c", "seq"), "contested")
     left = common.cut(fine_buckets(contested), "fine")
     common.release(spark)
     while True:
